@@ -27,6 +27,14 @@ WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETT
 SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+").findall
 
 
+@functools.cache
+def byte_characters() -> str:
+    """The printable character that stands for each byte in byte-level vocabularies: its own, or the next from U+0100."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return "".join(chr(b) if b in own else chr(next(spare)) for b in range(256))
+
+
 @functools.cache
 def tokenizer(name: str) -> Tokenizer:
     return Tokenizer.from_file(public_tokenizers.path(name))
@@ -58,12 +66,13 @@ class SpacedIds(dict):
 
     def __init__(self, name: str, most: int = 400_000):
         self.of, self.most = tokenizer(name), most
+        self.model, self.characters = self.of.model, byte_characters()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = self.of.encode(word, add_special_tokens=False).ids
-        out = self[word] = b"".join(i.to_bytes(4, "little") for i in ids)
+        pieces = self.model.tokenize(word.encode().decode("latin-1").translate(self.characters))
+        out = self[word] = b"".join([p.id.to_bytes(4, "little") for p in pieces])
         return out
 
     def ids(self, text: str) -> bytes:
