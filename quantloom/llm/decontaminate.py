@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = {ord("A") + i: ord("a") + i for i in range(26)}
 #: Words of benchmark items in one automaton; more items make more automata, never a larger one.
-WORDS_PER_AUTOMATON = 400_000
+WORDS_PER_AUTOMATON = 100_000
 
 
 def normalised(text: str) -> str:
@@ -192,7 +192,10 @@ def _removed(batches: Iterator[pa.RecordBatch], automaton, limit: float) -> Iter
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, coverage: float = 0.5) -> DataFrame:
-    """The documents without the spans that benchmark windows cover; one covered beyond `coverage` of its words goes whole."""
+    """The documents without the spans that benchmark windows cover; one covered beyond `coverage` of its words goes whole.
+
+    A benchmark beyond one automaton's bound is removed block by block. Nulls and further columns stay as they are.
+    """
     out = docs
     for automaton in _automata(benchmark, width):
         shared = docs.sparkSession.sparkContext.broadcast(automaton)

@@ -27,7 +27,7 @@ def cases(seed):
 
 
 def test_windows_against_brute_force(spark, monkeypatch):
-    for bound in (400_000, 30):
+    for bound in (100_000, 30):
         monkeypatch.setattr(d, "WORDS_PER_AUTOMATON", bound)
         items, docs = cases(bound)
         got = d.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 4).collect()
