@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, jaccard, packing, pii, pivots, quality, sharding, token_counts
+from . import decontaminate, html_text, jaccard, packing, pii, pivots, quality, sharding, suffixes, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op5_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES = {
         op1_pivot_search,
         op2_personal_data,
         op3_token_counts,
+        op4_suffix_dedup,
         op5_slack_packing,
         op6_quality_scores,
         op7_benchmark_windows,
