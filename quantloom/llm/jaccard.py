@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
@@ -25,74 +24,112 @@ SMALL_GROUP, HUBS, ROUNDS = 12, 3, 3
 #: Rows of signatures that one task sorts, about; bits of the filter of ids.
 ROWS_A_TASK, FILTER_BITS = 1_000_000, 1 << 24
 
-_U = np.uint64
-TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
+U = np.uint64
+TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * TURNS[3]
-    x = (x ^ (x >> _U(29))) * TURNS[4]
-    return x ^ (x >> _U(32))
+    x = (x ^ (x >> U(32))) * TURNS[3]
+    x = (x ^ (x >> U(29))) * TURNS[4]
+    return x ^ (x >> U(32))
 
 
-class Words(dict):
-    """Word to its 64-bit hash."""
+BYTE = mixed(np.arange(1, 257, dtype=U) * TURNS[0])
+#: What undoes a multiplication by the polynomial's base.
+BACK = U(pow(int(TURNS[1]), -1, 1 << 64))
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the lower-cased texts, and how many words each text has.
 
-def shingles(text: str | None, words: Words) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's five-word shingles; of fewer words the sequence is the only one.
+    A word's hash is a polynomial in its bytes, from sums over all bytes at once, mixed with its length.
+    """
+    raw = b" ".join(texts).lower()
+    if not raw:
+        return np.zeros(0, U), np.zeros(len(texts), np.int64)
+    buf = np.frombuffer(raw, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], SPACE[buf], [True])).view(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    sums = np.concatenate(([U(0)], np.cumsum(BYTE[buf] * np.cumprod(np.full(len(buf), TURNS[1])))))
+    back = np.concatenate(([U(1)], np.cumprod(np.full(len(buf), BACK))))
+    found = mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(U) * TURNS[0])
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return found, np.diff(np.searchsorted(begin, starts))
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's five-word shingles; of fewer words the sequence is the only one.
+
+    Words are what ASCII white space parts, with A-Z in lower case: bytes.lower() changes just these.
+    """
+    ids, counts = word_hashes([(t or "").encode() for t in texts])
+
+    def combined(ids: np.ndarray, width: int) -> np.ndarray:
+        total = np.full(max(0, len(ids) - width + 1), width, U)
+        for j in range(width):
+            total += ids[j : len(ids) - width + 1 + j] * TURNS[j]
+            total ^= total >> U(31)
+        return mixed(total)
+
+    every, at, out = combined(ids, WIDTH), 0, []
+    for n in counts.tolist():
+        out.append(np.unique(every[at : at + n - WIDTH + 1]) if n >= WIDTH else combined(ids[at : at + n], n) if n else np.zeros(0, U))
+        at += n
+    return out
+
+
+def bands(size: int) -> list[int]:
+    """Largest sizes of the bands in which a set of that size meets its partners: its own, and the next if a partner may be there."""
+    top = BAND
+    while top < size:
+        top *= BAND
+    return [top] if size * PARTS // SHARE <= top else [top, top * BAND]
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """For each band of the set one byte for each of the band's cells, the sum of what the shingles in the cell hash to.
 
-    Words are what ASCII white space parts, with A-Z in lower case: just what bytes.split() and bytes.lower() do.
+    Where the bytes of two sets differ their shingles do: the sets differ in as many shingles at least as cells.
     """
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.zeros(0, _U)
-    ids = np.fromiter(map(words.__getitem__, found), _U, len(found))
-    width = min(WIDTH, len(ids))
-    total = np.full(len(ids) - width + 1, width, _U)
-    for j in range(width):
-        total += ids[j : len(ids) - width + 1 + j] * TURNS[j]
-        total ^= total >> _U(31)
-    return np.unique(mixed(total))
+    out = [b""]
+    for top in bands(len(s)) if len(s) else ():
+        cell = ((s >> U(20)) % U(cells(top))).astype(np.int64)
+        out.append(np.bincount(cell, (s & U(255)).astype(np.float64), cells(top)).astype(np.int64).astype(np.uint8).tobytes())
+    return b"".join(out)
+
+
+def cells(top: int) -> int:
+    return LEAST_PARTS + top * 2 // 5
 
 
 # --- sets, and frequent shingles -------------------------------------------------------------------------------------
 
 
+#: Texts whose words are hashed together.
+TOGETHER = 256
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
     for batch in batches:
-        sizes, digests, seen = [], [], {}
-        for text in batch.column(1).to_pylist():
-            s = shingles(text, words)
-            digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            sizes.append(len(s))
-            digests.append(digest)
-            seen[digest] = s
+        sizes, digests, sketches, seen = [], [], [], {}
+        for at in range(0, batch.num_rows, TOGETHER):
+            for s in shingle_sets(batch.column(1).slice(at, TOGETHER).to_pylist()):
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                sizes.append(len(s))
+                digests.append(digest)
+                sketches.append(sketch(s))
+                seen[digest] = s
         n = batch.num_rows
-        yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int64())], names=["doc_id", "n", "digest", "shingle"])
-        hashes, counts = np.unique(np.concatenate([np.zeros(0, _U), *seen.values()]), return_counts=True)
+        yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64())], names=["doc_id", "n", "digest", "sketch", "shingle"])
+        hashes, counts = np.unique(np.concatenate([np.zeros(0, U), *seen.values()]), return_counts=True)
         hashes, counts = hashes[counts >= LOCAL_SETS], counts[counts >= LOCAL_SETS]
-        yield pa.record_batch([pa.nulls(len(hashes), pa.int64()), pa.array(counts, pa.int64()), pa.nulls(len(hashes), pa.binary()), pa.array(hashes.view(np.int64))], names=["doc_id", "n", "digest", "shingle"])
+        yield pa.record_batch([pa.nulls(len(hashes), pa.int64()), pa.array(counts, pa.int64()), pa.nulls(len(hashes), pa.binary()), pa.nulls(len(hashes), pa.binary()), pa.array(hashes.view(np.int64))], names=["doc_id", "n", "digest", "sketch", "shingle"])
 
 
 # --- signatures ------------------------------------------------------------------------------------------------------
 
 
-def bands(size: int) -> list[int]:
-    """Largest sizes of the bands in which a set of that size meets its partners: its own, and the next if a partner may be there."""
-    top = BAND
-    while top < size:
-        top *= BAND
-    return [top] if size * PARTS // SHARE <= top else [top, top * BAND]
-
-
 def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """PartEnum signatures of a set of shingle hashes.
 
@@ -108,32 +145,31 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     for top in bands(len(s)):
         parts = max(LEAST_PARTS, int(top * PARTS_A_SIZE))
         apart = (len(s) + min(len(s) * PARTS // SHARE, top)) * (PARTS - SHARE) // (PARTS + SHARE)
-        part = (spread >> _U(33)).astype(np.int64) % parts
+        part = (spread >> U(33)).astype(np.int64) % parts
         order = np.argsort(part, kind="stable")
         own = part[order]
         starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         sums = np.add.reduceat(spread[order], starts)
         sizes = np.diff(np.concatenate((starts, [len(s)])))
         rares = np.add.reduceat(rare[order].astype(np.int64), starts)
-        salt = (own[starts].astype(_U) + _U(1)) * TURNS[0] + _U(top)
+        salt = (own[starts].astype(U) + U(1)) * TURNS[0] + U(top)
         found = mixed(sums * TURNS[1] + mixed(salt))
         keep = min(apart + 1, parts)
         first = np.lexsort((found, -sizes, -rares))[:keep]
         out.append(found[first])
         if keep > len(found):
             empty = np.setdiff1d(np.arange(parts), own)
-            nothing = np.sort(mixed(mixed((empty.astype(_U) + _U(1)) * TURNS[0] + _U(top))))
+            nothing = np.sort(mixed(mixed((empty.astype(U) + U(1)) * TURNS[0] + U(top))))
             out.append(nothing[: keep - len(found)])
     return np.concatenate(out)
 
 
 def _signed(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.RecordBatch]:
-    words = Words()
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            sets = [shingles(t, words) for t in part.column(1).to_pylist()]
-            found = [signatures(s, frequent.value) if len(s) else np.zeros(0, _U) for s in sets]
+        for at in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(at, TOGETHER)
+            sets = shingle_sets(part.column(1).to_pylist())
+            found = [signatures(s, frequent.value) if len(s) else np.zeros(0, U) for s in sets]
             ends = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
@@ -168,7 +204,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not read:
         return
     sign, doc, n = (np.concatenate(x) for x in zip(*read, strict=True))
-    order = np.lexsort((mixed(doc.view(_U)), sign))
+    order = np.lexsort((mixed(doc.view(U)), sign))
     sign, doc, n = sign[order], doc[order], n[order]
     starts = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(sign)])))
@@ -190,33 +226,44 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rest(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
-    """Of the large groups, pairs of members that are not in one component yet: with the turn's hubs, or at last all."""
-    read = [tuple(b.column(i).to_numpy() for i in range(4)) for b in batches]
+    """Of the large groups, pairs of members in different components whose sketches allow a link: with the turn's hubs, or at
+    last all."""
+    read = [(*(b.column(i).to_numpy() for i in range(4)), b.column(4).to_pylist()) for b in batches]
     if not read:
         return
-    sign, doc, n, label = (np.concatenate(x) for x in zip(*read, strict=True))
-    order = np.lexsort((mixed(doc.view(_U)), sign))
+    sign, doc, n, label = (np.concatenate(x) for x in list(zip(*read, strict=True))[:4])
+    sketches = [x for r in read for x in r[4]]
+    order = np.lexsort((mixed(doc.view(U)), sign))
     sign, doc, n, label = sign[order], doc[order], n[order], label[order]
     starts = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1])))
-    chunks, waiting = [], 0
+    chunks = []
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(sign)], strict=True):
         if (label[a:b] == label[a]).all():
             continue
+        top = bands(int(n[a:b].max()))[0]  # a signature is of one band; its sets meet in the largest one's
+        inside = [top in bands(int(x)) for x in n[a:b].tolist()]
+        rows = np.stack([_cells(sketches[k], int(m), top) if i else np.zeros(cells(top), np.uint8) for k, m, i in zip(order[a:b].tolist(), n[a:b].tolist(), inside, strict=True)])
+        inside = np.array(inside)
         if turn < ROUNDS:  # the first members, by hash, of as many components
-            hubs = a + np.sort(np.unique(label[a:b], return_index=True)[1])[turn : turn + HUBS]
+            hubs = np.sort(np.unique(label[a:b], return_index=True)[1])[turn : turn + HUBS].tolist()
         else:
-            hubs = range(a, b)
+            hubs = range(b - a)
         for h in hubs:
-            begin = a if turn < ROUNDS else h + 1
-            i = begin + np.flatnonzero((label[begin:b] != label[h]) & _near(n[begin:b], n[h]))
-            chunks.append((doc[i], np.full(len(i), doc[h])))
-            waiting += len(i)
-            if waiting > 500_000:
-                yield _rows(*_pairs(chunks), None, None)
-                chunks, waiting = [], 0
+            i = np.flatnonzero((label[a:b] != label[a + h]) & _near(n[a:b], n[a + h]) & inside & inside[h])
+            i = i[i > h] if turn == ROUNDS else i
+            apart = (rows[i] != rows[h]).sum(1)
+            i = i[apart * (PARTS + SHARE) <= (n[a + i] + n[a + h]) * (PARTS - SHARE)]
+            chunks.append((doc[a + i], np.full(len(i), doc[a + h])))
+        if sum(len(x) for x, _ in chunks) > 500_000:
+            chunks = [_pairs(chunks)]
     yield _rows(*_pairs(chunks), None, None)
 
 
+def _cells(raw: bytes, size: int, top: int) -> np.ndarray:
+    """A set's sketch in the band up to `top`."""
+    return np.frombuffer(raw, np.uint8)[sum(cells(t) for t in bands(size) if t < top) :][: cells(top)]
+
+
 # --- verification ----------------------------------------------------------------------------------------------------
 
 
@@ -231,30 +278,69 @@ def _bits(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
-    words, filter_ = Words(), bits.value
+    filter_ = bits.value
     for batch in batches:
         h = batch.column("h").to_numpy()
         batch = batch.filter(pa.array((filter_[h >> 5] >> (h & 31) & 1).astype(bool)))
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            yield pa.record_batch([part.column("doc_id"), pa.array([shingles(t, words).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=["id", "shingles"])
+        for at in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(at, TOGETHER)
+            yield pa.record_batch([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text").to_pylist())], pa.binary())], names=["id", "shingles"])
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
             place = np.minimum(np.searchsorted(x, y), len(x) - 1)
             both = int((x[place] == y).sum())
             keep.append(PARTS * both >= SHARE * (len(x) + len(y) - both))
         yield pa.record_batch([batch.column("a"), batch.column("b")], names=["u", "v"]).filter(pa.array(keep))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    right = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = right.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    return stash(both.select("a", "b", "x", "y").mapInArrow(_links, "u long, v long"))
+def _maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches don't rule out a link: J >= s means a difference of at most (1 - s) / (1 + s) of the sizes' sum."""
+    for batch in batches:
+        keep = []
+        for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
+            low, high = sorted((bands(n), bands(m)))
+            top = high[0]
+            if top not in low:
+                keep.append(False)
+                continue
+            x, y = _cells(x, n, top), _cells(y, m, top)
+            keep.append(int((x != y).sum()) * (PARTS + SHARE) <= (n + m) * (PARTS - SHARE))
+        yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+
+
+def _verified(pairs: DataFrame, sized: DataFrame, rows: DataFrame) -> DataFrame:
+    """The links among the candidate pairs.
+
+    Sketches rule out most others. The whole sets of what is left are compared: first each document with one partner, then the
+    pairs that these links have not brought into one component.
+    """
+    spark = pairs.sparkSession
+    of = lambda id_, n, x: sized.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias(id_), F.col("n").alias(n), F.col("sketch").alias(x))
+    left = stash(pairs.join(of("b", "m", "y"), "b").join(of("a", "n", "x"), "a").select("a", "b", "n", "m", "x", "y").mapInArrow(_maybe, "a long, b long"))
+    ids = stash(left.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    if ids.isEmpty():
+        return left.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    bits = spark.sparkContext.broadcast(_bits(ids))
+    hashed = rows.where("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    sets = stash(hashed.mapInArrow(lambda it: _sets(it, bits), "id long, shingles binary").join(ids, "id", "left_semi"))
+
+    def compared(some: DataFrame) -> DataFrame:
+        right = some.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        both = right.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+        return stash(both.select("a", "b", "x", "y").mapInArrow(_links, "u long, v long"))
+
+    links = compared(left.groupBy("b").agg(F.min("a").alias("a")))
+    if links.isEmpty():
+        return compared(left)
+    names = components(links)
+    named = lambda id_, label: names.select(F.col("id").alias(id_), F.col("component").alias(label))
+    apart = left.join(named("a", "_a"), "a", "left").join(named("b", "_b"), "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    return links.unionByName(compared(stash(apart)))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -270,10 +356,10 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    seen = stash(rows.mapInArrow(_digests, "doc_id long, n long, digest binary, shingle long"))
+    seen = stash(rows.mapInArrow(_digests, "doc_id long, n long, digest binary, sketch binary, shingle long"))
     known = seen.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(KNOWN_FREQUENT).toPandas()
-    frequent = spark.sparkContext.broadcast(np.sort(known["shingle"].to_numpy(np.int64).view(_U)))
-    sized = seen.where("shingle is null").select("doc_id", "n", "digest")
+    frequent = spark.sparkContext.broadcast(np.sort(known["shingle"].to_numpy(np.int64).view(U)))
+    sized = seen.where("shingle is null").select("doc_id", "n", "digest", "sketch")
     classes = sized.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class"), F.max("n").alias("n"))
     total = classes.agg(F.sum("n")).first()[0] or 0
     signed = rows.where("doc_id is not null").mapInArrow(lambda it: _signed(it, frequent), "doc_id long, digest binary, n int, signs array<long>")
@@ -282,18 +368,21 @@ def groups(docs: DataFrame) -> DataFrame:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * ROWS_A_TASK))
     met = stash(signed.select(F.explode("signs").alias("sign"), "doc_id", "n").repartition(tasks, "sign").mapInArrow(_met, CANDIDATES))
     pairs, large = met.where("b is not null").select("a", "b").distinct(), met.where("b is null").select("sign", F.col("a").alias("doc_id"), "n")
-    ids = met.select(F.explode(F.array("a", "b")).alias("id")).where("id is not null").distinct()
-    bits = spark.sparkContext.broadcast(_bits(ids))
-    hashed = rows.where("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
-    sets = stash(hashed.mapInArrow(lambda it: _sets(it, bits), "id long, shingles binary").join(ids, "id", "left_semi"))
-    links = _verified(pairs, sets)
-    if not large.isEmpty():
-        for turn in range(1, ROUNDS + 1):
-            found = components(links).withColumnRenamed("id", "doc_id")
-            open_ = large.join(found, "doc_id", "left").select("sign", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
-            more = open_.repartition(tasks, "sign").mapInArrow(lambda it, turn=turn: _rest(it, turn), CANDIDATES).select("a", "b").distinct()
-            links = stash(links.unionByName(_verified(stash(more), sets)))
-    names = components(links).select(F.col("id").alias("class"), "component")
+    links = _verified(pairs, sized, rows)
+    found = components(links)
+    for turn in range(1, ROUNDS + 1) if not large.isEmpty() else ():
+        labels = found.select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
+        rest = large.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        several = rest.groupBy("sign").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("sign")
+        if several.isEmpty():
+            break
+        open_ = rest.join(several, "sign").join(sized.where("n > 0 and doc_id is not null").select("doc_id", "sketch"), "doc_id").select("sign", "doc_id", "n", "label", "sketch")
+        more = stash(open_.repartition(tasks, "sign").mapInArrow(lambda it, turn=turn: _rest(it, turn), CANDIDATES).select("a", "b").distinct())
+        new = _verified(more, sized, rows) if not more.isEmpty() else more
+        if not new.isEmpty():
+            links = stash(links.unionByName(new))
+            found = components(links)
+    names = found.select(F.col("id").alias("class"), "component")
     by_set = classes.select("digest", "class").join(names, "class", "left").select("digest", F.coalesce("component", "class").alias("component"))
     out = sized.join(by_set, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -83,14 +84,22 @@ def _packed(rows: list[dict]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r.get(f.name) for r in rows], f.type) for f in COLUMNS], schema=COLUMNS)
 
 
+#: Numbers that rise within a row: their differences are kept.
+RISING = (np.uint16, np.int64)
+
+
 def _planes(x: np.ndarray, kind: type) -> bytes:
-    """The numbers' lowest bytes, then the next, and so on: what compresses well."""
-    return np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    """The numbers' lowest bytes, then the next, and so on, compressed."""
+    x = x.astype(kind)
+    if kind in RISING:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), 1)
 
 
 def _numbers(raw: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    x = np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if kind in RISING else x
 
 
 def _entries(block: int, bucket: np.ndarray, buckets: int, **numbers: np.ndarray) -> list[dict]:
@@ -165,7 +174,7 @@ def _to_documents(rows: pa.Table, fields: tuple[str, ...]) -> pa.Table:
     rows = rows.to_pylist()
     documents = next(r for r in rows if r["ids"] is not None)
     entries = [r for r in rows if r["ids"] is None]
-    out: dict[str, list] = {f: [] for f in ("doc_id", "th", *fields)}
+    out: dict[str, list] = {f: [] for f in ("id", "th", *fields)}
     if entries:
         _, place, *numbers = _gathered(entries, "place", *fields)
         order = np.lexsort((numbers[0], place))
@@ -197,7 +206,7 @@ def _snipped(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
             i = 0
             for r in rows:
                 j = i + len(r["n"])
-                r["snippets"] = b"".join([snippets[k] for k in order[i:j].tolist()])
+                r["snippets"] = zstandard.compress(b"".join([snippets[k] for k in order[i:j].tolist()]), 3)
                 i = j
             documents = {"block": block, "bucket": block % buckets, "ids": part.column("doc_id").to_pylist(), "ths": part.column("th").to_pylist()}
             yield _packed([documents, *rows])
@@ -236,7 +245,7 @@ def _deduplicated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             _, rows = buckets.popitem()
             of, place, lo, n, key, doc = _gathered(rows, "place", "lo", "n", "key", "doc")
             lo, n = lo.astype(np.int64), n.astype(np.int64)
-            blob, ends = b"".join(r["snippets"] for r in rows), np.cumsum(n + LENGTH - 1).tolist()
+            blob, ends = b"".join(zstandard.decompress(r["snippets"]) for r in rows), np.cumsum(n + LENGTH - 1).tolist()
             snippets = [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             text = np.fromiter(map(xxhash.xxh3_64_intdigest, snippets), U, len(snippets))
             order = np.lexsort((doc, text, key))
@@ -297,14 +306,18 @@ def deduplicate(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     """
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * tasks
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    named = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # keys without nulls, so that both joins below read one shuffle of the texts; no named row has a nameless one's hash
+    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text", F.isnull("doc_id")).alias("th"))
+    dealt = rows.repartition(tasks, "id", "th")
+    named = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("doc_id", "text", "th")
     held = named.mapInArrow(lambda it: _anchored(it, buckets), PACKED).repartition(tasks, "bucket").mapInArrow(_repeated, PACKED)
-    at = held.groupBy("block").applyInArrow(lambda t: _to_documents(t, ("lo", "n", "key")), "doc_id long, th long, lo binary, n binary, key binary")
-    at = at.groupBy("doc_id", "th").agg(*(F.first(f).alias(f) for f in ("lo", "n", "key")))
-    snippets = named.join(at.hint("merge"), ["doc_id", "th"]).mapInArrow(lambda it: _snipped(it, buckets), PACKED)
+    at = held.groupBy("block").applyInArrow(lambda t: _to_documents(t, ("lo", "n", "key")), "id long, th long, lo binary, n binary, key binary")
+    at = at.groupBy("id", "th").agg(*(F.first(f).alias(f) for f in ("lo", "n", "key")))
+    snippets = dealt.join(at.hint("merge"), ["id", "th"]).select("doc_id", "th", "text", "lo", "n", "key").mapInArrow(lambda it: _snipped(it, buckets), PACKED)
     gone = snippets.repartition(tasks, "bucket").mapInArrow(_deduplicated, PACKED)
-    spans = gone.groupBy("block").applyInArrow(lambda t: _to_documents(t, ("lo", "hi")), "doc_id long, th long, lo binary, hi binary")
-    spans = spans.groupBy("doc_id", "th").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    spans = gone.groupBy("block").applyInArrow(lambda t: _to_documents(t, ("lo", "hi")), "id long, th long, lo binary, hi binary")
+    spans = spans.groupBy("id", "th").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    both = dealt.join(spans.hint("merge"), ["id", "th"], "left").select("doc_id", "text", "lo", "hi")
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "")
-    return rows.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "lo", "hi").mapInArrow(lambda it: _kept(it, keep_bytes), kinds)
+    return both.mapInArrow(lambda it: _kept(it, keep_bytes), kinds)
