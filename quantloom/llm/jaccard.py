@@ -88,19 +88,20 @@ def bands(size: int) -> list[int]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """For each band of the set one byte for each of the band's cells, the sum of what the shingles in the cell hash to.
+    """For each band of the set one bit for each of the band's cells: whether the shingles in the cell are odd in number.
 
-    Where the bytes of two sets differ their shingles do: the sets differ in as many shingles at least as cells.
+    Where the bits of two sets differ their shingles do: the sets differ in as many shingles at least as bits.
     """
     out = [b""]
     for top in bands(len(s)) if len(s) else ():
         cell = ((s >> U(20)) % U(cells(top))).astype(np.int64)
-        out.append(np.bincount(cell, (s & U(255)).astype(np.float64), cells(top)).astype(np.int64).astype(np.uint8).tobytes())
+        out.append(np.packbits((np.bincount(cell, minlength=cells(top)) & 1).astype(bool)).tobytes())
     return b"".join(out)
 
 
 def cells(top: int) -> int:
-    return LEAST_PARTS + top * 2 // 5
+    """A multiple of 8. At so many cells, sets of a band that share half their shingles differ in too many bits for a link."""
+    return 16 + top
 
 
 # --- sets, and frequent shingles -------------------------------------------------------------------------------------
@@ -242,7 +243,7 @@ def _rest(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBat
             continue
         top = bands(int(n[a:b].max()))[0]  # a signature is of one band; its sets meet in the largest one's
         inside = [top in bands(int(x)) for x in n[a:b].tolist()]
-        rows = np.stack([_cells(sketches[k], int(m), top) if i else np.zeros(cells(top), np.uint8) for k, m, i in zip(order[a:b].tolist(), n[a:b].tolist(), inside, strict=True)])
+        rows = np.stack([_cells(sketches[k], int(m), top) if i else np.zeros(cells(top) // 8, np.uint8) for k, m, i in zip(order[a:b].tolist(), n[a:b].tolist(), inside, strict=True)])
         inside = np.array(inside)
         if turn < ROUNDS:  # the first members, by hash, of as many components
             hubs = np.sort(np.unique(label[a:b], return_index=True)[1])[turn : turn + HUBS].tolist()
@@ -251,7 +252,7 @@ def _rest(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBat
         for h in hubs:
             i = np.flatnonzero((label[a:b] != label[a + h]) & _near(n[a:b], n[a + h]) & inside & inside[h])
             i = i[i > h] if turn == ROUNDS else i
-            apart = (rows[i] != rows[h]).sum(1)
+            apart = np.bitwise_count(rows[i] ^ rows[h]).sum(1, dtype=np.int64)
             i = i[apart * (PARTS + SHARE) <= (n[a + i] + n[a + h]) * (PARTS - SHARE)]
             chunks.append((doc[a + i], np.full(len(i), doc[a + h])))
         if sum(len(x) for x, _ in chunks) > 500_000:
@@ -261,7 +262,7 @@ def _rest(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBat
 
 def _cells(raw: bytes, size: int, top: int) -> np.ndarray:
     """A set's sketch in the band up to `top`."""
-    return np.frombuffer(raw, np.uint8)[sum(cells(t) for t in bands(size) if t < top) :][: cells(top)]
+    return np.frombuffer(raw, np.uint8)[sum(cells(t) // 8 for t in bands(size) if t < top) :][: cells(top) // 8]
 
 
 # --- verification ----------------------------------------------------------------------------------------------------
@@ -309,19 +310,23 @@ def _maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep.append(False)
                 continue
             x, y = _cells(x, n, top), _cells(y, m, top)
-            keep.append(int((x != y).sum()) * (PARTS + SHARE) <= (n + m) * (PARTS - SHARE))
+            keep.append(int(np.bitwise_count(x ^ y).sum()) * (PARTS + SHARE) <= (n + m) * (PARTS - SHARE))
         yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
 
-def _verified(pairs: DataFrame, sized: DataFrame, rows: DataFrame) -> DataFrame:
-    """The links among the candidate pairs.
+def _plausible(pairs: DataFrame, sized: DataFrame) -> DataFrame:
+    """The candidate pairs whose sketches allow a link."""
+    of = lambda id_, n, x: sized.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias(id_), F.col("n").alias(n), F.col("sketch").alias(x))
+    return stash(pairs.join(of("b", "m", "y"), "b").join(of("a", "n", "x"), "a").select("a", "b", "n", "m", "x", "y").mapInArrow(_maybe, "a long, b long"))
+
 
-    Sketches rule out most others. The whole sets of what is left are compared: first each document with one partner, then the
-    pairs that these links have not brought into one component.
+def _verified(left: DataFrame, rows: DataFrame) -> DataFrame:
+    """The links among the candidate pairs that sketches have left.
+
+    Whole sets are compared: first each document with one partner, then the pairs that these links have not brought into one
+    component.
     """
-    spark = pairs.sparkSession
-    of = lambda id_, n, x: sized.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias(id_), F.col("n").alias(n), F.col("sketch").alias(x))
-    left = stash(pairs.join(of("b", "m", "y"), "b").join(of("a", "n", "x"), "a").select("a", "b", "n", "m", "x", "y").mapInArrow(_maybe, "a long, b long"))
+    spark = left.sparkSession
     ids = stash(left.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     if ids.isEmpty():
         return left.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -368,7 +373,7 @@ def groups(docs: DataFrame) -> DataFrame:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * ROWS_A_TASK))
     met = stash(signed.select(F.explode("signs").alias("sign"), "doc_id", "n").repartition(tasks, "sign").mapInArrow(_met, CANDIDATES))
     pairs, large = met.where("b is not null").select("a", "b").distinct(), met.where("b is null").select("sign", F.col("a").alias("doc_id"), "n")
-    links = _verified(pairs, sized, rows)
+    links = _verified(_plausible(pairs, sized), rows)
     found = components(links)
     for turn in range(1, ROUNDS + 1) if not large.isEmpty() else ():
         labels = found.select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
@@ -378,7 +383,7 @@ def groups(docs: DataFrame) -> DataFrame:
             break
         open_ = rest.join(several, "sign").join(sized.where("n > 0 and doc_id is not null").select("doc_id", "sketch"), "doc_id").select("sign", "doc_id", "n", "label", "sketch")
         more = stash(open_.repartition(tasks, "sign").mapInArrow(lambda it, turn=turn: _rest(it, turn), CANDIDATES).select("a", "b").distinct())
-        new = _verified(more, sized, rows) if not more.isEmpty() else more
+        new = _verified(more, rows) if not more.isEmpty() else more
         if not new.isEmpty():
             links = stash(links.unionByName(new))
             found = components(links)

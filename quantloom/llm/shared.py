@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -20,7 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
 def stash(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet in the shared folder and read them back: a lost executor costs no recomputation.
 
-    The folder goes when the driver ends.
+    The folder goes when the driver ends. Spark drops the shuffle files behind the rows once the driver's garbage collection
+    finds them unused; on an idle driver that may take half an hour, so it is asked for here.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quantloom-{uuid.uuid4().hex}"
@@ -28,4 +30,6 @@ def stash(df: DataFrame) -> DataFrame:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    gc.collect()
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
