@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import TimestampType
+
+
+def timed(ticks: DataFrame, late: str) -> DataFrame:
+    """Ticks with a watermark, which needs an instant: a time without zone is read in the session's zone (set it to UTC)."""
+    return ticks.withColumn("time", F.col("time").cast(TimestampType())).withWatermark("time", late)
 
 
 def closed_bars(ticks: DataFrame, timeframe: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Bars of a stream of ticks (instrument, time, price, size, side, seq); later ticks than the watermark are dropped."""
-    order = F.struct("time", "seq")
-    windowed = ticks.withWatermark("time", late).groupBy(F.window("time", timeframe), "instrument")
+    order, kind = F.struct("time", "seq"), ticks.schema["time"].dataType
+    windowed = timed(ticks, late).groupBy(F.window("time", timeframe), "instrument")
     made = windowed.agg(
         F.min_by("price", order).alias("open"),
         F.max("price").alias("high"),
@@ -17,10 +23,11 @@ def closed_bars(ticks: DataFrame, timeframe: str = "1 hour", late: str = "10 min
         F.round(F.sum("size"), 6).alias("volume"),
         F.round(F.sum(F.col("size") * F.col("side")), 6).alias("delta"),
     )
-    return made.select("instrument", F.lit(timeframe).alias("timeframe"), F.col("window.start").alias("time"), "open", "high", "low", "close", "volume", "delta")
+    return made.select("instrument", F.lit(timeframe).alias("timeframe"), F.col("window.start").cast(kind).alias("time"), "open", "high", "low", "close", "volume", "delta")
 
 
 def sessions_of_activity(ticks: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Spells of ticks without a pause longer than the gap."""
-    grouped = ticks.withWatermark("time", late).groupBy("instrument", F.session_window("time", gap).alias("w"))
-    return grouped.agg(F.count(F.lit(1)).alias("ticks"), F.sum("size").alias("volume")).select("instrument", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "ticks", "volume")
+    kind = ticks.schema["time"].dataType
+    grouped = timed(ticks, late).groupBy("instrument", F.session_window("time", gap).alias("w"))
+    return grouped.agg(F.count(F.lit(1)).alias("ticks"), F.sum("size").alias("volume")).select("instrument", F.col("w.start").cast(kind).alias("start"), F.col("w.end").cast(kind).alias("end"), "ticks", "volume")
