@@ -19,8 +19,9 @@ SHARE, PARTS = 75, 100
 BAND, PARTS_A_SIZE, LEAST_PARTS = 8, 4 / 7, 16
 #: Shingles in this many different sets of one batch are counted; of those, so many of the most frequent are known to all tasks.
 LOCAL_SETS, KNOWN_FREQUENT = 4, 100_000
-#: Sets that share a signature: up to SMALL_GROUP are paired with each other, beyond it with HUBS of them, in ROUNDS rounds.
-SMALL_GROUP, HUBS, ROUNDS = 12, 3, 3
+#: Sets that share a signature: up to SMALL_GROUP are paired with each other, beyond it with HUBS of them first. So many of a
+#: set's signatures, its least, tell in which of the groups that two sets share they meet.
+SMALL_GROUP, HUBS, LEAST_SIGNS = 12, 3, 8
 #: Rows of signatures that one task sorts, about; bits of the filter of ids.
 ROWS_A_TASK, FILTER_BITS = 1_000_000, 1 << 24
 
@@ -226,14 +227,17 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _rows(doc[large], None, sign[large], n[large])
 
 
-def _rest(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
-    """Of the large groups, pairs of members in different components whose sketches allow a link: with the turn's hubs, or at
-    last all."""
-    read = [(*(b.column(i).to_numpy() for i in range(4)), b.column(4).to_pylist()) for b in batches]
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the large groups, the pairs of members in different components whose sketches allow a link.
+
+    Two members that have some of their least signatures in common meet in the group of the first of these alone; others meet
+    in every group they share.
+    """
+    read = [(*(b.column(i).to_numpy() for i in range(4)), b.column(4).to_pylist(), b.column(5).to_pylist()) for b in batches]
     if not read:
         return
     sign, doc, n, label = (np.concatenate(x) for x in list(zip(*read, strict=True))[:4])
-    sketches = [x for r in read for x in r[4]]
+    sketches, least = [x for r in read for x in r[4]], [frozenset(x) for r in read for x in r[5]]
     order = np.lexsort((mixed(doc.view(U)), sign))
     sign, doc, n, label = sign[order], doc[order], n[order], label[order]
     starts = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1])))
@@ -244,16 +248,12 @@ def _rest(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBat
         top = bands(int(n[a:b].max()))[0]  # a signature is of one band; its sets meet in the largest one's
         inside = [top in bands(int(x)) for x in n[a:b].tolist()]
         rows = np.stack([_cells(sketches[k], int(m), top) if i else np.zeros(cells(top) // 8, np.uint8) for k, m, i in zip(order[a:b].tolist(), n[a:b].tolist(), inside, strict=True)])
-        inside = np.array(inside)
-        if turn < ROUNDS:  # the first members, by hash, of as many components
-            hubs = np.sort(np.unique(label[a:b], return_index=True)[1])[turn : turn + HUBS].tolist()
-        else:
-            hubs = range(b - a)
-        for h in hubs:
-            i = np.flatnonzero((label[a:b] != label[a + h]) & _near(n[a:b], n[a + h]) & inside & inside[h])
-            i = i[i > h] if turn == ROUNDS else i
+        inside, own, this = np.array(inside), [least[k] for k in order[a:b].tolist()], int(sign[a])
+        for h in range(b - a - 1):
+            i = h + 1 + np.flatnonzero((label[a + h + 1 : b] != label[a + h]) & _near(n[a + h + 1 : b], n[a + h]) & inside[h + 1 :] & inside[h])
             apart = np.bitwise_count(rows[i] ^ rows[h]).sum(1, dtype=np.int64)
             i = i[apart * (PARTS + SHARE) <= (n[a + i] + n[a + h]) * (PARTS - SHARE)]
+            i = i[[not both or min(both) == this for both in (own[h] & own[k] for k in i.tolist())]] if len(i) else i
             chunks.append((doc[a + i], np.full(len(i), doc[a + h])))
         if sum(len(x) for x, _ in chunks) > 500_000:
             chunks = [_pairs(chunks)]
@@ -353,8 +353,8 @@ def groups(docs: DataFrame) -> DataFrame:
 
     Equal sets are one class, named by its smallest doc_id; only class names are joined. Signatures bring together the
     classes that may link; every candidate pair is verified on its whole sets. Members of a large signature group meet a few
-    hubs first, round by round; members that are then in different components meet all the others, so that no link
-    between components is lost, while copies of one text are never paired with each other.
+    hubs first; those that are then in different components meet where their sketches allow a link, so that no link between
+    components is lost, while copies of one text are never paired with each other.
 
     A null or empty text has no shingles and its own component. A row without doc_id has n_shingles and no component. Repeated
     rows give a row each. An empty table gives none. Other columns are not read. Shingles are told apart by 64-bit hashes.
@@ -375,14 +375,14 @@ def groups(docs: DataFrame) -> DataFrame:
     pairs, large = met.where("b is not null").select("a", "b").distinct(), met.where("b is null").select("sign", F.col("a").alias("doc_id"), "n")
     links = _verified(_plausible(pairs, sized), rows)
     found = components(links)
-    for turn in range(1, ROUNDS + 1) if not large.isEmpty() else ():
+    if not large.isEmpty():
         labels = found.select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
         rest = large.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         several = rest.groupBy("sign").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("sign")
-        if several.isEmpty():
-            break
-        open_ = rest.join(several, "sign").join(sized.where("n > 0 and doc_id is not null").select("doc_id", "sketch"), "doc_id").select("sign", "doc_id", "n", "label", "sketch")
-        more = stash(open_.repartition(tasks, "sign").mapInArrow(lambda it, turn=turn: _rest(it, turn), CANDIDATES).select("a", "b").distinct())
+        open_ = rest.join(several, "sign").groupBy("doc_id", "n", "label").agg(F.sort_array(F.collect_list("sign")).alias("signs"))
+        sketched = open_.join(sized.where("n > 0 and doc_id is not null").select("doc_id", "sketch"), "doc_id")
+        members = sketched.select(F.explode("signs").alias("sign"), "doc_id", "n", "label", "sketch", F.slice("signs", 1, LEAST_SIGNS).alias("least"))
+        more = stash(members.repartition(tasks, "sign").mapInArrow(_rest, CANDIDATES).select("a", "b").distinct())
         new = _verified(more, rows) if not more.isEmpty() else more
         if not new.isEmpty():
             links = stash(links.unionByName(new))
