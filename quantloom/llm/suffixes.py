@@ -205,7 +205,7 @@ def _snipped(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
             rows = _entries(block, bucket[order], buckets, place=place[order], lo=lo[order], n=n[order], key=key[order], doc=doc[order])
             i = 0
             for r in rows:
-                j = i + len(r["n"])
+                j = i + len(_numbers(r["n"], FIELDS["n"]))
                 r["snippets"] = zstandard.compress(b"".join([snippets[k] for k in order[i:j].tolist()]), 3)
                 i = j
             documents = {"block": block, "bucket": block % buckets, "ids": part.column("doc_id").to_pylist(), "ths": part.column("th").to_pylist()}
