@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -135,6 +137,31 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _shared(docs: DataFrame, benchmark: DataFrame, width: int) -> list:
+    """The automata, each pickled and broadcast on its own."""
+    return [docs.sparkSession.sparkContext.broadcast(pickle.dumps(a)) for a in _automata(benchmark, width)]
+
+
+@functools.lru_cache(1)
+def _loaded(shared) -> Automaton:
+    """A worker holds one automaton at a time, and a single one from task to task."""
+    return pickle.loads(shared.value)
+
+
+def _covered(texts: list[str | None], automata: list) -> tuple[list[int], list[list[tuple[int, int]]], list[set[int]]]:
+    """For each text its words, the runs of them that windows of any automaton cover, and the items they are from."""
+    n_words, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+    for shared in automata:
+        a = _loaded(shared)
+        for k, text in enumerate(texts):
+            words = WORD.findall(normalised(text or ""))
+            found, of = a.hits(words)
+            n_words[k] = len(words)
+            spans[k] += _merged(found)
+            items[k] |= of
+    return n_words, [_merged(s) for s in spans], items
+
+
 def _scan(batches: Iterator[pa.RecordBatch], automaton) -> Iterator[pa.RecordBatch]:
     a = automaton.value
     for batch in batches:
@@ -174,19 +201,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     return merged.withColumn("word_spans", again("word_spans"))
 
 
-def _removed(batches: Iterator[pa.RecordBatch], automaton, limit: float) -> Iterator[pa.RecordBatch]:
-    a = automaton.value
+def _removed(batches: Iterator[pa.RecordBatch], automata, limit: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        given = batch.column("text").to_pylist()
+        n_words, covered_runs, _ = _covered(given, automata)
         texts, kept = [], []
-        for text in batch.column("text").to_pylist():
-            words = list(WORD.finditer(normalised(text or "")))
-            spans = _merged(a.hits([w[0] for w in words])[0]) if words else []
+        for text, n, spans in zip(given, n_words, covered_runs, strict=True):
+            words = list(WORD.finditer(normalised(text))) if spans else []
             covered, at, parts = sum(e - b for b, e in spans), 0, []
             for b, e in spans:
                 parts.append(text[at : words[b].start()])
                 at = words[e - 1].end()
             texts.append("".join(parts) + text[at:] if spans else text)
-            kept.append(covered <= limit * len(words))
+            kept.append(covered <= limit * n)
         columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names]
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(kept))
 
@@ -194,10 +221,8 @@ def _removed(batches: Iterator[pa.RecordBatch], automaton, limit: float) -> Iter
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, coverage: float = 0.5) -> DataFrame:
     """The documents without the spans that benchmark windows cover; one covered beyond `coverage` of its words goes whole.
 
-    A benchmark beyond one automaton's bound is removed block by block. Nulls and further columns stay as they are.
+    The spans of all blocks of a large benchmark are found on the text as given and united before any is removed. Nulls and
+    further columns stay as they are.
     """
-    out = docs
-    for automaton in _automata(benchmark, width):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-        out = out.mapInArrow(lambda it, shared=shared: _removed(it, shared, coverage), out.schema)
-    return out
+    automata = _shared(docs, benchmark, width)
+    return docs.mapInArrow(lambda it: _removed(it, automata, coverage), docs.schema)

@@ -45,3 +45,14 @@ def test_removal(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "Keep this: ! And this " + "clean " * 20, 3: None, 4: "clean"}
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.decontaminated(out, none).count() == 3
+
+
+def test_removal_with_items_of_two_blocks(spark, monkeypatch):
+    words = [f"w{i}" for i in range(30)]
+    items = [(1, " ".join(words[:10])), (2, " ".join(words[5:15])), (3, "left right"), (4, " ".join(words[20:28]))]
+    clean = " clean" * 40
+    docs = [(1, "See " + " ".join(words[:15]) + "!" + clean), (2, "left " + " ".join(words[:10]) + " right" + clean), (3, " ".join(words[:10]) + " " + " ".join(words[20:28]) + " x" * 12), (4, None)]
+    for bound in (100_000, 1):
+        monkeypatch.setattr(d, "WORDS_PER_AUTOMATON", bound)
+        out = d.decontaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+        assert {r.doc_id: r.text for r in out.collect()} == {1: "See !" + clean, 2: "left  right" + clean, 4: None}
