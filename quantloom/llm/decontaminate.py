@@ -162,17 +162,11 @@ def _covered(texts: list[str | None], automata: list) -> tuple[list[int], list[l
     return n_words, [_merged(s) for s in spans], items
 
 
-def _scan(batches: Iterator[pa.RecordBatch], automaton) -> Iterator[pa.RecordBatch]:
-    a = automaton.value
+def _scan(batches: Iterator[pa.RecordBatch], automata) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_words, spans, items = [], [], []
-        for text in batch.column(1).to_pylist():
-            words = WORD.findall(normalised(text or ""))
-            found, of = a.hits(words)
-            n_words.append(len(words))
-            spans.append([x for s in _merged(found) for x in s])
-            items.append(sorted(of))
-        yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "n_words", "word_spans", "items"])
+        n_words, spans, items = _covered(batch.column(1).to_pylist(), automata)
+        flat = [[x for s in found for x in s] for found in spans]
+        yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(flat, pa.list_(pa.int32())), pa.array(map(sorted, items), pa.list_(pa.int64()))], names=["doc_id", "n_words", "word_spans", "items"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
@@ -180,25 +174,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 
     Columns: doc_id, n_words, word_spans (begin, end, begin, end, ... of covered runs, in words), items. Every document's words
     stream through an automaton of the items, which keeps the longest match that ends at each word; only runs of words
-    that the items know are walked. A benchmark beyond one automaton's bound takes a pass for each block of items, whose
-    rows are joined by document.
+    that the items know are walked. A benchmark beyond one automaton's bound has several, which each batch of documents meets
+    one after the other.
 
-    A null or empty text has no words; a null item or one without words has no window. Repeated documents give a row
-    each (with several automata, rows alike in doc_id and text give one). An empty table gives none.
+    A null or empty text has no words; a null item or one without words has no window. Every row gives one row, also repeated
+    documents and null ids. An empty table gives none.
     """
-    spark, out = docs.sparkSession, None
+    automata = _shared(docs, benchmark, width)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    kinds = "doc_id long, n_words long, word_spans array<int>, items array<long>"
-    for automaton in _automata(benchmark, width):
-        shared = spark.sparkContext.broadcast(automaton)
-        found = rows.mapInArrow(lambda it, shared=shared: _scan(it, shared), kinds)
-        out = found if out is None else out.unionByName(found)
-        first = out is found
-    if first:
-        return out
-    merged = out.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("word_spans")).alias("word_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    again = F.udf(lambda s: [x for pair in _merged(list(zip(s[::2], s[1::2], strict=True))) for x in pair], "array<int>")
-    return merged.withColumn("word_spans", again("word_spans"))
+    return rows.mapInArrow(lambda it: _scan(it, automata), "doc_id long, n_words long, word_spans array<int>, items array<long>")
 
 
 def _removed(batches: Iterator[pa.RecordBatch], automata, limit: float) -> Iterator[pa.RecordBatch]:

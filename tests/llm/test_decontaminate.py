@@ -56,3 +56,13 @@ def test_removal_with_items_of_two_blocks(spark, monkeypatch):
         monkeypatch.setattr(d, "WORDS_PER_AUTOMATON", bound)
         out = d.decontaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
         assert {r.doc_id: r.text for r in out.collect()} == {1: "See !" + clean, 2: "left  right" + clean, 4: None}
+
+
+def test_one_row_for_each_row_with_several_blocks(spark, monkeypatch):
+    items = [(1, "one two three"), (2, "four five"), (3, "two three four")]
+    docs = [(None, "one two three x"), (None, "x x four five"), (7, "four five x"), (7, "x four five"), (7, "x four five"), (8, "one two three four"), (None, None), (None, "")]
+    for bound in (100_000, 1):
+        monkeypatch.setattr(d, "WORDS_PER_AUTOMATON", bound)
+        got = d.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+        want = [(None, 4, [0, 3], [1]), (None, 4, [2, 4], [2]), (7, 3, [0, 2], [2]), (7, 3, [1, 3], [2]), (7, 3, [1, 3], [2]), (8, 4, [0, 4], [1, 3]), (None, 0, [], []), (None, 0, [], [])]
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
