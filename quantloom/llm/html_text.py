@@ -22,9 +22,11 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 NO_P_INSIDE = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
 CHROME = frozenset("nav footer aside form menu dialog fieldset search".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-#: Words in class, id and role that mark what is not the article.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+#: Class words of these say how the page is laid out.
+WHOLE = frozenset("html body main article".split())
+#: Words in class, id, role and aria-label that speak against what the element holds.
 AWAY = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended recommendations share sharing social newsletter subscribe subscription signup login search cookie cookies consent notice notices alert popup modal overlay paywall pagination pager tags toolbar contentinfo complementary comment comments commentlist respond reply replies disqus discussion form copyright legal disclaimer skip".split())
 SPACE = re.compile(r"\s+")
 RAW = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
@@ -39,6 +41,8 @@ class Block:
     article: bool
     away: bool
     item: bool
+    mark: int = 0  # the innermost element with a word of AWAY
+    marks: float = 0  # how much the words of all such elements around it say
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -48,7 +52,8 @@ def blocks_of(page: str) -> list[Block]:
     a line break is white space, and block elements part it. End tags that HTML lets one leave out are supplied.
     """
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, number, in an article, away from it
+    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]  # name, number, in an article, away from it, mark
+    marked: dict[int, int] = {}  # each marked element's next one outside
     parts: list[str] = []
     state = {"linked": 0, "a": 0, "number": 0, "dropped": 0}
 
@@ -57,8 +62,8 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         if text:
             holder = next((e for e in reversed(stack) if e[0] in BLOCKS), stack[0])
-            name, number, article, away = holder
-            out.append(Block(text, number, min(state["linked"], len(text)), name[:1] == "h" and name[1:].isdigit(), article, stack[-1][3] or away, name in ("li", "td", "th", "dt")))
+            name, number, article, away, _ = holder
+            out.append(Block(text, number, min(state["linked"], len(text)), name[:1] == "h" and name[1:].isdigit(), article, stack[-1][3] or away, name in ("li", "td", "th", "dt"), stack[-1][4]))
         state["linked"] = 0
 
     def close(upto: int) -> None:
@@ -108,27 +113,56 @@ def blocks_of(page: str) -> list[Block]:
                     close(k)
         if name in VOID:
             continue
-        _, _, article, away = stack[-1]
-        attributes = m[3]
-        if "=" in attributes or "hidden" in attributes:
-            named = re.split(r"[^a-z]+", " ".join(x for g in NAMED.findall(attributes) for x in g).lower())
-            away = away or not AWAY.isdisjoint(named) or bool(HIDDEN.search(attributes))
+        _, _, article, away, mark = stack[-1]
+        state["number"] += 1
+        words, hidden = attributes_of(m[3])
+        if name not in WHOLE and not AWAY.isdisjoint(words):
+            marked[state["number"]], mark = mark, state["number"]
         if name in ("article", "main"):
             article = True
-        away = away or name in CHROME or name == "header" and not article
-        state["number"] += 1
+        away = away or hidden or name in CHROME or name == "header" and not article
         if m[0].endswith("/>") and name not in BLOCKS:
             continue
-        stack.append((name, state["number"], article, away))
+        stack.append((name, state["number"], article, away, mark))
         state["a"] += name == "a"
         state["dropped"] += name in DROPPED
         if name in RAW:
             ended_by = RAW[name].search(page, at)
             at = ended_by.start() if ended_by else end
     flush()
+    weigh(out, marked)
     return out
 
 
+def attributes_of(text: str) -> tuple[list[str], bool]:
+    """The words of a tag's class, id, role and aria-label, and whether its attributes hide the element."""
+    words, hidden = [], False
+    for name, *values in ATTRIBUTE.findall(text) if text and not text.isspace() else ():
+        name, value = name.lower(), "".join(values)
+        if name in ("class", "id", "role", "aria-label"):
+            words += re.split(r"[^a-z]+", value.lower())
+        hidden = hidden or name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true" or name == "style" and bool(NO_DISPLAY.search(value))
+    return words, hidden
+
+
+def weigh(blocks: list[Block], marked: dict[int, int]) -> None:
+    """Set what the marks around each block say: a mark says 1 less its element's share of the page's text."""
+    if not marked:
+        return
+    held, marks = dict.fromkeys(marked, 0), {0: 0.0}
+    for b in blocks:
+        if b.mark and not b.away:
+            held[b.mark] += len(b.text)
+    for m in reversed(marked):
+        if marked[m]:
+            held[marked[m]] += held[m]
+    whole = sum(len(b.text) for b in blocks if not b.away) or 1
+    for m, outer in marked.items():
+        marks[m] = marks[outer] + 1 - held[m] / whole
+    for b in blocks:
+        b.marks = marks[b.mark]
+
+
 def features(b: Block) -> list[float]:
     n = len(b.text)
     return [1, b.article, b.away, b.linked / n, min(math.log1p(n), 7) / 7, b.heading, b.item, b.text[-1] in ".!?:;…\"'»”)"]
@@ -217,18 +251,20 @@ def min_cut(source: list[int], sink: list[int], edges: list[tuple[int, int, int]
 
 #: Smoothness between neighbours on the page, and more between blocks of one parent element; costs are in hundredths.
 NEXT, SIBLING, SCALE = 40, 60, 100
+#: Against content, in log-odds, for each mark.
+MARK = 8.0
 
 
 def main_text(page: str) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    z = np.clip(np.array([features(b) for b in blocks]) @ weights(), -12, 12)
+    z = np.clip(np.array([features(b) for b in blocks]) @ weights() - MARK * np.array([b.marks for b in blocks]), -12, 12)
     costs = np.rint(SCALE * np.logaddexp(0, np.stack([z, -z]))).astype(int).tolist()
     last: dict[int, int] = {}
     edges = []
     for k, b in enumerate(blocks):
-        same_side = k and blocks[k - 1].away == b.away
+        same_side = k and (blocks[k - 1].away, blocks[k - 1].mark) == (b.away, b.mark)
         if k:
             edges.append((k - 1, k, NEXT if same_side else NEXT // 8))
         if b.parent in last and last[b.parent] != k - 1:

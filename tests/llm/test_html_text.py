@@ -35,3 +35,26 @@ def test_rows(spark):
     got = sorted(extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect(), key=lambda r: (r.page_id or 0, r.n_chars))
     assert [(r.page_id, r.n_chars) for r in got if r.page_id != 3] == [(None, 0), (1, len(PARA)), (1, len(PARA)), (2, 0), (4, 4000 * (len(PARA) + 1) - 1)]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_hidden_is_an_attribute_of_its_own():
+    for shown in ('style="overflow:hidden"', "class='overflow-hidden'", "data-hidden=1", 'data-id="sidebar"', "title='display:none'", "hidden=false", 'aria-hidden="false"'):
+        assert main_text(f"<body><div {shown}><article><p>{PARA}<p>{PARA}</article></div>") == f"{PARA}\n{PARA}", shown
+    for away in ("hidden", 'class=x hidden=""', "style='color:red; display: none'", 'aria-hidden="true"', "HIDDEN"):
+        assert main_text(f"<body><article><p>{PARA}<div {away}><p>{PARA}</div></article>") == PARA, away
+
+
+def test_words_of_containers_lose_no_article():
+    article = f"<h1>Title</h1><p>{PARA}<p>{PARA}"
+    whole = f"Title\n{PARA}\n{PARA}"
+    aside = '<div class="sidebar"><p>Other posts you may like.</div><div id=comments><ol><li class=comment>I like it a lot, thank you.</ol></div>'
+    for page in (
+        f'<html class="nav-open"><body class="has-sidebar"><article>{article}</article>{aside}',
+        f'<body><article class="post header-fixed">{article}</article>{aside}',
+        f'<body><main id="content-menu">{article}</main>{aside}',
+        f'<body><div class="page with-sidebar">{article}</div>',
+        f'<body><div class="layout has-sidebar"><article>{article}</article>{aside}</div>',
+    ):
+        assert main_text(page) == whole, page
+    section = f'<section id="discussion"><h2>Discussion</h2><p>{PARA} {PARA}<p>{PARA}</section>'
+    assert main_text(f"<body><article>{article}{section}<p>{PARA}</article>{aside}") == f"{whole}\nDiscussion\n{PARA} {PARA}\n{PARA}\n{PARA}"
