@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Elements of HTML by what they do to text.
 DROPPED = frozenset("script style noscript template head title svg math iframe object canvas audio video select option button textarea datalist label legend".split())
+#: What can stand in a head; anything else ends one left open.
+HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends an open element of these, up to the nearest of the second set.
@@ -76,6 +78,8 @@ def blocks_of(page: str) -> list[Block]:
     while at < end:
         m = TAG.search(page, at)
         raw = page[at : m.start() if m else end]
+        if stack[-1][0] == "head" and raw and not raw.isspace():
+            close(len(stack) - 1)
         if raw and not state["dropped"]:
             text = html.unescape(raw)
             parts.append(text)
@@ -86,6 +90,8 @@ def blocks_of(page: str) -> list[Block]:
         name = (m[2] or "").lower()
         if not name:
             continue
+        if stack[-1][0] == "head" and not m[1] and name not in HEAD:
+            close(len(stack) - 1)
         if name == "br" or name == "wbr":
             if name == "br" and not state["dropped"]:
                 parts.append(" ")

@@ -58,3 +58,9 @@ def test_words_of_containers_lose_no_article():
         assert main_text(page) == whole, page
     section = f'<section id="discussion"><h2>Discussion</h2><p>{PARA} {PARA}<p>{PARA}</section>'
     assert main_text(f"<body><article>{article}{section}<p>{PARA}</article>{aside}") == f"{whole}\nDiscussion\n{PARA} {PARA}\n{PARA}\n{PARA}"
+
+
+def test_head_without_its_end_tag():
+    for start in ("<html><head><title>T</title><meta charset=utf-8><style>p{}</style><body>", "<head><title>T</title>\n", "<head><link rel=x><script>var a='<p>';</script><div>", "<head><title>T</title></head><body>"):
+        assert main_text(f"{start}<article><p>{PARA}</article>") == PARA, start
+    assert [b.text for b in blocks_of("<head><title>T</title>a<meta name=x>b<p>c")] == ["ab", "c"]
