@@ -66,12 +66,22 @@ def written(spans: list[Span]) -> str:
 LABELS = ("O", *(f"{p}-{k}" for k in ("email", "card", "phone") for p in "BI"))
 FEATURES = 1 << 13
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\W\d_]+|[^\w\s]|_", re.ASCII)
-#: What can hold a label: digits and what stands between them, or the words of a spelled-out address. No other token ever
-#: gets one, so a text falls into windows around these, and decoding the windows alone decodes the whole text.
-NUMBER = re.compile(r"(?<![A-Za-z0-9])[(+]?[0-9][0-9 ().\-/+]{5,}[0-9](?![A-Za-z0-9])")
-SPELLED = re.compile(r"[A-Za-z0-9_.+-]+ ?[(\[{<]? ?\b(?:at|AT|At)\b ?[)\]}>]? ?[A-Za-z0-9-]+(?: ?[(\[{<]? ?\b(?:dot|DOT|Dot)\b ?[)\]}>]? ?[A-Za-z0-9-]+)+")
+#: Spaces, dashes and dots beyond ASCII, each read as its plain sign.
+PLAIN = {**dict.fromkeys([0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000], " "), **dict.fromkeys([*range(0x2010, 0x2016), 0x2212, 0xFE63, 0xFF0D], "-"), **dict.fromkeys([0xB7, 0x2022, 0x2024, 0x2027, 0x2219, 0x22C5, 0x30FB, 0xFF0E], "."), 0xFF20: "@", 0xFE6B: "@"}
+UNPLAIN = re.compile("[" + "".join(map(re.escape, map(chr, PLAIN))) + "]")
+#: What can hold a label: seven digits or more with any separators, and the words around every at and @ that a dot follows,
+#: for an added address holds both. A text falls into windows around these, and no other token gets a label.
+NUMBER = re.compile(r"(?<![A-Za-z0-9])[(+]?[0-9](?>(?:[^\w\r\n]|_)*+[0-9]){6,}(?![A-Za-z0-9])")
+AT = re.compile(r"(?<![A-Za-z0-9])at(?![A-Za-z0-9])|@", re.I)
+DOT = re.compile(r"(?<![A-Za-z0-9])dot(?![A-Za-z0-9])|\.[)\]}>]?[A-Za-z0-9]|[\s(\[{<]\.[)\]}>]?\s?[A-Za-z0-9]", re.I)
+#: An address that the field finds is taken whole, as far as it is written like this.
+ADDRESS = re.compile(r"[A-Za-z0-9_.%+-]{1,64} ?[(\[{<]? ?(?:@|(?<![A-Za-z0-9])at(?![A-Za-z0-9])) ?[)\]}>]? ?[A-Za-z0-9-]{1,63}(?: ?[(\[{<]? ?(?:\bdot\b) ?[)\]}>]? ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63})+", re.I)
+#: Characters before and after an at, to the end of the word there but at most LONGEST.
+BEFORE, AFTER, LONGEST = 40, 56, 120
 #: Tokens on either side of a window that its features see.
 CONTEXT = 4
+#: Tokens of the windows that are decoded together, padded to the longest.
+CELLS = 100_000
 
 
 def shape(token: str) -> str:
@@ -134,6 +144,21 @@ def viterbi(rows: list[list[list[int]]], chain: Chain) -> list[list[int]]:
     return [p[:k].tolist() for p, k in zip(path, sizes, strict=True)]
 
 
+def decoded(rows: list[list[list[int]]], chain: Chain) -> list[list[int]]:
+    """Viterbi over windows of like length together, so that a long one does not lengthen all."""
+    out: list[list[int]] = [[] for _ in rows]
+    order = sorted(range(len(rows)), key=lambda k: len(rows[k]))
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * len(rows[order[end]]) <= CELLS:
+            end += 1
+        for k, path in zip(order[at:end], viterbi([rows[k] for k in order[at:end]], chain), strict=True):
+            out[k] = path
+        at = end
+    return out
+
+
 def train(rows: list[list[list[int]]], labels: list[list[int]], steps: int = 60) -> Chain:
     """Maximum likelihood with a small quadratic penalty, by Adam on the whole table; sums over paths go forward and back."""
     n_labels = len(LABELS)
@@ -191,6 +216,11 @@ TEMPLATES = (
     "on 20##-##-## we met", "version #.##.#", "the year 19## and 20##", "from 1### to 1### there were", "order ######## was sent", "page ### of ####", "price $ #,###.## only", "id ############", "isbn 978-#-##-######-#", "at ##:##:## on ##/##/20##",
     "pi is 3.##########", "serial ####-##-####-##", "total 1 ### ### units", "serie ## ## ## ## ##", "sum ### + ### + ###", "look at the dot on it", "meet at noon dot", "value #.######## of", "row ## ### ## # ###", "##.##.20## - ##.##.20##", "@name at @host was here", "code ###############", "build 20######.####",
     "###########.####", "lat ##.###### lon ##.######", "ref. ##/###/####/##", "key ######## ######## ########", "copyright 20## - 20##", "(20##) ### - ###", "tonnes 12 ### ### ###", "he sat at home dot",
+    "write to {email|@name.@name [at] @host.com}", "mail {email|@name (at) @host.com} please", "contact {email|@name @ @host dot com}", "email {email|@name@@host dot org} for more", "send it to {email|@name @ @host.de} today", "{email|@name [at] @host.@host.net} or call", "reach {email|@name.@name(at)@host.org}", "mail {email|@name (at) @host . com}",
+    "mail {email|@name at @host dot com} please", "{email|@name [at] @host [dot] com}", "address: {email|@name_@name(at)@host(dot)de}", "write to {email|@name.@name at @host dot @host dot org}", "ask {email|@name.@name AT @host DOT co DOT uk} today", "or {email|@name-@name (at) @host dot net}.", "my mail is {email|@name## at @host dot edu} and", "call or mail {email|@name_@name [at] @host.@host [dot] org} now",
+    "visit us at @host.com for more", "look at @host.org and @host.com", "we met at @host.@name then", "it is sold @ #.## each", "see you at home.then we go", "he was at work. a dot is there", "open at ##.## daily", "follow @name at @host.com now", "he (at @host.com) said",
+    "tel {phone|###\u00a0###\u00a0####}", "call {phone|###\u2013###\u2013####} today", "phone {phone|###\u00b7###\u00b7####} now", "fax {phone|(###)\u00a0###\u2011####}", "mobile {phone|### - ### - ####}", "call {phone|### | ### | ####}", "phone {phone|###_###_####}", "card {card|####\u00b7####\u00b7####\u00b7####} expires", "visa {card|####_####_####_####} paid",
+    "values ##, ##, ##, ##, ##, ##", "scores #, #, #, #, #, #, #, #, #, #", "sum ###,###,###,###", "from ##:##:##, ##:##:## on", "ratio ##:##:##:##:##", "$#,###; $##,###; $###", "points (#,#), (#,#), (#,#), (#,#)", "##% ##% ##% ##% ##%", "years 19##\u201320##, 20##\u201320##",
 )
 
 
@@ -210,11 +240,25 @@ def labelled_table(copies: int = 8, seed: int = 11) -> list[tuple[str, list[Span
     return out
 
 
+def plain(text: str) -> str:
+    """The text as the field reads it, of the same length."""
+    return text if text.isascii() or not UNPLAIN.search(text) else text.translate(PLAIN)
+
+
 def windows(text: str) -> list[tuple[int, int]]:
     """The stretches whose tokens can carry a label."""
-    found = [(m.start(), m.end()) for m in NUMBER.finditer(text) if sum(map(str.isdigit, m[0])) >= 7]
-    if "dot" in text or "DOT" in text or "Dot" in text:
-        found += [(m.start(), m.end()) for m in SPELLED.finditer(text)]
+    found = [(m.start(), m.end()) for m in NUMBER.finditer(text)]
+    for m in AT.finditer(text):
+        a, b = m.span()
+        if m[0] == "@" and a and text[a - 1] in LOCAL and DOMAIN.match(text, b) and not DOT.search(text, DOMAIN.match(text, b).end(), b + LONGEST):
+            continue  # a base address
+        begin, end = max(0, a - BEFORE), min(len(text), b + AFTER)
+        while begin and a - begin < LONGEST and not text[begin - 1].isspace():
+            begin -= 1
+        while end < len(text) and end - b < LONGEST and not text[end].isspace():
+            end += 1
+        if DOT.search(text, b, end):
+            found.append((begin, end))
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and a <= out[-1][1]:
@@ -259,6 +303,7 @@ def fit(table: list[tuple[str, list[Span]]]) -> Chain:
     """Train on labelled texts; every window of every text is a sequence."""
     rows, labels = [], []
     for text, spans in table:
+        text = plain(text)
         for a, b in windows(text):
             inner, found = rows_of(text, a, b)
             own = []
@@ -278,6 +323,7 @@ DIGITS = {0: (0, 99), 2: (14, 19), 3: (10, 13)}
 def added_spans(texts: list[str], bases: list[list[Span]], chain: Chain) -> list[list[Span]]:
     """What the field finds beside the base spans in a batch of texts."""
     of, inner, rows = [], [], []
+    texts = [plain(t) for t in texts]
     for k, text in enumerate(texts):
         for a, b in windows(text):
             if any(s < b and a < e for s, e, _ in bases[k]) and not any(a < s - 10 or b > e + 10 for s, e, _ in bases[k] if s < b and a < e):
@@ -290,7 +336,7 @@ def added_spans(texts: list[str], bases: list[list[Span]], chain: Chain) -> list
     out: list[list[Span]] = [[] for _ in texts]
     if not rows:
         return out
-    for k, matches, path in zip(of, inner, viterbi(rows, chain), strict=True):
+    for k, matches, path in zip(of, inner, decoded(rows, chain), strict=True):
         at = 0
         while at < len(path):
             label = LABELS[path[at]]
@@ -299,10 +345,14 @@ def added_spans(texts: list[str], bases: list[list[Span]], chain: Chain) -> list
                 while end < len(path) and LABELS[path[end]] == f"I-{label[2:]}":
                     end += 1
                 a, b, kind = matches[at].start(), matches[end - 1].end(), KINDS.index(label[2:])
+                if kind == 0:
+                    for m in ADDRESS.finditer(texts[k], max(0, a - LONGEST), b + LONGEST):
+                        if m.start() < b and a < m.end():
+                            a, b = min(a, m.start()), max(b, m.end())
                 digits = re.sub(r"\D", "", texts[k][a:b])
                 least, most = DIGITS[kind]
-                valid = least <= len(digits) <= most and (kind != 2 or luhn(digits)) and (kind != 0 or re.search(r"\bdot\b", texts[k][a:b], re.I))
-                if label[0] == "B" and valid and not any(s < b and a < e for s, e, _ in bases[k]):
+                valid = least <= len(digits) <= most and (kind != 2 or luhn(digits)) and (kind != 0 or (m := AT.search(texts[k], a, b)) and DOT.search(texts[k], m.end(), b))
+                if label[0] == "B" and valid and not any(s < b and a < e for s, e, _ in (*bases[k], *out[k][-1:])):
                     out[k].append((a, b, kind))
             at = end
     return out

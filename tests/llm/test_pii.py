@@ -58,3 +58,28 @@ def test_rows(odd_docs, no_docs):
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail a@b.co or 1.2.3.4 🙂 +1 (168) 555-5254.", "x"), (2, None, "x"), (3, "clean", "x")], "doc_id long, text string, spans string")
     assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {1: "mail [EMAIL] or [IP] 🙂 [PHONE].", 2: None, 3: "clean"}
+
+
+def test_field_sees_every_at_and_every_separator():
+    chain = pii.default_chain()
+    for begin, found, end, kind in (
+        ("Please write to ", "jane.doe [at] example.com", " for details", 0),
+        ("or mail ", "jane (at) example.com", " and wait", 0),
+        ("contact ", "jane @ example dot com", " today", 0),
+        ("write to ", "jane.doe at mail dot example dot org", "", 0),
+        ("", "jane [at] example [dot] com", "", 0),
+        ("call ", "555\u00a0123\u00a04567", " today", 3),
+        ("call ", "555\u2013123\u20134567", " today", 3),
+        ("phone ", "555\u00b7123\u00b74567", " now", 3),
+        ("tel ", "(555)\u00a0123\u20114567", " or mail", 3),
+    ):
+        text = begin + found + end
+        assert pii.added_spans([text], [pii.base_spans(text)], chain)[0] == [(len(begin), len(begin) + len(found), kind)], text
+    for text in ("Visit us at example.com for more.", "We met at noon. Then 1, 2, 3, 4, 5, 6, 7, 8, 9, 10 of us left.", "Sold @ 3.50 each", "mail jane@example.com at once. Done"):
+        assert pii.added_spans([text], [pii.base_spans(text)], chain)[0] == [], text
+
+
+def test_long_windows_decode_apart():
+    texts = ["call (555) 123-4567 today", "1, " * 30000, *["tel 555 123 4567 or"] * 2000]
+    got = pii.added_spans(texts, [[]] * len(texts), pii.default_chain())
+    assert [s[0][2] if s else None for s in got] == [3, None] + [3] * 2000
