@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -93,12 +94,11 @@ def slack_plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, in
 
 def _places(batches: Iterator[pa.RecordBatch], keys: np.ndarray, table: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+        length, rank = batch.column("length").to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
         row = table[np.searchsorted(keys, length << 44 | rank, side="right") - 1]
         slot = rank - row[:, 0]
-        columns = {n: batch.column(n) for n in batch.schema.names if n != "rank"}
-        columns |= {"sequence_id": pa.array(row[:, 2] + slot // row[:, 1]), "offset": pa.array(row[:, 3] + slot % row[:, 1] * length)}
-        yield pa.record_batch(list(columns.values()), names=list(columns))
+        columns = [*batch.columns[:-1], pa.array(row[:, 2] + slot // row[:, 1]), pa.array(row[:, 3] + slot % row[:, 1] * length)]
+        yield pa.record_batch(columns, names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -106,7 +106,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
     The plan needs only how many pieces there are of each length, at most `capacity` numbers; the driver makes it. A
     piece's rank among those of its length then finds its bin. Equal lengths of any number are ranked in small buckets.
-    No sequence holds more than `capacity` tokens or a gap. An empty table gives none.
+    No sequence holds more than `capacity` tokens or a gap. Further columns may have any names; columns sequence_id and offset
+    are replaced. A null doc_id is kept, repeated pieces each have a place, and an empty table gives none.
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = sum(counts.values())
@@ -122,9 +123,10 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     table.sort()
     found = np.array(table or [(0, 0, 1, 0, 0)], np.int64)
     keys, places = found[:, 0] << 44 | found[:, 1], found[:, 1:]
-    ordered = pieces.withColumn("_order", F.xxhash64("doc_id", "piece", "start"))
-    ranked = rank_in_group(ordered, "length", "_order", ["doc_id", "piece", "ids_crc32"], rows).select(*pieces.columns, "rank")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    whole = pieces.drop("sequence_id", "offset")
+    ordered = whole.select(F.struct("*").alias("row"), "length", F.xxhash64("doc_id", "piece", "start").alias("order"), "doc_id", "piece", "ids_crc32")
+    ranked = rank_in_group(ordered, "length", "order", ["doc_id", "piece", "ids_crc32"], rows).select("row.*", F.col("rank").alias(f"rank_{uuid.uuid4().hex}"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema)
     return ranked.mapInArrow(lambda it: _places(it, keys, places), f"{kinds}, sequence_id long, offset long")
 
 

@@ -47,7 +47,7 @@ def base_spans(text: str) -> list[Span]:
             out.append((start, m.end(), 0))
             free = m.end()
         at = text.find("@", max(at + 1, free))
-    out += [(m.start(), m.end(), 1) for m in IP.finditer(text) if all(len(p) < 20 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), m.end(), 1) for m in IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split(".")))]
     for m in CARD.finditer(text):
         digits = re.sub(r"[ -]", "", m[0])
         if 14 <= len(digits) <= 19 and luhn(digits):

@@ -132,13 +132,18 @@ class Margins(dict):
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Fit on at most `per_class` labelled rows of each quality that are not held out: a bounded, hash-chosen sample."""
+    """Fit on at most `per_class` labelled rows of each quality that are not held out: a bounded, hash-chosen sample.
+
+    Of rows that share a doc_id the smallest text counts, once, so that repeated ids add nothing. Labels that are null or
+    neither 0 nor 1 take no part; a doc_id labelled both ways counts for both.
+    """
     named = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).dropDuplicates()
     picked = None
     for quality in (0, 1):
         part = named.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").collect()
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked.select("doc_id").distinct()), "doc_id")
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(picked), "doc_id").collect()
     rows = sorted(((r["doc_id"], r["text"] or "", r["quality"]) for r in rows))
     return train([t for _, t, _ in rows], [q for _, _, q in rows])
 

@@ -62,3 +62,10 @@ def test_odd_and_empty_documents(spark, odd_docs, no_docs):
         for r in out.collect():
             sequences[r.sequence_id] += r.length
         assert all(n <= 2048 for n in sequences.values())
+
+
+def test_columns_with_an_operators_names(spark, odd_docs):
+    docs = odd_docs.withColumns({n: odd_docs["source"] for n in ("score", "_score", "row", "component_id", "spans", "predicted")})
+    for name, stage in c.STAGES[:4]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns and out.count() > 0, name

@@ -4,7 +4,9 @@ from collections import Counter, defaultdict
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
-from quantloom.llm.packing import fullest, pack_documents, slack_plan, token_pieces
+from pyspark.sql import functions as F
+
+from quantloom.llm.packing import fullest, pack, pack_documents, slack_plan, token_pieces
 from quantloom.llm.pretokens import SpacedIds, tokenizer, words_of
 from quantloom.llm.token_counts import VOCABULARY, count_tokens
 
@@ -57,6 +59,14 @@ def test_packing(odd_docs, no_docs):
     assert token_pieces(odd_docs, keep_ids=True).where("length(ids) != 4 * length").count() == 0
 
 
+def test_packing_keeps_further_columns(odd_docs):
+    pieces = token_pieces(odd_docs, 128).withColumns({n: F.lit(n) for n in ("rank", "order", "_order", "_bucket", "group_rows", "row", "offset")})
+    got = pack(pieces, 128)
+    assert got.columns == [*pieces.drop("offset").columns, "sequence_id", "offset"]
+    assert all(r["rank"] == "rank" and r["row"] == "row" and r["_order"] == "_order" for r in got.collect())
+    check_packing(got.collect(), odd_docs.collect(), 128)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 5), min_size=1, max_size=8))
 def test_the_fullest_bin_is_the_fullest(counts):
