@@ -23,30 +23,45 @@ def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Those that the quality classifier, fitted on the labels of these documents, does not reject."""
+    """Those that the quality classifier, fitted on the labels of these documents, does not reject.
+
+    A null or empty text scores the model's bias and stays or goes by it; repeated rows are judged alike; null ids are scored too,
+    but teach nothing. Columns of any names stay. An empty table gives none.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = quality.scored(docs.withColumnRenamed("score", "_score"), model).where(F.col("score") >= LEAST_QUALITY)
-    return kept.drop("score").withColumnRenamed("_score", "score").select(docs.columns)
+    judged = quality.scored(docs.select(F.struct("*").alias("row"), "text"), model)
+    return judged.where(F.col("score") >= LEAST_QUALITY).select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id."""
+    """Of each group of near duplicates the document with the smallest doc_id.
+
+    Rows without a doc_id are in no group and stay; rows that share the smallest doc_id, repeated ones too, all stay, for doc_id
+    names a document. Texts that are null or without words are like no other. An empty table gives none.
+    """
     others = jaccard.groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of benchmark items; those that are mostly such passages go."""
+    """Texts without the passages of benchmark items; those that are mostly such passages go.
+
+    Null and empty texts have no passages and stay as they are; so do null ids and repeated rows, each judged alone.
+    """
     return _as_documents(decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind."""
+    """Texts with personal data replaced by its kind. No row goes; null and empty texts, null ids and repeated rows stay."""
     return _as_documents(pii.redact(docs), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each piece of each document with its place in the training sequences."""
+    """Each piece of each document with its place in the training sequences.
+
+    A null or empty text is the one piece of id 0; null ids are kept; repeated rows are packed as often as they occur; an empty
+    table gives none.
+    """
     return packing.pack_documents(docs)
 
 
