@@ -1,134 +1,194 @@
-"""Suffix arrays by induced sorting, in whole-array steps."""
+"""Suffix arrays by induced sorting, in whole-array steps on every level of the recursion."""
 
 from __future__ import annotations
 
 import numpy as np
 
 U = np.uint64
-TURN = U(0x9E3779B97F4A7C15)
 
 
 def types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (S-type); the empty suffix after the last is the smallest."""
     n = len(t)
     step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(t[1:].astype(np.int16) - t[:-1].astype(np.int16))
+    step[:-1] = (t[1:] > t[:-1]).view(np.int8) - (t[1:] < t[:-1]).view(np.int8)
     step[-1] = -1
     decided = np.where(step != 0, np.arange(n), n - 1)
     following = np.minimum.accumulate(decided[::-1])[::-1]
     return step[following] > 0
 
 
-def _deal(j: np.ndarray, c: np.ndarray, queues: list[list[np.ndarray]]) -> None:
-    """Append the suffixes to the queues of their characters, in order."""
+def _deal(j: np.ndarray, c: np.ndarray, out: np.ndarray, edge: np.ndarray, way: int) -> None:
+    """Put the suffixes, in order, into the buckets of their characters: upwards from `edge` (way 1) or downwards (way -1)."""
     if len(j):
-        order = np.argsort(c, kind="stable")
-        j, c = j[order], c[order]
-        cuts = np.flatnonzero(c[1:] != c[:-1]) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(j)], strict=True):
-            queues[c[a]].append(j[a:b])
+        turn = np.argsort(c, kind="stable")
+        j, c = j[turn], c[turn]
+        first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+        sizes = np.diff(np.append(first, len(c)))
+        rank = np.arange(len(c)) - np.repeat(first, sizes)
+        out[edge[c] + rank if way > 0 else edge[c] - 1 - rank] = j
+        edge[c[first]] += way * sizes
 
 
-def _scan(first: np.ndarray, c: int, t: np.ndarray, wanted: np.ndarray, queues: list[list[np.ndarray]]) -> None:
-    """What scanning these suffixes of bucket c in order induces: the wanted suffixes that start one before them."""
-    j = first[first > 0] - 1
-    j = j[wanted[j]]
-    _deal(j, t[j], queues)
+def _induce_larger(t: np.ndarray, larger: np.ndarray, starts: np.ndarray, front: np.ndarray, out: np.ndarray) -> None:
+    """Scan the buckets upwards; what each suffix induces, the larger one before it, goes to the front of its bucket.
 
-
-def _bucket(c: int, t: np.ndarray, wanted: np.ndarray, queues: list[list[np.ndarray]]) -> np.ndarray:
-    """Scan a bucket's queue to its end. What it induces into its own bucket is scanned after it, wave after wave."""
-    done = []
-    while queues[c]:
-        wave = np.concatenate(queues[c])
-        queues[c] = []
-        done.append(wave)
-        _scan(wave, c, t, wanted, queues)
-    return np.concatenate(done) if done else np.zeros(0, np.int32)
-
-
-def induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The order of all suffixes from the order of the leftmost smaller ones.
-
-    Larger suffixes are induced from small buckets to large, then smaller ones from large to small. The sequential scan of
-    a bucket is a queue; each pass over a queue takes all of it at once, which leaves the order the same.
+    As many buckets are scanned at once as induce nothing into one another. A bucket that induces into itself is scanned
+    alone, in waves.
     """
-    queues: list[list[np.ndarray]] = [[] for _ in range(256)]
-    larger, parts = ~smaller, []
-    at = np.searchsorted(t[lms], np.arange(257))
-    queues[t[-1]].append(np.array([len(t) - 1], np.int32))
-    for c in range(256):
-        parts.append(_bucket(c, t, larger, queues))
-        _scan(lms[at[c] : at[c + 1]], c, t, larger, queues)
-    ends = []
-    for c in range(255, -1, -1):
-        ends.append(_bucket(c, t, smaller, queues)[::-1])
-        _scan(parts[c][::-1], c, t, smaller, queues)
-    return np.concatenate([x for c in range(256) for x in (parts[c], ends[255 - c])])
-
-
-def ranks_of_names(names: np.ndarray, most: int) -> np.ndarray:
-    """The order of the suffixes of the named string: names are doubled until they differ or reach `most` names far."""
-    reach, n = 1, len(names)
-    while reach < most and names.max(initial=0) + 1 < n:
-        after = np.zeros(n, np.int64)
-        after[:-reach] = names[reach:] + 1
-        key = names.astype(np.int64) << 32 | after
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        names = np.empty(n, np.int64)
-        names[order] = new
-        reach *= 2
-    return names
-
-
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes of a byte string, sorted by their first `depth` bytes at least.
+
+    def before(j: np.ndarray) -> np.ndarray:
+        j = j[j > 0] - 1
+        return j[larger[j]]
+
+    at, most, width = 0, len(starts) - 1, 1
+    while at < most:
+        upto = min(most, at + width)
+        j = before(out[starts[at] : starts[upto]])
+        c = t[j]
+        inside = c < upto
+        if inside.any():
+            upto = int(c[inside].min())
+            width = max(1, 2 * (upto - at))
+            if upto == at:
+                done = starts[at]
+                while done < front[at]:
+                    wave, done = out[done : front[at]], front[at]
+                    j = before(wave)
+                    _deal(j, t[j], out, front, 1)
+                j = before(out[front[at] : starts[at + 1]])
+                upto = at + 1
+            else:
+                j = before(out[starts[at] : starts[upto]])
+            c = t[j]
+        else:
+            width *= 2
+        _deal(j, c, out, front, 1)
+        at = upto
+
+
+def _induce_smaller(t: np.ndarray, smaller: np.ndarray, starts: np.ndarray, front: np.ndarray, back: np.ndarray, out: np.ndarray) -> None:
+    """The same downwards: smaller suffixes go to the back of their buckets. `front` is where larger ones end."""
+
+    def before(j: np.ndarray) -> np.ndarray:
+        j = j[::-1]
+        j = j[j > 0] - 1
+        return j[smaller[j]]
+
+    upto, width = len(starts) - 1, 1
+    while upto > 0:
+        at = max(0, upto - width)
+        j = before(out[starts[at] : starts[upto]])
+        c = t[j]
+        inside = c >= at
+        if inside.any():
+            at = int(c[inside].max()) + 1
+            width = max(1, 2 * (upto - at))
+            if at == upto:
+                at = upto - 1
+                done = starts[upto]
+                while done > back[at]:
+                    wave, done = out[back[at] : done], back[at]
+                    j = before(wave)
+                    _deal(j, t[j], out, back, -1)
+                j = before(out[starts[at] : front[at]])
+            else:
+                j = before(out[starts[at] : starts[upto]])
+            c = t[j]
+        else:
+            width *= 2
+        _deal(j, c, out, back, -1)
+        upto = at
+
+
+def induce(t: np.ndarray, smaller: np.ndarray, starts: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The order of all suffixes from the order of the leftmost smaller ones. Bucket c of a first character begins at starts[c]."""
+    out = np.full(len(t), -1, np.int64)
+    front, back = starts[:-1].copy(), starts[1:].copy()
+    _deal(lms[::-1], t[lms[::-1]], out, back, -1)
+    _deal(np.array([len(t) - 1]), t[-1:], out, front, 1)
+    _induce_larger(t, ~smaller, starts, front, out)
+    out[(out >= 0) & smaller[out]] = -1
+    _induce_smaller(t, smaller, starts, front, starts[1:].copy(), out)
+    return out
+
+
+def suffix_array(t: np.ndarray, most: int = 256) -> np.ndarray:
+    """The sorted suffixes of a string of numbers below `most`.
 
     Leftmost smaller suffixes, put in their buckets in any order, induce the order of the substrings from one to the next.
-    Equal substrings get one name; the string of names, a third as long at most, is sorted in its turn. A name stands for
-    two bytes at least, so half of `depth` names decide. Their order induces all suffixes.
+    Equal substrings get one name, and the string of names, half as long at most, is sorted recursively. The order of its
+    suffixes is that of the leftmost smaller ones, which induces all suffixes.
     """
-    if not len(t):
-        return np.zeros(0, np.int32)
+    if len(t) < 2:
+        return np.arange(len(t))
     smaller = types(t)
-    is_lms = smaller.copy()
-    is_lms[0] = False
-    is_lms[1:] &= ~smaller[:-1]
-    lms = np.flatnonzero(is_lms).astype(np.int32)
-    if not len(lms):
-        return induce(t, smaller, lms)
-    by_char = lms[np.argsort(t[lms], kind="stable")]
-    found = induce(t, smaller, by_char)
-    found = found[is_lms[found]]
-    number = np.empty(len(t), np.int32)
+    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    starts = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=most))))
+    if len(lms) < 2:
+        return induce(t, smaller, starts, lms)
+    found = induce(t, smaller, starts, lms)
+    number = np.full(len(t), -1)
     number[lms] = np.arange(len(lms))
-    powers = np.cumprod(np.full(len(t) + 1, TURN))
-    sums = np.concatenate(([U(0)], np.cumsum((t.astype(U) + U(1)) * powers[:-1])))
-    ends = np.append(lms[1:] + 1, len(t))
-    value = (sums[ends] - sums[lms]) * powers[len(t) - lms]
-    length = ends - lms
-    length[-1] = 0  # it ends in the empty suffix, like no other
     k = number[found]
+    k = k[k >= 0]
+    ends = np.append(lms[1:] + 1, len(t))
     names = np.empty(len(lms), np.int64)
-    names[k] = np.concatenate(([0], np.cumsum((value[k][1:] != value[k][:-1]) | (length[k][1:] != length[k][:-1]))))
-    order = np.argsort(ranks_of_names(names, depth // 2 + 1), kind="stable")
-    return induce(t, smaller, lms[order])
+    names[k] = np.concatenate(([0], np.cumsum(~_equal(t, lms[k], (ends - lms)[k], k == len(lms) - 1))))
+    return induce(t, smaller, starts, lms[_order(names)])
 
 
-def common_prefixes(t: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Permuted: for each suffix of the sorted list, in text order, whether it shares `depth` bytes with the one before it.
+def _order(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of the string of names.
 
-    The suffixes have `depth` bytes. Eight bytes are compared at a time, first in the text's order for near memory. The result is
-    given in the list's order again.
+    A comparison ends at the first name that occurs once, so of the string only repeated names and what follows them
+    directly are sorted by recursion; the others' order is their names'.
     """
-    padded = np.concatenate((t, np.zeros(8, np.uint8)))
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(t)].copy().view(U).ravel()
-    same = np.zeros(len(order), bool)
-    turn = np.argsort(order[1:], kind="stable") + 1 if len(order) > 1 else np.zeros(0, np.int64)
-    here, before = order[turn].astype(np.int64), order[turn - 1].astype(np.int64)
-    for at in [*range(0, depth - 7, 8), depth - 8]:
-        keep = words[here + at] == words[before + at]
-        here, before, turn = here[keep], before[keep], turn[keep]
-    same[turn] = True
+    once = np.bincount(names)[names] == 1
+    keep = np.flatnonzero(~(once & np.concatenate(([True], once[:-1]))))
+    place = np.zeros(len(names), np.int64)
+    if not once.all():
+        used, short = np.unique(names[keep], return_inverse=True)
+        place[keep[suffix_array(short, len(used))]] = np.arange(len(keep))
+    return np.lexsort((place, names))
+
+
+def _equal(t: np.ndarray, at: np.ndarray, length: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Of a list of substrings whether each is the one before it, number by number; the string's last one is like no other."""
+    same = (length[1:] == length[:-1]) & ~last[1:] & ~last[:-1]
+    open_, done = np.flatnonzero(same), 0
+    while len(open_):
+        differ = t[at[open_ + 1] + done] != t[at[open_] + done]
+        same[open_[differ]] = False
+        done += 1
+        open_ = open_[~differ & (length[open_] > done)]
     return same
+
+
+def _words(t: np.ndarray) -> np.ndarray:
+    """Eight bytes from every place on, zeros after the end."""
+    padded = np.concatenate((t, np.zeros(8, np.uint8)))
+    return np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(t)].copy().view(U).ravel()
+
+
+def permuted_common_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """For each place of the text how many bytes, `most` at the most, its suffix shares with the suffix before it in the sorted
+    list `order` (which may leave suffixes out; theirs and the first one's is 0).
+
+    The prefixes are found in the text's order, where neighbours lie close in memory, eight bytes at a time.
+    """
+    before = np.full(len(t), -1, np.int64)
+    before[order[1:]] = order[:-1]
+    here = np.flatnonzero(before >= 0)
+    shared, words = np.zeros(len(t), np.int64), _words(t)
+    room = np.minimum(len(t) - np.maximum(here, before[here]), most)
+    done = 0
+    while len(here):
+        apart = words[here + done] ^ words[before[here] + done]
+        low = apart & (~apart + U(1))
+        got = np.where(apart == 0, 8, np.bitwise_count(low - U(1)) // 8)
+        shared[here] = np.minimum(done + got, room)
+        go = (apart == 0) & (room > done + 8)
+        here, room = here[go], room[go]
+        done += 8
+    return shared

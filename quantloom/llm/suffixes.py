@@ -4,21 +4,34 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .induced import U, common_prefixes, suffix_array
+from .induced import U, permuted_common_prefixes, suffix_array
 
 #: Strings of LENGTH bytes are compared. Each has one anchor: the GRAM-byte string in it whose hash is least, the last of ties.
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
-#: Documents of a block; bytes of snippets in one suffix array, about.
-BLOCK, SHARD_BYTES = 512, 2_000_000
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """None of them changes a result. Documents of a block, and its bytes if it holds more than one; bytes of snippets in one
+    suffix array, about; entries beyond which an anchor's strings are dealt out one by one; bytes of texts for each task, about."""
+
+    block: int = 1024
+    block_bytes: int = 4 << 20
+    shard_bytes: int = 4 << 20
+    hot: int = 4096
+    task_bytes: int = 24 << 20
+
+
 TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], U)
 
 
@@ -37,18 +50,28 @@ def _joined(h: np.ndarray, g: np.ndarray, by: int) -> np.ndarray:
     return out ^ (out >> U(31))
 
 
+def gram_hashes(buf: np.ndarray) -> np.ndarray:
+    """Hash of the GRAM bytes from every place on."""
+    eight = BYTE[buf]
+    for by in (1, 2, 4):
+        eight = _joined(eight, eight, by)
+    return mixed(_joined(_joined(eight, eight, 8), eight, 16) * TURNS[1])
+
+
+def string_hashes(buf: np.ndarray) -> np.ndarray:
+    """Hash of the LENGTH bytes from every place on: three overlapping grams."""
+    h = gram_hashes(buf)
+    return mixed(_joined(_joined(h, h, GRAM), h, LENGTH - GRAM) * TURNS[0])
+
+
 def anchors(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For texts joined in `buf`: of each anchor its hash, its text, the first string (its start) it is the anchor of, and
     how many strings from there it is. Every string of LENGTH bytes within a text belongs to one anchor."""
     ends = np.cumsum(lengths)
-    if not len(buf):
+    start = np.flatnonzero(np.arange(len(buf)) + LENGTH <= np.repeat(ends, lengths))
+    if not len(start):
         return np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3))
-    h = BYTE[buf]
-    eight = h
-    for by in (1, 2, 4):
-        eight = _joined(eight, eight, by)
-    h = mixed(_joined(_joined(eight, eight, 8), eight, 16) * TURNS[1])
-    least, span = h, 1
+    least, span = gram_hashes(buf), 1
     while 2 * span <= WINDOW:
         least = np.append(np.minimum(least[:-span], least[span:]), least[-span:])
         span *= 2
@@ -56,9 +79,6 @@ def anchors(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if rest and len(least) > rest:
         least = np.append(np.minimum(least[:-rest], least[rest:]), least[-rest:])
     starts = np.repeat(ends - lengths, lengths)
-    start = np.flatnonzero(np.arange(len(buf)) + LENGTH <= np.repeat(ends, lengths))
-    if not len(start):
-        return np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3))
     value, text_start = least[start], starts[start]
     new = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (text_start[1:] != text_start[:-1]))))
     count = np.diff(np.append(new, len(start)))
@@ -75,9 +95,9 @@ def anchors(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
 # --- packed rows -----------------------------------------------------------------------------------------------------
 
 #: A block's documents (ids and text hashes), or its entries of one bucket; an entry has a place (document) and further numbers.
-FIELDS = {"place": np.uint16, "lo": np.uint32, "n": np.uint8, "key": np.uint64, "hi": np.uint32, "doc": np.int64}
+FIELDS = {"place": np.uint16, "lo": np.uint32, "n": np.uint8, "key": np.uint64, "hot": np.uint8, "hi": np.uint32, "doc": np.int64}
 COLUMNS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("ths", pa.list_(pa.int64())), *((f, pa.binary()) for f in FIELDS), ("snippets", pa.binary())])
-PACKED = "block long, bucket int, ids array<long>, ths array<long>, place binary, lo binary, n binary, key binary, hi binary, doc binary, snippets binary"
+PACKED = "block long, bucket int, ids array<long>, ths array<long>, place binary, lo binary, n binary, key binary, hot binary, hi binary, doc binary, snippets binary"
 
 
 def _packed(rows: list[dict]) -> pa.RecordBatch:
@@ -93,7 +113,7 @@ def _planes(x: np.ndarray, kind: type) -> bytes:
     x = x.astype(kind)
     if kind in RISING:
         x = np.diff(x, prepend=x.dtype.type(0))
-    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
 
 
 def _numbers(raw: bytes, kind: type) -> np.ndarray:
@@ -108,32 +128,42 @@ def _entries(block: int, bucket: np.ndarray, buckets: int, **numbers: np.ndarray
     return [{"block": block, "bucket": b, **{f: _planes(x[i:j], FIELDS[f]) for f, x in numbers.items()}} for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
 
 
-def _first_block() -> int:
-    return TaskContext.get().partitionId() << 32
+def _blocks(batches: Iterator[pa.RecordBatch], sizes: Sizes) -> Iterator[tuple[int, pa.RecordBatch, list[bytes]]]:
+    """Number, rows and texts' bytes of each block: of sizes.block documents at most, and of sizes.block_bytes if of more than one."""
+    block = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        lengths, at = pc.binary_length(batch.column("text").cast(pa.binary())).to_numpy(), 0
+        ends = np.cumsum(lengths)
+        while at < batch.num_rows:
+            most = ends[at] - lengths[at] + sizes.block_bytes
+            end = min(at + sizes.block, max(at + 1, int(np.searchsorted(ends, most, side="right"))))
+            part = batch.slice(at, end - at)
+            yield block, part, part.column("text").cast(pa.binary()).to_pylist()
+            block, at = block + 1, end
 
 
-def _anchored(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    block = _first_block()
-    for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(at, BLOCK)
-            texts = [t.encode() for t in part.column("text").to_pylist()]
-            lengths = np.array([len(t) for t in texts], np.int64)
-            h, place, lo, n = anchors(np.frombuffer(b"".join(texts), np.uint8), lengths)
-            bucket = ((h & U(0xFFFFFFFF)) % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            key = (bucket.astype(U) << U(32)) | (h >> U(32))
-            rows = [{"block": block, "bucket": block % buckets, "ids": part.column("doc_id").to_pylist(), "ths": part.column("th").to_pylist()}]
-            yield _packed(rows + _entries(block, bucket[order], buckets, place=place[order], lo=lo[order], n=n[order], key=key[order]))
-            block += 1
+def _key(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each hash, and the hash as its key, buckets first."""
+    bucket = ((h & U(0xFFFFFFFF)) % U(buckets)).astype(np.int64)
+    return bucket, (bucket.astype(U) << U(32)) | (h >> U(32))
+
+
+def _anchored(batches: Iterator[pa.RecordBatch], buckets: int, sizes: Sizes) -> Iterator[pa.RecordBatch]:
+    for block, part, texts in _blocks(batches, sizes):
+        lengths = np.array([len(t) for t in texts], np.int64)
+        h, place, lo, n = anchors(np.frombuffer(b"".join(texts), np.uint8), lengths)
+        bucket, key = _key(h, buckets)
+        order = np.argsort(bucket, kind="stable")
+        rows = [{"block": block, "bucket": block % buckets, "ids": part.column("doc_id").to_pylist(), "ths": part.column("th").to_pylist()}]
+        yield _packed(rows + _entries(block, bucket[order], buckets, place=place[order], lo=lo[order], n=n[order], key=key[order]))
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], dict[int, list[dict]]]]:
-    """A task's rows: those of documents, and the others by bucket."""
+    """A task's rows: those of documents and those settled already, and the others by bucket."""
     documents, buckets = [], {}
     for batch in batches:
         for r in batch.to_pylist():
-            if r["ids"] is not None:
+            if r["key"] is None:
                 documents.append(r)
             else:
                 buckets.setdefault(r["bucket"], []).append(r)
@@ -153,7 +183,7 @@ def _split(rows: list[dict], of: np.ndarray, **numbers: np.ndarray) -> list[dict
     return [{"block": rows[k]["block"], **{f: _planes(x[i:j], FIELDS[f]) for f, x in numbers.items()}} for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch], limits: Sizes) -> Iterator[pa.RecordBatch]:
     """The anchors that more than one document holds."""
     for documents, buckets in _by_bucket(batches):
         yield _packed(documents)
@@ -165,8 +195,10 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             sizes = np.diff(np.append(starts, len(k)))
             several = np.repeat(d[starts] != d[starts + sizes - 1], sizes)
+            hot = np.zeros(len(k), np.uint8)
+            hot[order] = np.repeat(sizes > limits.hot, sizes)
             keep = np.sort(order[several])
-            yield _packed(_split(rows, of[keep], place=place[keep], lo=lo[keep], n=n[keep], key=key[keep]))
+            yield _packed(_split(rows, of[keep], place=place[keep], lo=lo[keep], n=n[keep], key=key[keep], hot=hot[keep]))
 
 
 def _to_documents(rows: pa.Table, fields: tuple[str, ...]) -> pa.Table:
@@ -188,45 +220,75 @@ def _to_documents(rows: pa.Table, fields: tuple[str, ...]) -> pa.Table:
     return pa.table({f: pa.array(v, t) for (f, v), t in zip(out.items(), kinds, strict=True)})
 
 
-def _snipped(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Around each anchor the bytes of all the strings it is the anchor of."""
-    block = _first_block()
-    for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(at, BLOCK)
-            lo, n, key = ([_numbers(x, FIELDS[f]) for x in part.column(f).to_pylist()] for f in ("lo", "n", "key"))
-            place = np.repeat(np.arange(len(lo)), [len(x) for x in lo])
-            texts = [t.encode() for t in part.column("text").to_pylist()]
-            lo, n, key = (np.concatenate(x) for x in (lo, n, key))
-            snippets = [texts[p][a : a + k + LENGTH - 1] for p, a, k in zip(place.tolist(), lo.tolist(), n.tolist(), strict=True)]
-            bucket = ((key >> U(32)) % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            doc = part.column("doc_id").to_numpy()[place]
-            rows = _entries(block, bucket[order], buckets, place=place[order], lo=lo[order], n=n[order], key=key[order], doc=doc[order])
-            i = 0
-            for r in rows:
-                j = i + len(_numbers(r["n"], FIELDS["n"]))
-                r["snippets"] = zstandard.compress(b"".join([snippets[k] for k in order[i:j].tolist()]), 3)
-                i = j
-            documents = {"block": block, "bucket": block % buckets, "ids": part.column("doc_id").to_pylist(), "ths": part.column("th").to_pylist()}
-            yield _packed([documents, *rows])
-            block += 1
+def _numbered(keys: np.ndarray, snippets: list[bytes]) -> np.ndarray:
+    """One number for each different (key, snippet), compared byte by byte."""
+    seen: dict[tuple[int, bytes], int] = {}
+    return np.fromiter((seen.setdefault(x, len(seen)) for x in zip(keys.tolist(), snippets, strict=True)), np.int64, len(snippets))
+
+
+def _least(number: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each entry the smallest document of those with its number."""
+    least = np.full(int(number.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, number, doc)
+    return least[number]
+
+
+def _snipped(batches: Iterator[pa.RecordBatch], buckets: int, limits: Sizes) -> Iterator[pa.RecordBatch]:
+    """Around each anchor the bytes of all the strings it is the anchor of.
+
+    Of equal snippets in a block only those of the smallest document go on: the other documents' strings start in it too,
+    so their ranges are settled here. A hot anchor's strings go on one by one, each under its own hash.
+    """
+    for block, part, texts in _blocks(batches, limits):
+        lo, n, key, hot = ([_numbers(x, FIELDS[f]) for x in part.column(f).to_pylist()] for f in ("lo", "n", "key", "hot"))
+        place = np.repeat(np.arange(len(lo)), [len(x) for x in lo])
+        lo, n, key, hot = (np.concatenate(x) for x in (lo, n, key, hot))
+        lo, n = lo.astype(np.int64), n.astype(np.int64)
+        doc = part.column("doc_id").to_numpy()[place]
+        snippets = [texts[p][a : a + k + LENGTH - 1] for p, a, k in zip(place.tolist(), lo.tolist(), n.tolist(), strict=True)]
+        own = doc == _least(_numbered(key, snippets), doc)
+        settled = {"block": block, "bucket": block % buckets, "place": _planes(place[~own], np.uint16), "lo": _planes(lo[~own], np.uint32), "hi": _planes((lo + n + LENGTH - 1)[~own], np.uint32)}
+        going = np.flatnonzero(own)
+        place, lo, n, key, hot, doc, snippets = place[going], lo[going], n[going], key[going], hot[going].astype(bool), doc[going], [snippets[k] for k in going.tolist()]
+        bucket = ((key >> U(32)) % U(buckets)).astype(np.int64)
+        if hot.any():
+            which = np.flatnonzero(hot)
+            joined = np.frombuffer(b"".join(snippets[k] for k in which.tolist()), np.uint8)
+            sizes = n[which]
+            first = np.repeat(np.cumsum(sizes + LENGTH - 1) - (sizes + LENGTH - 1), sizes)
+            step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            own_bucket, own_key = _key(string_hashes(joined)[first + step], buckets)
+            of = np.repeat(which, sizes)
+            strings = [snippets[k][j : j + LENGTH] for k, j in zip(of.tolist(), step.tolist(), strict=True)]
+            rest = np.flatnonzero(~hot)
+            bucket, key = np.concatenate((bucket[rest], own_bucket)), np.concatenate((key[rest], own_key))
+            place, doc = np.concatenate((place[rest], place[of])), np.concatenate((doc[rest], doc[of]))
+            lo, n, snippets = np.concatenate((lo[rest], lo[of] + step)), np.concatenate((n[rest], np.ones(len(of), np.int64))), [*(snippets[k] for k in rest.tolist()), *strings]
+        order = np.lexsort((place, bucket))
+        rows = _entries(block, bucket[order], buckets, place=place[order], lo=lo[order], n=n[order], key=key[order], doc=doc[order])
+        i = 0
+        for r in rows:
+            j = i + len(_numbers(r["n"], FIELDS["n"]))
+            r["snippets"] = zstandard.compress(b"".join([snippets[k] for k in order[i:j].tolist()]), 3)
+            i = j
+        documents = {"block": block, "bucket": block % buckets, "ids": part.column("doc_id").to_pylist(), "ths": part.column("th").to_pylist()}
+        yield _packed([documents, *([] if own.all() else [settled]), *rows])
 
 
 def _covered(doc: np.ndarray, n: np.ndarray, snippets: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of snippets with their documents: (snippet, first, last) of the runs of strings that start in an earlier document too.
 
-    One suffix array of all snippets brings equal strings together; the smallest document of each run of suffixes that share
-    LENGTH bytes keeps its own.
+    One suffix array of all snippets brings equal strings together; where the permuted common prefixes reach LENGTH bytes,
+    suffixes are in one run, and the smallest document of a run keeps its own.
     """
     t = np.frombuffer(b"".join(snippets), np.uint8)
     sizes = n + LENGTH - 1
     of = np.repeat(np.arange(len(n)), sizes)
     at = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     own = at < n[of]
-    order = suffix_array(t, LENGTH)
+    order = suffix_array(t)
     order = order[own[order]]
-    run = np.flatnonzero(~common_prefixes(t, order, LENGTH))
+    run = np.flatnonzero(permuted_common_prefixes(t, order, LENGTH)[order] < LENGTH)
     docs = doc[of[order]]
     least = np.repeat(np.minimum.reduceat(docs, run), np.diff(np.append(run, len(order))))
     gone = np.zeros(len(t), bool)
@@ -237,7 +299,7 @@ def _covered(doc: np.ndarray, n: np.ndarray, snippets: list[bytes]) -> tuple[np.
     return of[first], at[first], at[last]
 
 
-def _deduplicated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _deduplicated(batches: Iterator[pa.RecordBatch], limits: Sizes) -> Iterator[pa.RecordBatch]:
     """For each bucket's snippets the byte ranges to remove, by block and place."""
     for documents, buckets in _by_bucket(batches):
         yield _packed(documents)
@@ -247,19 +309,18 @@ def _deduplicated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             lo, n = lo.astype(np.int64), n.astype(np.int64)
             blob, ends = b"".join(zstandard.decompress(r["snippets"]) for r in rows), np.cumsum(n + LENGTH - 1).tolist()
             snippets = [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-            text = np.fromiter(map(xxhash.xxh3_64_intdigest, snippets), U, len(snippets))
-            order = np.lexsort((doc, text, key))
-            new_key = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-            new_text = new_key | np.concatenate(([True], text[order][1:] != text[order][:-1]))
-            starts = np.flatnonzero(new_text)
-            owner = np.repeat(doc[order][starts], np.diff(np.append(starts, len(order))))
-            copies = doc[order] > owner  # the same bytes around the anchor, in an earlier document
-            found = [(order[copies], lo[order[copies]], lo[order[copies]] + n[order[copies]] + LENGTH - 1)]
-            keys = np.cumsum(new_key) - 1
-            mixed_keys = np.bincount(keys[new_text]) > 1
-            rest = order[~copies & mixed_keys[keys]]
+            number = _numbered(key, snippets)
+            copies = doc > _least(number, doc)  # the same bytes around the anchor, in an earlier document
+            found = [(np.flatnonzero(copies), lo[copies], lo[copies] + n[copies] + LENGTH - 1)]
+            keys, which = np.unique(key, return_inverse=True)
+            several = np.full(len(keys), -1)
+            np.maximum.at(several, which, number)
+            least = np.full(len(keys), len(key))
+            np.minimum.at(least, which, number)
+            rest = np.flatnonzero(~copies & (several > least)[which])
+            rest = rest[np.argsort(key[rest], kind="stable")]
             sizes = np.cumsum(n[rest] + LENGTH - 1)
-            part = np.searchsorted(np.arange(SHARD_BYTES, sizes[-1] + SHARD_BYTES, SHARD_BYTES), sizes) if len(rest) else sizes
+            part = sizes // limits.shard_bytes
             part = part[np.searchsorted(key[rest], key[rest])] if len(rest) else part  # a key is in one array
             for p in np.unique(part).tolist():
                 own = rest[part == p]
@@ -291,31 +352,34 @@ def _kept(batches: Iterator[pa.RecordBatch], keep_bytes: bool) -> Iterator[pa.Re
         yield pa.record_batch([batch.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(columns) + 1])
 
 
-def deduplicate(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, keep_bytes: bool = False, sizes: Sizes = Sizes()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, and on request the bytes kept.
 
     A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller doc_id. Each such
     string has an anchor within it, chosen by its own bytes alone. Anchors that one document alone holds settle their
-    strings; the snippets around the others go to the shard of their anchor. Snippets alike in all bytes are settled there by
-    the smallest document; of the rest a suffix array is induced, and the common prefixes of its neighbours tell which
-    strings an earlier document has. Texts are shuffled once, by doc_id; groups of copies travel packed by blocks of
-    documents, so that no step has a row, or a group of rows, for each pair.
+    strings; the snippets around the others go to the shard of their anchor, of those equal in all bytes within a block of
+    documents only the first. A shard's different snippets make one string, whose suffix array is induced; where the permuted
+    common prefixes of its neighbours reach LENGTH, strings are equal and the earliest document keeps its own. An anchor that
+    very many places hold has its strings dealt out one by one, by their own bytes, so that no shard takes them all. Texts are
+    shuffled once, by doc_id, and travel packed by blocks; tasks are as many as the texts' bytes ask for.
 
     A null or empty text has no bytes; a row without doc_id is kept whole and is nobody's earlier document; repeated rows give a
-    row each and, being of one doc_id, keep their bytes. An empty table gives none. Other columns are not read.
+    row each and, being of one doc_id, keep their bytes. A very long text is a block of its own. An empty table gives none. Other
+    columns are not read.
     """
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * tasks
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // sizes.task_bytes)
+    buckets = 4 * tasks
     # keys without nulls, so that both joins below read one shuffle of the texts; no named row has a nameless one's hash
     rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text", F.isnull("doc_id")).alias("th"))
     dealt = rows.repartition(tasks, "id", "th")
     named = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("doc_id", "text", "th")
-    held = named.mapInArrow(lambda it: _anchored(it, buckets), PACKED).repartition(tasks, "bucket").mapInArrow(_repeated, PACKED)
-    at = held.groupBy("block").applyInArrow(lambda t: _to_documents(t, ("lo", "n", "key")), "id long, th long, lo binary, n binary, key binary")
-    at = at.groupBy("id", "th").agg(*(F.first(f).alias(f) for f in ("lo", "n", "key")))
-    snippets = dealt.join(at.hint("merge"), ["id", "th"]).select("doc_id", "th", "text", "lo", "n", "key").mapInArrow(lambda it: _snipped(it, buckets), PACKED)
-    gone = snippets.repartition(tasks, "bucket").mapInArrow(_deduplicated, PACKED)
+    held = named.mapInArrow(lambda it: _anchored(it, buckets, sizes), PACKED).repartition(tasks, "bucket").mapInArrow(lambda it: _repeated(it, sizes), PACKED)
+    at = held.groupBy("block").applyInArrow(lambda t: _to_documents(t, ("lo", "n", "key", "hot")), "id long, th long, lo binary, n binary, key binary, hot binary")
+    at = at.groupBy("id", "th").agg(*(F.first(f).alias(f) for f in ("lo", "n", "key", "hot")))
+    snippets = dealt.join(at.hint("merge"), ["id", "th"]).select("doc_id", "th", "text", "lo", "n", "key", "hot").mapInArrow(lambda it: _snipped(it, buckets, sizes), PACKED)
+    gone = snippets.repartition(tasks, "bucket").mapInArrow(lambda it: _deduplicated(it, sizes), PACKED)
     spans = gone.groupBy("block").applyInArrow(lambda t: _to_documents(t, ("lo", "hi")), "id long, th long, lo binary, hi binary")
     spans = spans.groupBy("id", "th").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     both = dealt.join(spans.hint("merge"), ["id", "th"], "left").select("doc_id", "text", "lo", "hi")

@@ -26,13 +26,23 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.one_of(st.binary(max_size=200), st.text("ab", max_size=200).map(str.encode), st.text("ab", min_size=1, max_size=6).map(lambda s: (s * 40).encode())))
-def test_suffix_array(raw):
-    got = induced.suffix_array(np.frombuffer(raw, np.uint8), 50).tolist()
-    assert sorted(got) == list(range(len(raw)))
-    cut = [raw[i : i + 50] for i in got]
-    assert cut == sorted(cut)
+def test_suffix_array_and_common_prefixes(raw):
+    t = np.frombuffer(raw, np.uint8)
+    got = induced.suffix_array(t).tolist()
+    assert got == sorted(range(len(raw)), key=lambda i: raw[i:])
+    shared = induced.permuted_common_prefixes(t, np.array(got, np.int64), 50)
+    for a, b in zip(got, got[1:]):
+        assert shared[b] == min(50, next((k for k, (x, y) in enumerate(zip(raw[a:], raw[b:])) if x != y), len(raw) - max(a, b)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=60))
+def test_names_are_sorted_by_recursion(names):
+    names = np.unique(np.array(names, np.int64), return_inverse=True)[1]
+    want = sorted(range(len(names)), key=lambda i: names[i:].tolist())
+    assert induced.suffix_array(names, int(names.max(initial=-1)) + 1).tolist() == want
 
 
 def corpus(seed):
@@ -48,13 +58,20 @@ def corpus(seed):
     return [*rows, (None, texts[40]), rows[25], (rows[26][0], texts[50])]
 
 
-def test_against_brute_force(spark, monkeypatch):
-    for seed, size in ((1, 2_000_000), (2, 700)):
-        monkeypatch.setattr(suffixes, "SHARD_BYTES", size)
+def test_against_brute_force(spark):
+    """With large blocks and small ones; with anchors that are hot from two entries on."""
+    for seed, sizes in (1, suffixes.Sizes()), (2, suffixes.Sizes(block_bytes=300, shard_bytes=700)), (3, suffixes.Sizes(block_bytes=2000, hot=1, task_bytes=20_000)), (4, suffixes.Sizes(block=7, shard_bytes=900, hot=5)):
         rows = corpus(seed)
-        frame = spark.createDataFrame([(*x, "other") for x in rows], "doc_id long, text string, lo string").repartition(3)
-        got = sorted((tuple(x) for x in suffixes.deduplicate(frame).collect()), key=str)
-        assert got == brute(rows)
+        frame = spark.createDataFrame([(*x, "other", "x") for x in rows], "doc_id long, text string, lo string, hot string").repartition(3)
+        got = sorted((tuple(x) for x in suffixes.deduplicate(frame, sizes=sizes).collect()), key=str)
+        assert got == brute(rows), seed
+
+
+def test_odd_and_very_long_documents(spark, odd_docs):
+    long = "".join(f"{i * 7919 % 100003} " for i in range(60_000))
+    frame = odd_docs.select("doc_id", "text", "rank").union(spark.createDataFrame([(9000, long, "x"), (9001, "head " + long, "x"), (9001, long[5000:5049], "x")], "doc_id long, text string, rank string"))
+    rows = [(r.doc_id, r.text) for r in frame.collect()]
+    assert sorted((tuple(x) for x in suffixes.deduplicate(frame).collect()), key=str) == brute(rows)
 
 
 def test_kept_bytes(spark, no_docs):
