@@ -6,57 +6,92 @@ over rotations, not bars, in pandas by series.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.scalars import clamp, saturating, true_range
 from ..sources.tables import SERIES, indexed
 
-CLUSTERS = "instrument string, timeframe string, rotation_index long, cluster int"
+CLUSTERS = "instrument string, timeframe string, rotation_index long, island long, part int"
 
 
 def clustered(rotations: DataFrame, max_gap_bars: float = 3, max_width: float | None = None, min_rotations: int = 2, bar_seconds: float = 60) -> DataFrame:
     """Valid rotations with the cluster they belong to. A rotation starts a new one when it begins more than max_gap_bars bars
-    after the last one's end or would make the cluster wider than max_width; clusters of too few rotations go."""
+    after the last one's end or would make the cluster wider than max_width; clusters of too few rotations go.
+
+    Gaps are found by a window, so the series falls into islands without gaps; only the walk by width, which depends on where
+    the cluster began, is sequential, and it sees one island at a time.
+    """
 
-    def walk(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        del key
-        p = pd.concat(list(batches)).sort_values("rotation_index")
+    def walk(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("rotation_index")
         low, high = p[["start_price", "end_price"]].min(axis=1).tolist(), p[["start_price", "end_price"]].max(axis=1).tolist()
-        begin, end = p["start_time"].tolist(), p["end_time"].tolist()
-        cluster, bottom, top, out = -1, 0.0, 0.0, []
-        for k in range(len(p)):
-            fits = k > 0 and (begin[k] - end[k - 1]).total_seconds() <= max_gap_bars * bar_seconds and (max_width is None or max(top, high[k]) - min(bottom, low[k]) <= max_width)
-            if fits:
-                bottom, top = min(bottom, low[k]), max(top, high[k])
-            else:
-                cluster, bottom, top = cluster + 1, low[k], high[k]
+        cluster, bottom, top, out = 0, low[0], high[0], []
+        for lo, hi in zip(low, high, strict=True):
+            bottom, top = min(bottom, lo), max(top, hi)
+            if max_width is not None and top - bottom > max_width:
+                cluster, bottom, top = cluster + 1, lo, hi
             out.append(cluster)
-        p["cluster"] = out
-        yield p[["instrument", "timeframe", "rotation_index", "cluster"]]
-
-    narrow = rotations.where("valid").select(*SERIES, "rotation_index", "start_time", "end_time", "start_price", "end_price")
-    found = narrow.groupBy(*SERIES).applyInPandas(walk, CLUSTERS)
+        return p[[*SERIES, "rotation_index"]].assign(island=p["island"], part=out)
+
+    by_index = W.partitionBy(*SERIES).orderBy("rotation_index")
+    gap = F.timestamp_diff("MICROSECOND", F.lag("end_time").over(by_index), F.col("start_time")) / 1e6
+    cut = rotations.where("valid").withColumn("_cut", F.when(gap <= max_gap_bars * bar_seconds, 0).otherwise(1))
+    narrow = cut.withColumn("island", F.sum("_cut").over(by_index)).select(*SERIES, "rotation_index", "start_price", "end_price", "island")
+    found = narrow.groupBy(*SERIES, "island").applyInPandas(walk, CLUSTERS)
+    named = found.withColumn("cluster", (F.dense_rank().over(W.partitionBy(*SERIES).orderBy("island", "part")) - 1).cast("int")).drop("island", "part")
     size = F.count(F.lit(1)).over(W.partitionBy(*SERIES, "cluster"))
-    return rotations.join(found, [*SERIES, "rotation_index"]).withColumn("_n", size).where(F.col("_n") >= min_rotations).drop("_n")
+    return rotations.join(named, [*SERIES, "rotation_index"]).withColumn("_n", size).where(F.col("_n") >= min_rotations).drop("_n")
+
+
+def filtered(members: DataFrame, min_rotations: int | None = None, min_minutes: float | None = None, min_width: float | None = None, max_width: float | None = None) -> DataFrame:
+    """The members of clusters with so many rotations, from the first one's start to the last one's end so many minutes, and so wide."""
+    w = W.partitionBy(*SERIES, "cluster")
+    width = F.max(F.greatest("start_price", "end_price")).over(w) - F.min(F.least("start_price", "end_price")).over(w)
+    minutes = F.timestamp_diff("SECOND", F.min("start_time").over(w), F.max("end_time").over(w)) / 60
+    tests = {"_count": (min_rotations, F.count(F.lit(1)).over(w), 1), "_minutes": (min_minutes, minutes, 1), "_least": (min_width, width, 1), "_most": (max_width, width, -1)}
+    asked = {name: (limit, value, sign) for name, (limit, value, sign) in tests.items() if limit is not None}
+    out = members.withColumns({name: value for name, (_, value, _) in asked.items()})
+    for name, (limit, _, sign) in asked.items():
+        out = out.where(F.col(name) * sign >= limit * sign)
+    return out.drop(*asked)
+
+
+KEYS = [*SERIES, "cluster"]
+
+
+def inside(bars: DataFrame, members: DataFrame) -> DataFrame:
+    """The bars of each cluster, from its first rotation's first bar to its last one's last; bars meet clusters by the blocks of
+    their index range."""
+    spans = members.groupBy(*KEYS).agg(F.min("start_index").alias("start_index"), F.max("end_index").alias("end_index"), F.count(F.lit(1)).alias("rotation_count"), F.count_if("valid").alias("valid_rotations"))
+    return within(indexed(bars), spans)
+
+
+def of_bars() -> dict:
+    """What a balance sums of its bars."""
+    return {
+        "start_time": F.min("time"),
+        "end_time": F.max("time"),
+        "high": F.max("high"),
+        "low": F.min("low"),
+        "bar_count": F.count(F.lit(1)),
+        "volume": F.sum("volume"),
+        "delta": F.sum("delta"),
+        "rotation_count": F.first("rotation_count"),
+        "valid_rotations": F.first("valid_rotations"),
+    }
+
+
+def _sized(made: DataFrame) -> DataFrame:
+    made = made.withColumn("range_size", F.col("high") - F.col("low"))
+    return made.withColumns({"midpoint": (F.col("high") + F.col("low")) / 2, "avg_candle_range": F.col("range_size") / F.col("bar_count"), "balance_id": F.concat_ws("_", F.lit("bal"), "instrument", "cluster")})
 
 
 def balances(bars: DataFrame, members: DataFrame, min_bars: int = 1) -> DataFrame:
-    """A row a cluster: its bars' range, sums and its rotations. Bars meet clusters by the day of their index range's blocks."""
-    spans = members.groupBy(*SERIES, "cluster").agg(F.min("start_index").alias("start_index"), F.max("end_index").alias("end_index"), F.count(F.lit(1)).alias("rotation_count"), F.sort_array(F.collect_list(F.struct("rotation_index", "direction", "rotation_type", "valid", "end_time", "delta", "volume"))).alias("rotations"))
-    inside = within(indexed(bars), spans)
-    made = inside.groupBy(*SERIES, "cluster", "start_index", "end_index").agg(
-        F.min("time").alias("start_time"),
-        F.max("time").alias("end_time"),
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
-        F.count(F.lit(1)).alias("bar_count"),
-        F.round(F.sum("volume"), 6).alias("volume"),
-        F.round(F.sum("delta"), 6).alias("delta"),
-    )
-    made = made.join(spans, [*SERIES, "cluster", "start_index", "end_index"]).where(F.col("bar_count") >= min_bars)
-    return made.withColumns({"range_size": F.col("high") - F.col("low"), "midpoint": (F.col("high") + F.col("low")) / 2, "balance_id": F.concat_ws("_", F.lit("bal"), "instrument", "cluster")})
+    """A row a cluster: its bars' range, sums and its rotations."""
+    told = members.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("rotation_index", "direction", "rotation_type", "valid", "end_time", "delta", "volume"))).alias("rotations"))
+    made = inside(bars, members).groupBy(*KEYS, "start_index", "end_index").agg(*(x.alias(n) for n, x in of_bars().items()))
+    return _sized(made.where(F.col("bar_count") >= min_bars).join(told, KEYS))
 
 
 BLOCK = 64
@@ -90,8 +125,119 @@ def profile(inside: DataFrame, keys: list[str], bin_size: float, high_factor: fl
     out = out.withColumns({"hvn": F.when(F.col("mean_volume") > 0, levels(lambda x: x["v"] > high_factor * F.col("mean_volume"))), "lvn": F.when(F.col("mean_volume") > 0, levels(lambda x: x["v"] < low_factor * F.col("mean_volume")))})
     out = out.withColumn("mean_price", F.try_divide(total(F.col("cells"), lambda x: x["p"] * x["v"]), F.col("total_volume")))
     moment = lambda k: F.try_divide(total(F.col("cells"), lambda x: F.pow(x["p"] - F.col("mean_price"), k) * x["v"]), F.col("total_volume"))
-    out = out.withColumn("_sd", F.sqrt(F.greatest(moment(2), F.lit(1e-9)))).withColumns({"skewness": moment(3) / F.pow("_sd", 3), "kurtosis": moment(4) / F.pow("_sd", 4)})
-    share = lambda keep: F.try_divide(total(F.filter("cells", keep), lambda x: x["v"]), F.col("total_volume"))
-    middle = (F.col("_min") + F.when(F.col("_max") == F.col("_min"), F.col("_min") + bin_size).otherwise(F.col("_max"))) / 2
-    out = out.withColumns({"concentration": share(lambda x: F.abs(x["p"] - F.col("poc_price")) <= around), "asymmetry": share(lambda x: x["p"] > middle) - share(lambda x: x["p"] <= middle), "density_around_mid": share(lambda x: F.abs(x["p"] - middle) <= around)})
-    return out.drop("_min", "_max", "_bins", "_sd", "m", "mean_price")
+    none = F.lit(0.0)
+    out = out.withColumn("_sd", F.sqrt(F.greatest(moment(2), F.lit(1e-9)))).withColumns({"skewness": F.coalesce(moment(3) / F.pow("_sd", 3), none), "kurtosis": F.coalesce(moment(4) / F.pow("_sd", 4), none)})
+    volume = lambda keep: total(F.filter("cells", keep), lambda x: x["v"])
+    share = lambda keep: F.coalesce(F.try_divide(volume(keep), F.col("total_volume")), none)
+    closed = F.when(F.col("_max") == F.col("_min"), F.col("_min") + bin_size).otherwise(F.col("_max"))
+    middle = (F.col("_min") + closed) / 2
+    out = out.withColumns(
+        {
+            "concentration": share(lambda x: F.abs(x["p"] - F.col("poc_price")) <= around),
+            "asymmetry": share(lambda x: x["p"] > middle) - share(lambda x: x["p"] <= middle),
+            "density_around_mid": share(lambda x: F.abs(x["p"] - middle) <= around),
+            "_above": volume(lambda x: x["p"] > middle),
+            "_below": volume(lambda x: x["p"] <= middle),
+            "volume_lower_boundary": F.col("cells")[0]["v"],
+            "volume_upper_boundary": F.element_at("cells", -1)["v"],
+            "profile_width": closed - F.col("_min"),
+        }
+    )
+    upper = F.when(F.col("_below") > 0, F.try_divide("_above", "_below")).when(F.col("_above") > 0, float("inf")).otherwise(1.0)
+    return out.withColumn("upper_vs_lower", upper).drop("_min", "_max", "_bins", "_sd", "m", "mean_price", "_above", "_below")
+
+
+def volatility(inside: DataFrame, keys: list[str], window: int = 14, more: dict | None = None) -> DataFrame:
+    """For each group of bars the mean of its last `window` true ranges, the deviation of its closes, that of its last
+    `window` closes, how large the range is for the whole, and how stable that is; all 0 for a single bar. `more` are further
+    aggregates by name."""
+    before = F.lag("close").over(W.partitionBy(*keys).orderBy("time"))
+    marked = inside.withColumns({"_tr": F.when(before.isNotNull(), true_range(F.col("high"), F.col("low"), before)), "_left": F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("time")))})
+    last = F.col("_left") <= window
+    out = marked.groupBy(*keys).agg(
+        F.coalesce(F.avg(F.when(last, F.col("_tr"))), F.lit(0.0)).alias("internal_atr"),
+        F.stddev_pop("close").alias("internal_volatility"),
+        F.stddev_pop(F.when(last, F.col("close"))).alias("recent_volatility"),
+        (F.max("high") - F.min("low")).alias("_range"),
+        F.count(F.lit(1)).alias("_n"),
+        *(x.alias(n) for n, x in (more or {}).items()),
+    )
+    ratio = F.when(F.col("_range") > 0, F.try_divide("internal_atr", "_range")).otherwise(0.0)
+    several = F.col("_n") > 1
+    return out.withColumn("compression_ratio", F.when(several, ratio).otherwise(0.0)).withColumn("stability_score", F.when(several, 1 / (1 + F.col("compression_ratio"))).otherwise(0.0)).drop("_range", "_n")
+
+
+def detected(bars: DataFrame, members: DataFrame, bin_size: float, window: int = 14, **profiled: float) -> DataFrame:
+    """Balances with their volume profile and volatility, a row each: what breakouts start from."""
+    own = inside(bars, members)
+    out = _sized(volatility(own, [*KEYS, "start_index", "end_index"], window, of_bars())).join(profile(own, KEYS, bin_size, **profiled), KEYS)
+    return out.withColumns({"n_levels": F.size("cells"), "edge_share": (F.col("volume_upper_boundary") + F.col("volume_lower_boundary")) / F.greatest("total_volume", F.lit(1e-9))})
+
+
+def kinds(found: DataFrame, compressed: float = 0.25, wide: float = 1.75, asymmetry: float = 0.25, center: float = 0.35, edge: float = 0.2) -> DataFrame:
+    """Six flags: how the range's size stands to its profile's width (one of three), and where its volume lies."""
+    ratio = F.col("range_size") / F.greatest("profile_width", F.lit(1e-9))
+    return found.withColumns(
+        {
+            "is_compressed": ratio <= compressed,
+            "is_wide": (ratio > compressed) & (ratio >= wide),
+            "is_standard": (ratio > compressed) & (ratio < wide),
+            "is_asymmetric": F.abs("asymmetry") >= asymmetry,
+            "is_center_heavy": F.col("density_around_mid") >= center,
+            "is_edge_heavy": F.col("edge_share") >= edge,
+        }
+    )
+
+
+#: The six terms' weights and references.
+EQUILIBRIUM = {"width": (0.2, 1.0), "asymmetry": (0.2, 0.5), "center": (0.25, 0.4), "hvn": (0.15, 0.25), "lvn": (0.1, 0.15), "edge": (0.1, 0.1)}
+
+
+def equilibrium(found: DataFrame, terms: dict[str, tuple[float, float]] = EQUILIBRIUM) -> DataFrame:
+    """How orderly a balance is, from 0 to 1: the weighted mean of six terms, each 1 at its reference."""
+    near = lambda x, reference: F.greatest(1 - F.abs(x - reference) / max(reference, 1e-9), F.lit(0.0))
+    level = lambda name: F.size(name) / F.greatest("n_levels", F.lit(1))
+    share = {name: reference for name, (_, reference) in terms.items()}
+    score = {
+        "width": near(F.col("range_size") / F.greatest("profile_width", F.lit(1e-9)), share["width"]),
+        "asymmetry": F.greatest(1 - F.abs("asymmetry") / max(share["asymmetry"], 1e-9), F.lit(0.0)),
+        "center": saturating(F.col("density_around_mid"), max(share["center"], 1e-9)),
+        "hvn": near(F.coalesce(level("hvn"), F.lit(0.0)), share["hvn"]),
+        "lvn": near(F.coalesce(level("lvn"), F.lit(0.0)), share["lvn"]),
+        "edge": F.when(F.col("edge_share") <= share["edge"], 1.0).otherwise(F.greatest(1 - (F.col("edge_share") - share["edge"]) / max(share["edge"], 1e-9), F.lit(0.0))),
+    }
+    whole = max(sum(w for w, _ in terms.values()), 1e-9)
+    return found.withColumn("equilibrium_score", clamp(sum((score[n] * (w / whole) for n, (w, _) in terms.items()), F.lit(0.0))))
+
+
+def before_breakout(found: DataFrame, pickup: float = 1.5, boundary: float = 0.5, distance: float = 0.1, bias: float = 1.2) -> DataFrame:
+    """Four signs that a balance will break: closes that move more of late, thin edges, a low-volume level near an edge, and
+    volume on one side; two of them make a candidate. `volatility` gives the recent closes' deviation."""
+    near = lambda edge: F.exists("lvn", lambda p: F.abs(p - F.col(edge)) <= distance * F.col("range_size"))
+    ratio, mean = F.col("upper_vs_lower"), F.col("total_volume") / F.greatest("n_levels", F.lit(1))
+    out = found.withColumns(
+        {
+            "volatility_pickup": (F.col("internal_volatility") > 0) & (F.col("recent_volatility") > pickup * F.col("internal_volatility")),
+            "boundary_volume_drop": (mean > 0) & (F.col("volume_upper_boundary") + F.col("volume_lower_boundary") < boundary * mean),
+            "lvn_near_boundaries": F.coalesce(near("low") | near("high"), F.lit(False)),
+            "directional_bias": F.when(ratio > bias, "up").when(ratio < 1 / bias, "down").otherwise("neutral"),
+        }
+    )
+    signs = [F.col(n).cast("int") for n in ("volatility_pickup", "boundary_volume_drop", "lvn_near_boundaries")]
+    return out.withColumn("is_pre_breakout", sum(signs, (F.col("directional_bias") != "neutral").cast("int")) >= 2)
+
+
+def pre_breakout_score(found: DataFrame, weights: dict[str, float], max_lvn_distance: float = 0.5, min_volatility_increase: float = 1.0, min_delta_bias: float = 0.2, min_score: float = 0.5) -> DataFrame:
+    """Four saturating scores (compression, lvn_proximity, volatility, delta_bias), their weighted sum, and whether it is enough."""
+    to_lvn = F.array_min(F.transform("lvn", lambda p: F.abs(F.col("midpoint") - p)))
+    at_most_one = lambda x: F.coalesce(F.least(x, F.lit(1.0)), F.lit(0.0))
+    out = found.withColumns(
+        {
+            "compression_score": at_most_one(F.col("compression_ratio")),
+            "lvn_proximity_score": F.coalesce(1 - F.least(F.try_divide(to_lvn, F.col("range_size")) / max_lvn_distance, F.lit(1.0)), F.lit(0.0)),
+            "volatility_score": at_most_one(F.try_divide("internal_volatility", "avg_candle_range") / min_volatility_increase),
+            "delta_bias_score": at_most_one(F.try_divide(F.abs("delta"), "total_volume") / min_delta_bias),
+        }
+    )
+    whole = sum((F.col(f"{n}_score") * w for n, w in weights.items()), F.lit(0.0))
+    return out.withColumn("pre_total_score", whole).withColumn("is_candidate", F.col("pre_total_score") >= min_score)

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.scalars import squashed
+from ..functions.scalars import squashed, true_range
 from ..sources.tables import SERIES, indexed
-from .balances import within
-from .bars import by_time, atr_partial, rows, trailing_means
+from .balances import BLOCK, within
+from .bars import lead_atr
 
 c = F.col
 
@@ -32,13 +32,14 @@ def leaves(mode: str, high: Column, low: Column) -> Column:
     return F.lit(None).cast("string")
 
 
-def breakouts(bars: DataFrame, ranges: DataFrame, mode: str = "strict", post_bars: int = 60) -> DataFrame:
-    """For each range the first bar that leaves it among the post_bars + 1 after its end; ranges without one give no row."""
-    spans = ranges.select(*SERIES, "range_id", c("high").alias("range_high"), c("low").alias("range_low"), (c("end_index") + 1).alias("_first"), (c("end_index") + 1 + post_bars).alias("_last"))
+def breakouts(bars: DataFrame, ranges: DataFrame, mode: str = "strict", post_bars: int = 60, keep: tuple[str, ...] = ()) -> DataFrame:
+    """For each range the first bar that leaves it among the post_bars + 1 after its end; ranges without one give no row. The
+    range's columns in `keep` come along."""
+    spans = ranges.select(*SERIES, "range_id", c("high").alias("range_high"), c("low").alias("range_low"), F.struct(F.lit(1).alias("_"), *keep).alias("_kept"), (c("end_index") + 1).alias("_first"), (c("end_index") + 1 + post_bars).alias("_last"))
     narrow = indexed(bars).select(*SERIES, "bar_index", "time", "open", "high", "low", "close", "volume", "delta")
     after = within(narrow, spans, "_first", "_last").withColumn("direction", leaves(mode, c("range_high"), c("range_low"))).where("direction is not null")
     bar = F.struct("bar_index", "time", "open", "high", "low", "close", "volume", "delta", "direction")
-    first = after.groupBy(*SERIES, "range_id", "range_high", "range_low").agg(F.min_by(bar, "bar_index").alias("b"))
+    first = after.groupBy(*SERIES, "range_id", "range_high", "range_low").agg(F.min_by(bar, "bar_index").alias("b"), F.first("_kept").alias("_kept"))
     up = c("b.direction") == "up"
     return first.select(
         *SERIES,
@@ -54,18 +55,24 @@ def breakouts(bars: DataFrame, ranges: DataFrame, mode: str = "strict", post_bar
         F.when(up, "upper").otherwise("lower").alias("boundary_type"),
         F.when(up, c("range_high")).otherwise(c("range_low")).alias("boundary_price"),
         F.concat_ws("_", F.lit("bo"), "range_id", c("b.bar_index")).alias("breakout_id"),
+        *(c(f"_kept.{n}").alias(n) for n in keep),
     )
 
 
-def next_bars(bars: DataFrame, n: int) -> DataFrame:
-    """Each bar's index with the next n closes, volumes and deltas as an array; frames are bounded."""
-    ahead = F.collect_list(F.struct("close", "volume", "delta")).over(rows(1, n))
-    return indexed(bars).select(*SERIES, "bar_index", ahead.alias("ahead"))
+def near_bars(events: DataFrame, bars: DataFrame, first: int, last: int, name: str, *columns: str) -> DataFrame:
+    """Events with the bars from `first` to `last` places after theirs, in order, as an array. Only these bars are joined, by
+    blocks of indexes; no other bar carries a frame."""
+    e, b = "event.bar_index", indexed(bars).select(*(c(k).alias(f"_{k}") for k in SERIES), F.struct("bar_index", *columns).alias("bar"), F.floor(c("bar_index") / BLOCK).alias("_block"))
+    blocks = F.explode(F.sequence(F.floor((c(e) + first) / BLOCK), F.floor((c(e) + last) / BLOCK)))
+    cut = events.select(*SERIES, "range_id", F.struct(*events.columns).alias("event")).withColumn("block", blocks)
+    meets = [c(k) == c(f"_{k}") for k in SERIES] + [c("block") == c("_block"), c("bar.bar_index").between(c(e) + first, c(e) + last)]
+    got = cut.join(b, meets, "left").groupBy(*SERIES, "range_id").agg(F.first("event").alias("event"), F.sort_array(F.collect_list("bar")).alias(name))
+    return got.select("event.*", name)
 
 
 def follow_through(events: DataFrame, bars: DataFrame, observation_bars: int = 40) -> DataFrame:
     """How far, how long and how steadily closes went on after a breakout; places count from 0 at the next bar."""
-    out = events.join(next_bars(bars, observation_bars), [*SERIES, "bar_index"])
+    out = near_bars(events, bars, 1, observation_bars, "ahead", "close", "volume")
     p = F.transform("ahead", lambda x: x["close"])
     up, boundary = c("direction") == "up", c("boundary_price")
     out = out.withColumn("_p", p).withColumns({"_top": F.array_max("_p"), "_bottom": F.array_min("_p")})
@@ -110,7 +117,7 @@ def classified(events: DataFrame, failure_retrace: float = 0.8, retest_window: i
 def confirmed(events: DataFrame, bars: DataFrame, closes: int = 2, max_bars: int = 10, delta_min: float | None = None) -> DataFrame:
     """Events with the bar at which so many closes in a row lay beyond the boundary, and with delta_min their deltas' sum too;
     confirmation_bar_index is NULL for those never confirmed. The fold over the next bars keeps run length and sum."""
-    out = events.join(next_bars(bars, max_bars), [*SERIES, "bar_index"])
+    out = near_bars(events, bars, 1, max_bars, "ahead", "close", "delta")
     up = c("direction") == "up"
     zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("d"), F.lit(0).alias("k"), F.lit(0).alias("at"))
 
@@ -127,25 +134,101 @@ def confirmed(events: DataFrame, bars: DataFrame, closes: int = 2, max_bars: int
     return out.withColumns({"confirmation_bar_index": F.when(c("_at") > 0, c("bar_index") + c("_at")), "confirmation_price": F.when(c("_at") > 0, F.try_element_at("ahead", c("_at"))["close"])}).drop("ahead", "_at")
 
 
-def strength(events: DataFrame, bars: DataFrame, weights: dict[str, float] = {}, method: str = "minmax", vpoc: str | None = None) -> DataFrame:  # noqa: B006
-    """Momentum, delta, volume, volatility and distance scores, each at most 1, their weighted sum and its normalised form."""
-    w = {"momentum": 1.0, "delta": 1.0, "volume": 1.0, "volatility": 1.0, "vpoc": 0.7} | weights
-    measured = trailing_means(atr_partial(indexed(bars))).withColumn("prev_close", F.lag("close").over(by_time()))
-    out = events.join(measured.select(*SERIES, "bar_index", "atr", "mean_abs_delta", "mean_volume", "prev_close", c("open").alias("_open")), [*SERIES, "bar_index"])
+#: The six scores' weights.
+WEIGHTS = {"momentum": 1.0, "delta_imbalance": 1.0, "volume_spike": 1.0, "volatility": 1.0, "distance_from_vpoc": 0.7, "hvn_lvn_break": 0.7}
+#: Between which compression ratios and from which stability a range passes, and what a borderline one loses.
+FILTER = {"min_compression": 0.5, "max_compression": 1.0, "min_stability": 0.4, "soft_penalty": 0.3}
+
+
+def strength(
+    events: DataFrame,
+    bars: DataFrame,
+    weights: dict[str, float] = WEIGHTS,
+    method: str = "minmax",
+    use_atr: bool = True,
+    volatility_filter: dict[str, float] | None = FILTER,
+    delta_bars: int = 20,
+    volume_bars: int = 30,
+    atr_period: int = 14,
+    cap: float = 3.0,
+) -> DataFrame:
+    """Momentum, delta, volume, volatility, distance and low-volume-level scores, each at most 1, their weighted sum (raw) and its
+    normalised form, and whether the range passes the volatility filter.
+
+    Of the range, events may have vpoc, lvn (levels), midpoint, compression_ratio and stability_score. Without vpoc or midpoint
+    the range's middle counts; without lvn the sixth score is 0; without the last two every range passes. Without ATR, momentum
+    stands for volatility.
+    """
+    has = lambda name, other: c(name) if name in events.columns else other
+    w, reach = {**WEIGHTS, **weights}, max(delta_bars, volume_bars, atr_period)
+    out = near_bars(events, bars, -reach, 0, "behind", "open", "high", "low", "close", "volume", "delta")
+    n = F.size("behind")
+    at = lambda k: F.element_at("behind", k)
+    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))
+    last = lambda name, k: F.transform(F.slice("behind", F.greatest(n - k, F.lit(1)), F.lit(k + 1)), lambda x: x[name])
+    turns = F.sequence(F.greatest(n - atr_period + 1, F.lit(2)), n)
+    ranges = F.transform(turns, lambda k: true_range(at(k.cast("int"))["high"], at(k.cast("int"))["low"], at((k - 1).cast("int"))["close"]))
     size = F.greatest(c("range_high") - c("range_low"), F.lit(1e-6))
-    capped = lambda x, mean: F.least(F.when(mean > 0, x / F.when(mean > 0, mean)).otherwise(0.0), F.lit(3.0)) / 3.0
-    control = c(vpoc) if vpoc else (c("range_high") + c("range_low")) / 2
+    middle = has("midpoint", (c("range_high") + c("range_low")) / 2)
+    capped = lambda x, m: F.least(F.when(m > 0, F.try_divide(x, m)).otherwise(0.0), F.lit(cap)) / cap
+    out = out.withColumn("atr_before", F.when(n > 1, mean(ranges)).otherwise(0.0))
     out = out.withColumns(
         {
-            "momentum_score": F.least(F.abs(c("breakout_price") - F.coalesce("prev_close", "_open")) / size, F.lit(1.0)),
-            "delta_imbalance_score": capped(F.abs("initial_delta"), c("mean_abs_delta")),
-            "volume_spike_score": capped(c("initial_volume"), c("mean_volume")),
-            "volatility_score": F.least(c("atr") / size, F.lit(1.0)),
-            "distance_from_vpoc_score": F.least(F.abs(c("breakout_price") - control) / (0.5 * size), F.lit(1.0)),
+            "momentum_score": F.least(F.abs(c("breakout_price") - F.when(n > 1, F.try_element_at("behind", F.lit(-2))["close"]).otherwise(at(-1)["open"])) / size, F.lit(1.0)),
+            "delta_imbalance_score": capped(F.abs("initial_delta"), mean(F.transform(last("delta", delta_bars), F.abs))),
+            "volume_spike_score": capped(c("initial_volume"), mean(last("volume", volume_bars))),
+            "distance_from_vpoc_score": F.least(F.abs(c("breakout_price") - has("vpoc", middle)) / (0.5 * size), F.lit(1.0)),
         }
     )
-    raw = c("momentum_score") * w["momentum"] + c("delta_imbalance_score") * w["delta"] + c("volume_spike_score") * w["volume"] + c("volatility_score") * w["volatility"] + c("distance_from_vpoc_score") * w["vpoc"]
-    return out.withColumn("overall_strength_score", raw).withColumn("overall_strength_normalized", squashed(c("overall_strength_score"), method)).drop("mean_abs_delta", "mean_volume", "prev_close", "_open").withColumnRenamed("atr", "atr_before")
+    if "lvn" in events.columns:
+        ahead = F.filter("lvn", lambda p: F.when(c("direction") == "up", p >= middle).otherwise(p <= middle))
+        out = out.withColumn("hvn_lvn_break_score", F.coalesce(F.exists(ahead, lambda p: F.abs(c("breakout_price") - p) <= 0.1 * size), F.lit(False)).cast("double"))
+    else:
+        out = out.withColumn("hvn_lvn_break_score", F.lit(0.0))
+    moved = F.least(c("atr_before") / size, F.lit(1.0)) if use_atr else c("momentum_score")
+    if volatility_filter and {"compression_ratio", "stability_score"} <= set(events.columns):
+        f, ratio, stable = volatility_filter, c("compression_ratio"), c("stability_score")
+        passes = (ratio >= f["min_compression"]) & (ratio <= f["max_compression"]) & (stable >= f["min_stability"])
+        border = passes & ((ratio < f["min_compression"] * 1.1) | (stable < f["min_stability"] * 1.1))
+        moved = moved * F.when(border, 1 - f["soft_penalty"]).otherwise(1.0)
+    else:
+        passes = F.lit(True)
+    out = out.withColumns({"volatility_score": moved, "volatility_filter_pass": passes})
+    raw = sum((c(f"{name}_score") * weight for name, weight in w.items()), F.lit(0.0))
+    return out.withColumn("overall_strength_score", raw).withColumn("overall_strength_normalized", squashed(c("overall_strength_score"), method)).drop("behind")
+
+
+#: The columns of an event in their order.
+EVENT = (
+    "breakout_id", "parent_balance_id", "instrument", "timeframe", "breakout_time", "breakout_bar_index", "direction", "breakout_type", "confirmation_status", "confirmation_bar_index", "breakout_price", "confirmation_price",
+    "boundary_price", "boundary_type", "balance_high", "balance_low", "balance_midpoint", "balance_range_size", "balance_vpoc", "balance_hvn", "balance_lvn", "balance_equilibrium_score", "initial_volume", "initial_delta",
+    "atr_before", "atr_after", "strength_components", "follow_through", "bar_count_initial_move", "is_failed", "is_retest_occurred", "pre_breakout_signal", "tags",
+)
+FOLLOWED = ("max_excursion", "max_excursion_bars", "close_after_n_bars", "retracement_depth", "retracement_bars", "time_to_retest_boundary", "failure_bars_from_breakout", "failure_price", "post_breakout_volatility", "post_breakout_volume_mean")
+
+
+def assembled(bars: DataFrame, found: DataFrame, mode: str = "close_only", post_bars: int = 60, observation_bars: int = 40, closes: int = 2, **strong: object) -> DataFrame:
+    """From balances (balances.detected, with equilibrium and pre_breakout_score) to whole events: the first breakout of each, its
+    strength, follow-through, class and confirmation, with what is told of the balance, as nested columns in the contract's order."""
+    signal = F.struct("compression_score", "lvn_proximity_score", c("volatility_score").alias("volatility_increase_score"), "delta_bias_score", "pre_total_score", "is_candidate")
+    ranges = found.withColumns({"range_id": c("balance_id"), "vpoc": c("poc_price"), "balance_range_size": c("range_size"), "pre_breakout_signal": signal})
+    broken = breakouts(bars, ranges, mode, post_bars, ("vpoc", "hvn", "lvn", "midpoint", "balance_range_size", "compression_ratio", "stability_score", "equilibrium_score", "pre_breakout_signal"))
+    out = confirmed(classified(follow_through(strength(broken, bars, **strong), bars, observation_bars)), bars, closes)
+    after = lead_atr(indexed(bars)).select(*SERIES, "bar_index", "atr_after")
+    out = out.join(after, [*SERIES, "bar_index"])
+    scores = [f"{n}_score" for n in WEIGHTS]
+    tags = F.filter(F.array(F.lit("structural"), F.when(c("volatility_filter_pass"), "volatility_confirmed").otherwise("volatility_rejected"), F.when(c("confirmation_bar_index").isNotNull(), "confirmed")), lambda x: x.isNotNull())
+    renamed = {"range_id": "parent_balance_id", "bar_index": "breakout_bar_index", "range_high": "balance_high", "range_low": "balance_low", "midpoint": "balance_midpoint", "vpoc": "balance_vpoc", "hvn": "balance_hvn", "lvn": "balance_lvn", "equilibrium_score": "balance_equilibrium_score"}
+    out = out.withColumns(
+        {
+            "strength_components": F.struct(*scores, "overall_strength_score", "overall_strength_normalized", "volatility_filter_pass"),
+            "follow_through": F.struct(*FOLLOWED),
+            "confirmation_status": F.when(c("confirmation_bar_index").isNotNull(), "confirmed").otherwise("pending"),
+            "bar_count_initial_move": F.lit(1),
+            "tags": tags,
+        }
+    ).withColumnsRenamed(renamed)
+    return out.select(*EVENT)
 
 
 def early_signs(events: DataFrame, lower: DataFrame, since: str, min_run: int = 1, penetration: float = 0.0, max_lead_minutes: float = 600) -> DataFrame:

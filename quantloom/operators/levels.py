@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.scalars import half_even_bin
+from ..functions.scalars import half_even_bin, ratio
 
 #: Session name, opening and closing minute of the day; a session may pass midnight.
 SESSIONS = (("asia", 60, 600), ("europe", 540, 1050), ("usa", 930, 1320))
+
+
 def typical() -> Column:
     return (F.col("high") + F.col("low") + F.col("close")) / 3
 
@@ -47,9 +49,15 @@ def volume_profile(bars: DataFrame, keys: list[str], bin_size: float = 1.0) -> D
 
 def value_area(profile: DataFrame, keys: list[str], share: float = 0.7) -> DataFrame:
     """poc, vah and val: from the bin of most volume (the lowest of ties) towards the larger neighbour, right on ties, until the
-    share is covered. The walk is a fold over the sorted bins of one group, in the JVM; without volume all three are the lowest bin."""
-    bins = profile.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("price", "volume"))).alias("b"), F.sum("volume").alias("t"), F.min_by(F.col("price"), F.struct(-F.col("volume"), F.col("price"))).alias("poc"))
-    at = F.array_position(F.transform("b", lambda x: x["price"]), F.col("poc")).cast("int") - 1
+    share is covered; without volume all three are the lowest bin."""
+    bins = profile.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("price", "volume"))).alias("b"), F.sum("volume").alias("t"))
+    return _walked(bins, share).select(*keys, "poc", "vah", "val")
+
+
+def _walked(bins: DataFrame, share: float) -> DataFrame:
+    """The walk is a fold over the sorted bins `b` of one group with volume `t`, in the JVM."""
+    volumes = F.transform("b", lambda x: x["volume"])
+    at = F.array_position(volumes, F.array_max(volumes)).cast("int") - 1
     start = F.struct(F.col("_poc").alias("l"), F.col("_poc").alias("r"), F.col("b")[F.col("_poc")]["volume"].alias("v"))
 
     def step(s: Column, _: Column) -> Column:
@@ -64,8 +72,31 @@ def value_area(profile: DataFrame, keys: list[str], share: float = 0.7) -> DataF
         )
 
     walked = bins.withColumn("_poc", at).withColumn("_w", F.when(F.col("t") > 0, F.aggregate("b", start, step)))
-    lowest = F.col("b")[0]["price"]
-    return walked.select(*keys, F.when(F.col("t") > 0, F.col("poc")).otherwise(lowest).alias("poc"), F.coalesce(F.col("b")[F.col("_w.r")]["price"], lowest).alias("vah"), F.coalesce(F.col("b")[F.col("_w.l")]["price"], lowest).alias("val"))
+    lowest, there = F.col("b")[0]["price"], F.col("t") > 0
+    price = lambda k: F.when(there, F.col("b")[k]["price"]).otherwise(lowest)
+    return walked.withColumns({"poc": price(F.col("_poc")), "vah": price(F.col("_w.r")), "val": price(F.col("_w.l"))}).drop("b", "t", "_poc", "_w")
+
+
+def summed(bars: DataFrame, keys: list[str], bin_size: float = 1.0, share: float = 0.7) -> DataFrame:
+    """OHLC, volume, both volume-weighted prices and the value area of each group, from one pass over its bars: they are summed
+    by price bin first, and the bins give both the profile and the group's own figures."""
+    first, last = F.min(F.struct("time", "open")).alias("_first"), F.max(F.struct("time", "close")).alias("_last")
+    bins = bars.groupBy(*keys, half_even_bin(typical(), bin_size).alias("price")).agg(
+        first, last, F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"), F.sum(typical() * F.col("volume")).alias("_tv"), F.sum(F.col("close") * F.col("volume")).alias("pv")
+    )
+    whole = bins.groupBy(*keys).agg(
+        F.min("_first")["open"].alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max("_last")["close"].alias("close"),
+        F.sum("volume").alias("volume"),
+        F.sum("_tv").alias("_tv"),
+        F.sum("pv").alias("pv"),
+        F.sum("volume").alias("t"),
+        F.sort_array(F.collect_list(F.struct("price", "volume"))).alias("b"),
+    )
+    weighted = lambda x: F.when(F.col("volume") > 0, F.try_divide(x, F.col("volume")))
+    return _walked(whole, share).withColumns({"vwap": weighted(F.col("_tv")), "vwap_close": weighted(F.col("pv"))}).drop("_tv")
 
 
 def _context(bars: DataFrame, name: str, keys: list[Column], causal: bool) -> DataFrame:
@@ -88,21 +119,52 @@ def monthly(bars: DataFrame, causal: bool = False) -> DataFrame:
 def previous_day(bars: DataFrame, bin_size: float = 1.0) -> DataFrame:
     """The levels of exactly the calendar day before, for each date that has one."""
     days = bars.withColumn("date", F.to_date("time"))
-    found = ohlc(days, ["instrument", "date"]).join(value_area(volume_profile(days, ["instrument", "date"], bin_size), ["instrument", "date"]), ["instrument", "date"])
-    return found.select("instrument", F.date_add("date", 1).alias("date"), *(F.col(s).alias(f"prev_day_{d}") for s, d in (("high", "high"), ("low", "low"), ("poc", "poc"), ("vah", "vah"), ("val", "val"), ("vwap_close", "vwap"))))
+    found = summed(days, ["instrument", "date"], bin_size)
+    return found.select("instrument", F.date_add("date", 1).alias("date"), *(F.col(s).alias(f"prev_day_{d}") for d, s in OF_DAY_BEFORE.items()))
+
+
+OF_DAY_BEFORE = {"high": "high", "low": "low", "poc": "poc", "vah": "vah", "val": "val", "vwap": "vwap_close"}
+
+
+def _spans(days: DataFrame, causal: bool) -> DataFrame:
+    """The day table with the contexts that come of it alone: the calendar day before, the ISO week and the month."""
+    row = W.partitionBy("instrument").orderBy("date")
+    yesterday = F.lag("date").over(row) == F.date_add("date", -1)
+    out = days.withColumns({f"prev_day_{d}": F.when(yesterday, F.lag(s).over(row)) for d, s in OF_DAY_BEFORE.items()})
+    for name, keys in (("weekly", [F.extract(F.lit("YEAROFWEEK"), "date"), F.weekofyear("date")]), ("monthly", [F.year("date"), F.month("date")])):
+        w = W.partitionBy("instrument", *keys)
+        w = w.orderBy("date").rowsBetween(W.unboundedPreceding, 0) if causal else w
+        out = out.withColumns({f"{name}_high": F.max("high").over(w), f"{name}_low": F.min("low").over(w), f"{name}_vwap": F.when(F.sum("volume").over(w) > 0, F.try_divide(F.sum("pv").over(w), F.sum("volume").over(w)))})
+    return out.drop("pv")
 
 
 def session_levels(bars: DataFrame, sessions: tuple = SESSIONS, bin_size: float = 1.0, causal: bool = False) -> DataFrame:
-    """A row for each instrument, date and session with bars: its levels, its day's, and those of the day before, week and month."""
+    """A row for each instrument, date and session with bars: its levels, its day's, and those of the day before, week and month.
+
+    Bars are read for the sessions and for the days; all longer contexts come of the day table. A level of the day before is
+    touched where it lies in the session's range, and broken where the session opens on one side and reaches it.
+    """
     own, day = ["instrument", "date", "session_name"], ["instrument", "date"]
-    parts, days = by_session(bars, sessions), bars.withColumn("date", F.to_date("time"))
-    named = lambda df, prefix, keys: df.select(*keys, *(F.col(x).alias(f"{prefix}_{x}") for x in df.columns if x not in keys))
-    out = named(ohlc(parts, own), "session", own).join(named(value_area(volume_profile(parts, own, bin_size), own), "session", own), own)
-    out = out.join(named(ohlc(days, day), "day", day), day).join(named(value_area(volume_profile(days, day, bin_size), day), "day", day), day)
-    out = out.join(previous_day(bars, bin_size), day, "left").join(weekly(bars, causal), day).join(monthly(bars, causal), day)
-    crossed = lambda lvl: (F.col("session_low") <= F.col(lvl)) & (F.col("session_high") >= F.col(lvl))
-    flags = {f"touched_{x}": crossed(x) for x in ("prev_day_poc", "prev_day_vah", "prev_day_val", "weekly_high", "weekly_low")}
-    return out.withColumns({"session_mid": (F.col("session_high") + F.col("session_low")) / 2, "session_range": F.col("session_high") - F.col("session_low"), **flags})
+    named = lambda df, prefix, keys: df.select(*keys, *(F.col(x).alias(f"{prefix}_{x}" if x in LEVELS else x) for x in df.columns if x not in keys))
+    parts = named(summed(by_session(bars, sessions), own, bin_size).drop("pv"), "session", own)
+    days = named(_spans(summed(bars.withColumn("date", F.to_date("time")), day, bin_size), causal), "day", day)
+    out = parts.join(days, day)
+    opens, high, low = F.col("session_open"), F.col("session_high"), F.col("session_low")
+    flags = {f"touched_{x}": (low <= F.col(x)) & (high >= F.col(x)) for x in ("prev_day_poc", "prev_day_vah", "prev_day_val", "prev_day_vwap", "weekly_high", "weekly_low")}
+    flags |= {f"broke_{x}": ((opens > F.col(x)) & (low <= F.col(x))) | ((opens < F.col(x)) & (high >= F.col(x))) for x in ("prev_day_poc", "prev_day_vah", "prev_day_val", "prev_day_vwap")}
+    return out.withColumns({"session_mid": (high + low) / 2, "session_range": high - low, **flags})
+
+
+LEVELS = ("open", "high", "low", "close", "volume", "vwap", "vwap_close", "poc", "vah", "val")
+
+
+def previous_period(bars: DataFrame, period: str = "week") -> DataFrame:
+    """High, low and closing VWAP of the ISO week or month before each date's, for dates that have one with bars."""
+    days = bars.withColumn("date", F.to_date("time")).groupBy("instrument", "date").agg(F.max("high").alias("h"), F.min("low").alias("l"), F.sum(F.col("close") * F.col("volume")).alias("pv"), F.sum("volume").alias("v"))
+    begins = F.date_trunc(period, "date").cast("date")
+    whole = days.groupBy("instrument", begins.alias("begins")).agg(F.max("h").alias(f"prev_{period}_high"), F.min("l").alias(f"prev_{period}_low"), F.when(F.sum("v") > 0, F.try_divide(F.sum("pv"), F.sum("v"))).alias(f"prev_{period}_vwap"))
+    following = F.date_add("begins", 7) if period == "week" else F.add_months("begins", 1)
+    return days.select("instrument", "date", begins.alias("begins")).join(whole.withColumn("begins", following), ["instrument", "begins"]).drop("begins")
 
 
 SUPPORTS = ("session_low", "day_low", "prev_day_low", "weekly_low", "monthly_low", "session_val", "day_val", "prev_day_val")
@@ -120,7 +182,8 @@ def level_features(events: DataFrame, near: float = 50.0) -> DataFrame:
     out = events.withColumns({"ml_nearest_support": support, "ml_nearest_resistance": resistance, "ml_cluster_strength": close_by, "ml_density": close_by / near})
     below, above = p - F.col("ml_nearest_support"), F.col("ml_nearest_resistance") - p
     ahead = F.when(below + above == 0, 0.5).otherwise(F.when(F.col("direction") == "up", above).otherwise(below) / F.when(below + above != 0, below + above))
-    return out.withColumns({"ml_distance_to_level": F.least(below, above), "ml_alignment_score": ahead})
+    out = out.withColumns({"ml_distance_to_level": F.least(below, above), "ml_alignment_score": ahead})
+    return out.withColumn("ml_distance_atr", ratio(F.col("ml_distance_to_level"), F.col("atr_before"))) if "atr_before" in out.columns else out
 
 
 def enriched(events: DataFrame, levels: DataFrame) -> DataFrame:

@@ -35,8 +35,8 @@ def rotations(bars: DataFrame, min_amplitude: float = 0.0, min_bars: int = 0, wh
         first("before_close").alias("start_price"),
         F.max_by("close", "bar_index").alias("end_price"),
         (F.count(F.lit(1)) + 1).alias("bar_count"),
-        F.round(F.sum("volume") + first("before_volume"), 6).alias("volume"),
-        F.round(F.sum("delta") + first("before_delta"), 6).alias("delta"),
+        (F.sum("volume") + first("before_volume")).alias("volume"),
+        (F.sum("delta") + first("before_delta")).alias("delta"),
     )
     made = made.withColumn("amplitude", F.abs(F.col("end_price") - F.col("start_price")))
     n = F.col("bar_count")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions import scalars
-from ..operators import balances, bars as b, breakouts as bo, dashboards as dash, features as feat, insights, levels, patterns as pat, rotations as rot
+from ..operators import bars as b, breakouts as bo, dashboards as dash, features as feat, insights, levels, patterns as pat, rotations as rot
 from ..operators.predicates import all_of
 from ..sources import sinks
 from ..sources.bar_files import faults
@@ -74,8 +74,14 @@ SESSIONS = "(VALUES ('asia', 60, 600), ('europe', 540, 1050), ('usa', 930, 1320)
 BYSESSION = BARS + f", sb AS (SELECT bars.*, CAST(time AS DATE) AS date, session_name FROM bars JOIN {SESSIONS} ON hour(time) * 60 + minute(time) >= a AND hour(time) * 60 + minute(time) < z)"
 
 
+def six_places(x):
+    """Halves away from zero, as in the SQL, without leaving generated code."""
+    near = F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5) / 1e6
+    return F.when(F.abs(x) < 1e12, near).otherwise(x)
+
+
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select([F.round(f.name, 6).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name) for f in df.schema])
+    return df.select([six_places(c(f.name).cast("double")).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name) for f in df.schema])
 
 
 def register(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
@@ -182,21 +188,6 @@ register("rotations", lambda s, d: rot.rotations(bars(s, d)).drop("timeframe", "
 register("rotation_whipsaw", lambda s, d: rot.rotations(bars(s, d), 5.0, 2, 2).select("instrument", "rotation_index", "valid"), f"WITH {ROTATIONS} SELECT instrument, rotation_index, abs(end_price - start_price) >= 5 AND NOT (bar_count <= 2 AND (coalesce(lag(bar_count) OVER w, 99) <= 2 OR coalesce(lead(bar_count) OVER w, 99) <= 2)) AS valid FROM ro WINDOW w AS (PARTITION BY instrument ORDER BY rotation_index)")
 
 
-def _balances(s: SparkSession, d: str) -> DataFrame:
-    data = bars(s, d)
-    return balances.balances(data, balances.clustered(rot.rotations(data), max_gap_bars=240, max_width=300.0))
-
-
-register("balances", lambda s, d: _balances(s, d).drop("rotations", "timeframe"), None)
-
-
-def _profiles(s: SparkSession, d: str) -> DataFrame:
-    data = indexed(bars(s, d)).withColumn("day", F.to_date("time"))
-    return balances.profile(data, ["instrument", "day"], 40.0, around=40.0)
-
-
-register("balance_profile", lambda s, d: _profiles(s, d).select("instrument", "day", "total_volume", "poc_price", "poc_volume", F.size("hvn").alias("hvn"), F.size("lvn").alias("lvn"), "skewness", "kurtosis", "concentration", "asymmetry", "density_around_mid"), None)
-
 # --- breakouts -------------------------------------------------------------------------------------------------------
 
 
@@ -228,15 +219,16 @@ register(
     lambda s, d: bo.confirmed(events(s, d), bars(s, d)).select("instrument", "range_id", "confirmation_bar_index", "confirmation_price"),
     f"WITH {FOLLOW}, q AS (SELECT *, CASE WHEN (direction = 'up' AND close > b) OR (direction = 'down' AND close < b) THEN 1 ELSE 0 END AS o FROM nx WHERE k < 10), w AS (SELECT *, o = 1 AND lag(o) OVER (PARTITION BY instrument, range_id ORDER BY k) = 1 AS two FROM q), m AS (SELECT instrument, range_id, min(bar_index + 1 + k) AS i, first(close ORDER BY k) AS p FROM w WHERE two GROUP BY ALL) SELECT ev.instrument, ev.range_id, m.i AS confirmation_bar_index, round(m.p, 6) AS confirmation_price FROM ev LEFT JOIN m USING (instrument, range_id)",
 )
-SCORES = ["momentum_score", "delta_imbalance_score", "volume_spike_score", "volatility_score", "distance_from_vpoc_score"]
-register(
-    "strength",
-    lambda s, d: bo.strength(events(s, d), bars(s, d)).select("instrument", "range_id", *SCORES, "overall_strength_score", "overall_strength_normalized"),
-    f"WITH {CLOSE_ONLY}, x AS (SELECT instrument, bar_index, pc, open, coalesce(avg(tra) OVER (PARTITION BY instrument ORDER BY time ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), 0) AS atr, avg(abs(delta)) OVER (PARTITION BY instrument ORDER BY time ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS md, avg(volume) OVER (PARTITION BY instrument ORDER BY time ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS mv FROM tr), "
-    "y AS (SELECT ev.instrument, range_id, greatest(range_high - range_low, 1e-6) AS z, breakout_price AS p, (range_high + range_low) / 2 AS mid, initial_delta AS dl, initial_volume AS v, atr, md, mv, coalesce(pc, x.open) AS before FROM ev JOIN x USING (instrument, bar_index)), "
-    "k AS (SELECT instrument, range_id, least(abs(p - before) / z, 1) AS momentum_score, least(CASE WHEN md > 0 THEN abs(dl) / md ELSE 0 END, 3) / 3 AS delta_imbalance_score, least(CASE WHEN mv > 0 THEN v / mv ELSE 0 END, 3) / 3 AS volume_spike_score, least(atr / z, 1) AS volatility_score, least(abs(p - mid) / (0.5 * z), 1) AS distance_from_vpoc_score FROM y), "
-    f"t AS (SELECT *, {' + '.join(SCORES[:4])} + 0.7 * distance_from_vpoc_score AS w FROM k) SELECT instrument, range_id, {', '.join(f'round({x}, 6) AS {x}' for x in SCORES)}, round(w, 6) AS overall_strength_score, round(greatest(least(w / 5, 1), 0), 6) AS overall_strength_normalized FROM t",
+SCORES = ["momentum_score", "delta_imbalance_score", "volume_spike_score", "volatility_score", "distance_from_vpoc_score", "hvn_lvn_break_score"]
+STRENGTH = (
+    f"{CLOSE_ONLY}, x AS (SELECT instrument, bar_index, pc, open, coalesce(avg(tra) OVER (PARTITION BY instrument ORDER BY time ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), 0) AS atr, avg(abs(delta)) OVER (PARTITION BY instrument ORDER BY time ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS md, avg(volume) OVER (PARTITION BY instrument ORDER BY time ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS mv FROM tr), "
+    "y AS (SELECT ev.instrument, range_id, direction, greatest(range_high - range_low, 1e-6) AS z, breakout_price AS p, (range_high + range_low) / 2 AS mid, initial_delta AS dl, initial_volume AS v, atr, md, mv, coalesce(pc, x.open) AS before FROM ev JOIN x USING (instrument, bar_index)), "
+    "k AS (SELECT instrument, range_id, least(abs(p - before) / z, 1) AS momentum_score, least(CASE WHEN md > 0 THEN abs(dl) / md ELSE 0 END, 3) / 3 AS delta_imbalance_score, least(CASE WHEN mv > 0 THEN v / mv ELSE 0 END, 3) / 3 AS volume_spike_score, least(atr / z, 1) AS volatility_score, least(abs(p - mid) / (0.5 * z), 1) AS distance_from_vpoc_score, 0.0 AS hvn_lvn_break_score FROM y), "
+    f"t AS (SELECT *, {' + '.join(SCORES[:4])} + 0.7 * distance_from_vpoc_score AS w, 2 * momentum_score + delta_imbalance_score + volume_spike_score + 0.7 * distance_from_vpoc_score AS u FROM k)"
 )
+register("strength", lambda s, d: bo.strength(events(s, d), bars(s, d)).select("instrument", "range_id", *SCORES, "overall_strength_score", "overall_strength_normalized"), f"WITH {STRENGTH} SELECT instrument, range_id, {', '.join(f'round({x}, 6) AS {x}' for x in SCORES)}, round(w, 6) AS overall_strength_score, round(greatest(least(w / 5, 1), 0), 6) AS overall_strength_normalized FROM t")
+for method, made in (("sigmoid", "1 / (1 + exp(-u))"), ("tanh", "(tanh(u) + 1) / 2")):
+    register(f"strength_{method}", lambda s, d, method=method: bo.strength(events(s, d), bars(s, d), method=method, use_atr=False).select("instrument", "range_id", "volatility_score", "overall_strength_normalized"), f"WITH {STRENGTH} SELECT instrument, range_id, round(momentum_score, 6) AS volatility_score, round({made}, 6) AS overall_strength_normalized FROM t")
 register("session_rank", lambda s, d: bo.ranked(bo.strength(events(s, d), bars(s, d)).withColumn("overall_strength_score", F.round("momentum_score", 3))).select("instrument", "range_id", "global_rank", "session_rank"), f"WITH {CLOSE_ONLY}, y AS (SELECT ev.instrument, range_id, breakout_time, round(least(abs(breakout_price - coalesce(pc, ib.open)) / greatest(range_high - range_low, 1e-6), 1), 3) AS w FROM ev JOIN ib USING (instrument, bar_index)) SELECT instrument, range_id, rank() OVER (PARTITION BY instrument ORDER BY w DESC) AS global_rank, rank() OVER (PARTITION BY instrument, CAST(breakout_time AS DATE) ORDER BY w DESC) AS session_rank FROM y")
 
 
@@ -286,7 +278,6 @@ register("prev_day_join", lambda s, d: dated(s, d).select(*DAYS).distinct().join
 for name, make, period in (("week_context", levels.weekly, "yearweek(CAST(time AS DATE))"), ("month_context", levels.monthly, "date_trunc('month', time)")):
     register(name, lambda s, d, make=make: make(bars(s, d)), f"WITH {BARS}, m AS (SELECT instrument, {period} AS p, max(high) AS h, min(low) AS l, sum(close * volume) / sum(volume) AS w FROM bars GROUP BY ALL), d AS (SELECT DISTINCT instrument, CAST(time AS DATE) AS date, {period} AS p FROM bars) SELECT instrument, date, h AS {name[: name.index('_')]}ly_high, l AS {name[: name.index('_')]}ly_low, round(w, 6) AS {name[: name.index('_')]}ly_vwap FROM d JOIN m USING (instrument, p)")
 register("week_context_causal", lambda s, d: levels.weekly(bars(s, d), True), f"WITH {BARS}, m AS (SELECT instrument, CAST(time AS DATE) AS date, max(high) AS h, min(low) AS l, sum(close * volume) AS pv, sum(volume) AS v FROM bars GROUP BY ALL) SELECT instrument, date, max(h) OVER w AS weekly_high, min(l) OVER w AS weekly_low, round(sum(pv) OVER w / sum(v) OVER w, 6) AS weekly_vwap FROM m WINDOW w AS (PARTITION BY instrument, yearweek(date) ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-register("session_levels", lambda s, d: levels.session_levels(bars(s, d), bin_size=25.0), None)
 
 
 def _events_with_levels(s: SparkSession, d: str) -> DataFrame:
@@ -380,4 +371,3 @@ def _shares(s: SparkSession, d: str) -> DataFrame:
 
 
 register("insight_dominance", lambda s, d: insights.extracted(_shares(s, d), "distribution").where(c("type").isin("dominant_segment", "imbalanced_distribution")), f"WITH {FACTS}, m AS (SELECT 'direction=' || direction AS value, count(*) AS n FROM f WHERE direction IS NOT NULL GROUP BY 1), k AS (SELECT *, n / sum(n) OVER () AS s, row_number() OVER (ORDER BY n DESC, value) AS a FROM m) SELECT CASE WHEN s >= 0.6 THEN 'dominant_segment' ELSE 'imbalanced_distribution' END AS type, value, round(s, 6) AS metric_value, n AS rows_valid FROM k WHERE a = 1 AND s >= 0.45")
-register("insight_report", lambda s, d: insights.scored(insights.refined(insights.judged(insights.extracted(_rates(s, d), "success_rate")))), None)

@@ -25,8 +25,8 @@ def bars_from_ticks(ticks: DataFrame, timeframe: str = "1 hour") -> DataFrame:
             F.max("price").alias("high"),
             F.min("price").alias("low"),
             F.max_by("price", order).alias("close"),
-            F.round(F.sum("size"), 6).alias("volume"),
-            F.round(F.sum(F.col("size") * F.col("side")), 6).alias("delta"),
+            F.sum("size").alias("volume"),
+            F.sum(F.col("size") * F.col("side")).alias("delta"),
         )
         .select("instrument", F.lit(timeframe).alias("timeframe"), F.col("start").alias("time"), "open", "high", "low", "close", "volume", "delta")
     )

@@ -2,6 +2,7 @@
 
 import pytest
 
+from quantloom.plans import detection  # noqa: F401
 from quantloom.plans.catalog import ORACLES, QUERIES
 
 from .plain import duck_rows, spark_rows
