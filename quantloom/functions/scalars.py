@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -110,3 +115,47 @@ def python_text(df: DataFrame, name: str) -> Column:
     else:
         text = c.cast("string")
     return F.when(c.isNull(), "None").otherwise(text)
+
+
+def end_of_day(day: str) -> dt.datetime:
+    """The last second of a date that stands for the end of a range."""
+    return dt.datetime.combine(dt.date.fromisoformat(day), dt.time(23, 59, 59))
+
+
+def number(c: Column) -> Column:
+    """Text as a double, with a decimal comma or point; what is no number is NULL, and so is NaN."""
+    return known(F.regexp_replace(F.trim(c), ",", ".").try_cast("double"))
+
+
+def moment(c: Column, pattern: str = "dd/MM/yyyy HH:mm:ss") -> Column:
+    """Text as a time without zone; what is none is NULL."""
+    return F.try_to_timestamp(F.trim(c), F.lit(pattern)).cast("timestamp_ntz")
+
+
+def canonical_json(value: object) -> str:
+    """JSON with sorted keys and no spaces; numbers that JSON lacks are null."""
+
+    def clean(x: object) -> object:
+        if isinstance(x, dict):
+            return {str(k): clean(v) for k, v in x.items()}
+        if isinstance(x, (list, tuple)):
+            return [clean(v) for v in x]
+        return None if isinstance(x, float) and not math.isfinite(x) else x if x is None or isinstance(x, (str, int, float, bool)) else str(x)
+
+    return json.dumps(clean(value), sort_keys=True, separators=(",", ":"), allow_nan=False)
+
+
+def short_id(prefix: str, value: object) -> str:
+    """A name that follows from the value: the prefix and 16 hexadecimal digits of its canonical JSON's SHA-256."""
+    return prefix + hashlib.sha256(canonical_json(value).encode()).hexdigest()[:16]
+
+
+def row_id(prefix: str, *names: str) -> Column:
+    """The same for rows, of their columns' values joined by |."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names)), 256), 1, 16))
+
+
+def overlaid(price: Column, least: Column, most: Column, onto_least: Column, onto_most: Column, height: float = 1.0) -> Column:
+    """A price of [least, most] drawn on [onto_least, onto_most], or on so much of its height; a range below 1 counts as 1."""
+    one = F.lit(1.0)
+    return onto_least + (price - least) * F.greatest(onto_most - onto_least, one) * height / F.greatest(most - least, one)

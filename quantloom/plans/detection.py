@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..operators import balances, breakouts as bo, insights, levels, rotations as rot
-from ..sources.tables import bars
-from .catalog import BARS, BYSESSION, GAPS, KIND, ROTATIONS, TYPICAL, _events_with_levels, _rates, c, register
+from ..functions import scalars
+from ..operators import balances, breakouts as bo, dashboards as dash, features as feat, insights, levels, rotations as rot
+from ..sources.tables import bars, facts, table
+from . import spec
+from .catalog import BARS, BYSESSION, FACTS, GAPS, ROTATIONS, TYPICAL, _rates, c, register
 
 GAP_BARS, WIDTH, BIN = 240, 300.0, 20.0
 
@@ -172,3 +174,28 @@ q AS (SELECT *, CASE WHEN type IN ('dominant_segment', 'imbalanced_distribution'
 u AS (SELECT *, count(*) OVER () AS many, max(severity) OVER () AS best FROM q WHERE severity > 0)
 SELECT type, value, round(metric_value, 6) AS metric_value, rows_valid, class, round(severity, 6) AS severity FROM u WHERE many <= 7 OR severity >= 0.35 * best ORDER BY severity DESC, o DESC, s DESC, type, value LIMIT 7""",
 )
+
+# --- further dashboards and reports ----------------------------------------------------------------------------------
+
+
+def _labelled(s: SparkSession, d: str) -> DataFrame:
+    made = feat.ratios(facts(s, d))
+    return made.select((c("max_excursion") >= c("atr_before")).cast("string").alias("t1"), (c("max_excursion") > 5).cast("int").alias("is_clean_quant"))
+
+
+register("dash_target_rates", lambda s, d: dash.rates(_labelled(s, d), ["t1", "is_clean_quant"]), f"WITH {FACTS}, x AS (SELECT mx >= atr AS a, mx > 5 AS b FROM f) SELECT 't1' AS target, count(*) FILTER (a) AS successes, count(a) AS labelled, round(100 * count(*) FILTER (a) / count(*), 6) AS rate_of_all, round(100 * count(*) FILTER (a) / count(a), 6) AS rate_of_labelled FROM x UNION ALL SELECT 'is_clean_quant', count(*) FILTER (b), count(b), round(100 * count(*) FILTER (b) / count(*), 6), round(100 * count(*) FILTER (b) / count(b), 6) FROM x")
+register("dash_event_counts", lambda s, d: dash.event_counts(facts(s, d)), f"WITH {FACTS} SELECT count(*) AS total, count(*) FILTER (is_failed) AS failed, count(*) FILTER (NOT coalesce(is_failed, FALSE)) AS successful, count(*) FILTER (direction = 'up') AS up, count(*) FILTER (direction = 'down') AS down FROM f")
+register("dash_time_range", lambda s, d: dash.time_range(facts(s, d), "breakout_time"), f"WITH {FACTS} SELECT min(t) AS first, max(t) AS last FROM f")
+SCORED = f"{FACTS}, m AS (SELECT instrument, event_id, ts, value / (1 + value) AS score FROM (SELECT event_type AS instrument, event_id, ts, value FROM events))"
+
+
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").select(c("event_type").alias("instrument"), "event_id", c("ts").alias("start_time"), (c("value") / (1 + c("value"))).alias("score"))
+
+
+register("dash_similarity", lambda s, d: dash.similarity_stats(_scored(s, d)), f"WITH {SCORED} SELECT count(*) AS n, round(avg(score), 6) AS mean, round(min(score), 6) AS least, round(max(score), 6) AS most FROM m")
+register("match_filters", lambda s, d: dash.match_filters(_scored(s, d), "2024-01-05", "2024-01-20", "08:30", "17:15", 0.97), f"WITH {SCORED} SELECT instrument, event_id, ts AS start_time, round(score, 6) AS score FROM m WHERE ts >= '2024-01-05' AND ts <= '2024-01-20 23:59:59' AND strftime(ts, '%H:%M') BETWEEN '08:30' AND '17:15' AND score >= 0.97")
+register("row_ids", lambda s, d: _scored(s, d).select("event_id", scalars.row_id("pat_", "instrument", "event_id").alias("pattern_id")), "SELECT event_id, 'pat_' || substr(sha256(event_type || '|' || event_id), 1, 16) AS pattern_id FROM events")
+register("overlay", lambda s, d: bars(s, d).withColumns({"_a": F.min("low").over(W.partitionBy("instrument", F.to_date("time"))), "_b": F.max("high").over(W.partitionBy("instrument", F.to_date("time")))}).select("instrument", "time", scalars.overlaid(c("close"), c("_a"), c("_b"), F.lit(0.0), F.lit(100.0), 0.28).alias("drawn")), f"WITH {BARS} SELECT instrument, time, round((close - min(low) OVER w) * 100 * 0.28 / greatest(max(high) OVER w - min(low) OVER w, 1), 6) AS drawn FROM bars WINDOW w AS (PARTITION BY instrument, CAST(time AS DATE))")
+register("report_summary", lambda s, d: dash.report_summary(spec.run(facts(s, d), {"metric": "mean", "value_field": "max_excursion", "group_by": ["total_score"]}), "mean"), f"WITH {FACTS} SELECT count(*) AS rows_total, count(mx) AS rows_valid FROM f")
+register("distance_atr", lambda s, d: levels.level_features(facts(s, d).withColumns({"day_low": c("breakout_price") - c("retracement_depth"), "day_high": c("breakout_price") + c("max_excursion")})).select("breakout_id", "ml_distance_to_level", "ml_distance_atr"), f"WITH {FACTS}, x AS (SELECT breakout_id, atr, least(price - (price - depth), (price + mx) - price) AS near, price - (price - depth) AS below FROM f) SELECT breakout_id, round(near, 6) AS ml_distance_to_level, round(CASE WHEN atr > 0 THEN near / atr END, 6) AS ml_distance_atr FROM x")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from datetime import datetime
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.scalars import known
+from ..functions.scalars import known, moment, number
 
 #: The file's columns in their order.
 COLUMNS = "name string, number string, stamp string, high string, low string, open string, close string, bid string, ask string"
@@ -30,12 +31,8 @@ def timeframe_text(timeframe: str) -> str:
     return f"{int(m[1])} {UNITS[m[2]]}"
 
 
-def read_bars(spark: SparkSession, root: str, instrument: str, timeframe: str, start: datetime, end: datetime) -> DataFrame:
-    """Bars from root/instrument/timeframe/data_year.txt, start and end included.
-
-    Only the years' files are listed and read. Blank lines and repeated headers are left out; a number or time that can't be
-    read fails the query. Decimal commas are points; volume is bid + ask and delta ask - bid.
-    """
+def year_files(spark: SparkSession, root: str, instrument: str, timeframe: str, start: datetime, end: datetime) -> list[str]:
+    """The files that are there of the years from start to end; none at all is an error."""
     folder = f"{root}/{instrument}/{timeframe}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -43,6 +40,16 @@ def read_bars(spark: SparkSession, root: str, instrument: str, timeframe: str, s
     found = [f for f in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f))]
     if not found:
         raise FileNotFoundError(f"no bar file in {folder} for {start.year} to {end.year}")
+    return found
+
+
+def read_bars(spark: SparkSession, root: str, instrument: str, timeframe: str, start: datetime, end: datetime) -> DataFrame:
+    """Bars from root/instrument/timeframe/data_year.txt, start and end included.
+
+    Only the years' files are listed and read. Blank lines and repeated headers are left out; a number or time that can't be
+    read fails the query. Decimal commas are points; volume is bid + ask and delta ask - bid.
+    """
+    found = year_files(spark, root, instrument, timeframe, start, end)
     raw = spark.read.csv(found, sep=";", schema=COLUMNS, header=False, encoding="UTF-8")
     rows = raw.where("stamp is not null and stamp <> 'DateTime'")
     number = lambda n: F.regexp_replace(n, ",", ".").cast("double")
@@ -57,6 +64,45 @@ def read_bars(spark: SparkSession, root: str, instrument: str, timeframe: str, s
     return bars.where(F.col("time").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
 
 
+#: The columns of files that are read by their header.
+NAMED = ("DateTime", "Open", "High", "Low", "Close", "BidVolume", "AskVolume")
+
+
+def read_named_bars(spark: SparkSession, root: str, instrument: str, timeframe: str, start: datetime, end: datetime) -> DataFrame:
+    """Bars of the same files read by the names in their headers, in any order. What is no number is NULL, a missing bid or ask
+    is 0, and a row whose time can't be read is in no range."""
+    found = year_files(spark, root, instrument, timeframe, start, end)
+    raw = spark.read.csv(found, sep=";", header=True, encoding="UTF-8", enforceSchema=False)
+    absent = [n for n in NAMED if n not in raw.columns]
+    if absent:
+        raise ValueError(f"columns are absent: {absent}")
+    bid, ask = (F.coalesce(number(F.col(n)), F.lit(0.0)) for n in ("BidVolume", "AskVolume"))
+    bars = raw.select(F.lit(instrument).alias("instrument"), F.lit(timeframe).alias("timeframe"), moment(F.col("DateTime")).alias("time"), *(number(F.col(n)).alias(n.lower()) for n in ("Open", "High", "Low", "Close")), (bid + ask).alias("volume"), (ask - bid).alias("delta"))
+    return bars.where(F.col("time").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+
+
+def at_timeframe(source: "BarsSource", dataset: dict, timeframe: str | None = None) -> DataFrame:
+    """The dataset's bars (instrument, timeframe, start, end), or those of another timeframe in the same range."""
+    frame = timeframe or dataset["timeframe"]
+    timeframe_text(frame)
+    return source.fetch(dataset["instrument"], frame, dataset["start"], dataset["end"])
+
+
+class CentralBars:
+    """A BarsSource over a pipeline that is given as a function of its configuration; the configuration must be whole."""
+
+    KEYS = ("instrument", "timeframe", "start", "end")
+
+    def __init__(self, fetch: Callable[[dict], DataFrame], config: dict):
+        absent = [k for k in ("source", "version") if not config.get(k)]
+        if absent:
+            raise ValueError(f"the configuration lacks {absent}")
+        self.make, self.config = fetch, config
+
+    def fetch(self, instrument: str, timeframe: str, start: datetime, end: datetime) -> DataFrame:
+        return self.make({**self.config, **dict(zip(self.KEYS, (instrument, timeframe, start, end), strict=True))})
+
+
 class TextBars:
     """A BarsSource over a folder of bar files."""
 

@@ -23,7 +23,7 @@ def contract_order(df: DataFrame, first: list[str]) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """CSV with a header, as one folder for each value of the columns `by` if given."""
-    writer = flat(df).write.mode("overwrite").option("header", True)
+    writer = flat(df).write.mode("overwrite").options(header=True, escape='"')
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 
