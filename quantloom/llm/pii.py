@@ -63,7 +63,9 @@ def written(spans: list[Span]) -> str:
 
 # --- the conditional random field ------------------------------------------------------------------------------------
 
-LABELS = ("O", *(f"{p}-{k}" for k in ("email", "card", "phone") for p in "BI"))
+#: What the field finds: of the base kinds those that have other forms, and secrets, which have no base pattern.
+FIELD_KINDS = (*KINDS, "secret")
+LABELS = ("O", *(f"{p}-{k}" for k in ("email", "card", "phone", "secret") for p in "BI"))
 FEATURES = 1 << 13
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\W\d_]+|[^\w\s]|_", re.ASCII)
 #: Spaces, dashes and dots beyond ASCII, each read as its plain sign.
@@ -76,6 +78,9 @@ AT = re.compile(r"(?<![A-Za-z0-9])at(?![A-Za-z0-9])|@", re.I)
 DOT = re.compile(r"(?<![A-Za-z0-9])dot(?![A-Za-z0-9])|\.[)\]}>]?[A-Za-z0-9]|[\s(\[{<]\.[)\]}>]?\s?[A-Za-z0-9]", re.I)
 #: An address that the field finds is taken whole, as far as it is written like this.
 ADDRESS = re.compile(r"[A-Za-z0-9_.%+-]{1,64} ?[(\[{<]? ?(?:@|(?<![A-Za-z0-9])at(?![A-Za-z0-9])) ?[)\]}>]? ?[A-Za-z0-9-]{1,63}(?: ?[(\[{<]? ?(?:\bdot\b) ?[)\]}>]? ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63})+", re.I)
+#: What announces a secret; its window reaches to the end of the next run that could be one.
+KEYED = re.compile(r"(?<![A-Za-z])(?:[A-Za-z]{1,20}[_-])?(?:token|key|apikey|secret|password|passwd|pwd|bearer|credential)s?(?![A-Za-z])[^A-Za-z0-9\r\n]{1,8}(?:is[^A-Za-z0-9\r\n]{1,4})?(?=[A-Za-z0-9_+/=.-]{8})", re.I)
+SECRET = re.compile(r"[A-Za-z0-9_+/=.-]{1,200}")
 #: Characters before and after an at, to the end of the word there but at most LONGEST.
 BEFORE, AFTER, LONGEST = 40, 56, 120
 #: Tokens on either side of a window that its features see.
@@ -220,21 +225,26 @@ TEMPLATES = (
     "mail {email|@name at @host dot com} please", "{email|@name [at] @host [dot] com}", "address: {email|@name_@name(at)@host(dot)de}", "write to {email|@name.@name at @host dot @host dot org}", "ask {email|@name.@name AT @host DOT co DOT uk} today", "or {email|@name-@name (at) @host dot net}.", "my mail is {email|@name## at @host dot edu} and", "call or mail {email|@name_@name [at] @host.@host [dot] org} now",
     "visit us at @host.com for more", "look at @host.org and @host.com", "we met at @host.@name then", "it is sold @ #.## each", "see you at home.then we go", "he was at work. a dot is there", "open at ##.## daily", "follow @name at @host.com now", "he (at @host.com) said",
     "tel {phone|###\u00a0###\u00a0####}", "call {phone|###\u2013###\u2013####} today", "phone {phone|###\u00b7###\u00b7####} now", "fax {phone|(###)\u00a0###\u2011####}", "mobile {phone|### - ### - ####}", "call {phone|### | ### | ####}", "phone {phone|###_###_####}", "card {card|####\u00b7####\u00b7####\u00b7####} expires", "visa {card|####_####_####_####} paid",
+    'token = "{secret|@hex}"', "token: {secret|@hex} end", "api_key={secret|@code}", 'secret = "{secret|@code}" #', "Authorization: Bearer {secret|@code}", "the key is {secret|@hex} keep it", 'password: "{secret|@code}"', "access_token={secret|@code}&x", "secret-key '{secret|@hex}'",
+    'token = "@name@name@name@name"', "key = @name@name_@name", "the token is @name@name@name@name now", "key: ####-##-## ##:##", "password: @name@name@name@name@name", "token = ##########", "the key to @name@name@name@name", "keys: @name.@name.@name", "token @name-@name-@name-@name",
     "values ##, ##, ##, ##, ##, ##", "scores #, #, #, #, #, #, #, #, #, #", "sum ###,###,###,###", "from ##:##:##, ##:##:## on", "ratio ##:##:##:##:##", "$#,###; $##,###; $###", "points (#,#), (#,#), (#,#), (#,#)", "##% ##% ##% ##% ##%", "years 19##\u201320##, 20##\u201320##",
 )
 
 
-def labelled_table(copies: int = 8, seed: int = 11) -> list[tuple[str, list[Span]]]:
-    """The labelled examples: each template filled `copies` times, with the spans of its marked parts."""
+def labelled_table(copies: int = 8, seed: int = 11, templates: tuple[str, ...] = TEMPLATES) -> list[tuple[str, list[Span]]]:
+    """The labelled examples: each template filled `copies` times, with the spans of its marked parts; cards pass the check."""
     r, out = random.Random(seed), []
     name = lambda _: "".join(r.choice(("an", "er", "th", "on", "mi", "lo", "ka", "su", "re", "ti")) for _ in range(r.randint(1, 4)))
-    for template in TEMPLATES * copies:
+    for template in templates * copies:
         text, spans = "", []
         for part in re.split(r"(\{[^}]*\})", f"{name(0)} {template} {name(0)} {name(0)}"):
             kind, _, body = part[1:-1].partition("|") if part[:1] == "{" else ("", "", part)
             body = re.sub("@name|@host", name, re.sub("#", lambda _: str(r.randint(0, 9)), body))
+            body = re.sub("@hex|@code", lambda m: "".join(r.choice("0123456789abcdef" if m[0] == "@hex" else "0123456789ABCDEFGHJKLMNabcdefghijkmnopqrstuvwxyz") for _ in range(r.choice((24, 32, 40, 40)))), body)
+            if kind == "card":
+                body = next(b for d in "0123456789" if luhn(re.sub(r"\D", "", b := body[:-1] + d)))
             if kind:
-                spans.append((len(text), len(text) + len(body), KINDS.index(kind)))
+                spans.append((len(text), len(text) + len(body), FIELD_KINDS.index(kind)))
             text += body
         out.append((text, spans))
     return out
@@ -259,6 +269,9 @@ def windows(text: str) -> list[tuple[int, int]]:
             end += 1
         if DOT.search(text, b, end):
             found.append((begin, end))
+    for m in KEYED.finditer(text):
+        end = SECRET.match(text, m.end())
+        found.append((m.start(), min(len(text), end.end() + 2)))
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and a <= out[-1][1]:
@@ -309,7 +322,7 @@ def fit(table: list[tuple[str, list[Span]]]) -> Chain:
             own = []
             for m in inner:
                 span = next((s for s in spans if s[0] <= m.start() and m.end() <= s[1]), None)
-                own.append(0 if span is None else LABELS.index(f"{'B' if m.start() == span[0] else 'I'}-{KINDS[span[2]]}"))
+                own.append(0 if span is None else LABELS.index(f"{'B' if m.start() == span[0] else 'I'}-{FIELD_KINDS[span[2]]}"))
             if found:
                 rows.append(found)
                 labels.append(own)
@@ -317,7 +330,7 @@ def fit(table: list[tuple[str, list[Span]]]) -> Chain:
 
 
 #: Digits that an added span must hold.
-DIGITS = {0: (0, 99), 2: (14, 19), 3: (10, 13)}
+DIGITS = {0: (0, 99), 2: (14, 19), 3: (10, 13), 4: (2, 200)}
 
 
 def added_spans(texts: list[str], bases: list[list[Span]], chain: Chain) -> list[list[Span]]:
@@ -344,14 +357,19 @@ def added_spans(texts: list[str], bases: list[list[Span]], chain: Chain) -> list
             if label != "O":
                 while end < len(path) and LABELS[path[end]] == f"I-{label[2:]}":
                     end += 1
-                a, b, kind = matches[at].start(), matches[end - 1].end(), KINDS.index(label[2:])
+                a, b, kind = matches[at].start(), matches[end - 1].end(), FIELD_KINDS.index(label[2:])
+                if kind == 4:
+                    while a and texts[k][a - 1].isalnum():
+                        a -= 1
+                    run = SECRET.match(texts[k], a)
+                    b = a + len(run[0].rstrip(".")) if run else b
                 if kind == 0:
                     for m in ADDRESS.finditer(texts[k], max(0, a - LONGEST), b + LONGEST):
                         if m.start() < b and a < m.end():
                             a, b = min(a, m.start()), max(b, m.end())
                 digits = re.sub(r"\D", "", texts[k][a:b])
                 least, most = DIGITS[kind]
-                valid = least <= len(digits) <= most and (kind != 2 or luhn(digits)) and (kind != 0 or (m := AT.search(texts[k], a, b)) and DOT.search(texts[k], m.end(), b))
+                valid = least <= len(digits) <= most and (kind != 4 or b - a >= 16 and any(x.isalpha() for x in texts[k][a:b])) and (kind != 2 or luhn(digits)) and (kind != 0 or (m := AT.search(texts[k], a, b)) and DOT.search(texts[k], m.end(), b))
                 if label[0] == "B" and valid and not any(s < b and a < e for s, e, _ in (*bases[k], *out[k][-1:])):
                     out[k].append((a, b, kind))
             at = end
@@ -363,21 +381,23 @@ def _found(batches: Iterator[pa.RecordBatch], chain) -> Iterator[pa.RecordBatch]
         texts = [t or "" for t in batch.column("text").to_pylist()]
         bases = [base_spans(t) for t in texts]
         more = added_spans(texts, bases, chain.value)
-        both = [sorted(a + b, key=lambda s: (s[0], s[2], s[1])) for a, b in zip(bases, more, strict=True)]
+        both = [sorted(a + [s for s in b if s[2] < len(KINDS)], key=lambda s: (s[0], s[2], s[1])) for a, b in zip(bases, more, strict=True)]
+        secrets = [",".join(f"secret:{a}:{b}" for a, b, k in m if k == len(KINDS)) for m in more]
         counts = [pa.array([sum(s[2] == k for s in b) for b in bases], pa.int64()) for k in range(len(KINDS))]
-        columns = [batch.column("doc_id"), *counts, pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b in bases]), pa.array(map(written, both), pa.string()), pa.array(map(len, more), pa.int64())]
-        yield pa.record_batch(columns, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+        columns = [batch.column("doc_id"), *counts, pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b in bases]), pa.array(map(written, both), pa.string()), pa.array(map(len, more), pa.int64()), pa.array(secrets, pa.string())]
+        yield pa.record_batch(columns, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "secrets"])
 
 
 def find(docs: DataFrame, chain: Chain | None = None) -> DataFrame:
-    """doc_id, the base matches' counts by kind and digest, all spans as kind:start:end, and how many the field added.
+    """doc_id, the base matches' counts by kind and digest, all spans of these kinds as kind:start:end, how many spans the field
+    added, secrets among them, and the secrets' spans.
 
     Positions are code points, ends exclusive. A null or empty text has no spans; a null doc_id is kept; repeated rows give a row
     each; an empty table none. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain or default_chain())
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(lambda it: _found(it, shared), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return rows.mapInArrow(lambda it: _found(it, shared), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, secrets string")
 
 
 def _redacted(batches: Iterator[pa.RecordBatch], chain) -> Iterator[pa.RecordBatch]:
@@ -390,13 +410,18 @@ def _redacted(batches: Iterator[pa.RecordBatch], chain) -> Iterator[pa.RecordBat
             parts, at = [], 0
             for a, b, k in sorted(spans):
                 if b > at:
-                    parts += [whole[at:a], f"[{KINDS[k].upper()}]"] if a >= at else []
+                    parts += [whole[at:a], f"[{FIELD_KINDS[k].upper()}]"] if a >= at else []
                     at = b
             out.append("".join(parts) + whole[at:] if spans else text)
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
 
 
 def redact(docs: DataFrame, chain: Chain | None = None) -> DataFrame:
-    """The documents with every span replaced by its kind in brackets; overlapping spans go as one, under the first's kind."""
+    """The documents with every span, secrets too, replaced by its kind in brackets; overlapping spans go as one, under the
+    first's kind.
+
+    A null or empty text stays as it is; null ids, repeated rows and further columns of any names are kept; an empty table gives
+    none. Very long texts are read whole, in time that grows with their length.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(chain or default_chain())
     return docs.mapInArrow(lambda it: _redacted(it, shared), docs.schema)

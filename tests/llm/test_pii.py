@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from hypothesis import given, settings, strategies as st
 
@@ -32,12 +33,58 @@ def test_base_spans_on_likely_texts(text):
     assert pii.base_spans(text) == plain(text)
 
 
-def test_field_on_unseen_examples():
-    table = [t for t in pii.labelled_table(4, seed=99) if not any(k == 2 for *_, k in t[1])]
+def told(chain, table):
+    """Right, found and wanted added spans by kind."""
     texts = [t for t, _ in table]
-    got = pii.added_spans(texts, [pii.base_spans(t) for t in texts], pii.default_chain())
-    right = sum(set(g) == set(s) for g, (_, s) in zip(got, table, strict=True))
-    assert right >= 0.95 * len(table)
+    got = pii.added_spans(texts, [pii.base_spans(t) for t in texts], chain)
+    right, found, wanted = Counter(), Counter(), Counter()
+    for g, (t, s) in zip(got, table):
+        base = pii.base_spans(t)
+        s = [x for x in s if not any(a < x[1] and x[0] < b for a, b, _ in base)]
+        right.update(k for *x, k in set(g) & set(s))
+        found.update(k for *_, k in g)
+        wanted.update(k for *_, k in s)
+    return right, found, wanted
+
+
+def test_field_on_unseen_examples():
+    right, found, wanted = told(pii.default_chain(), pii.labelled_table(4, seed=99))
+    assert set(wanted) == {0, 2, 3, 4}
+    for k in wanted:
+        assert right[k] >= 0.93 * wanted[k] and right[k] >= 0.95 * found[k], (k, right, found, wanted)
+
+
+def test_field_on_unseen_forms():
+    """Each template is decoded by a field that was trained without it and its like: one in four is left out at a time."""
+    right, found, wanted = Counter(), Counter(), Counter()
+    for fold in range(4):
+        kept = tuple(t for k, t in enumerate(pii.TEMPLATES) if k % 4 != fold)
+        chain = pii.fit(pii.labelled_table(4, 11, kept))
+        for total, part in zip((right, found, wanted), told(chain, pii.labelled_table(3, 5, tuple(t for k, t in enumerate(pii.TEMPLATES) if k % 4 == fold)))):
+            total.update(part)
+    print({pii.FIELD_KINDS[k]: (round(right[k] / wanted[k], 2), round(right[k] / max(1, found[k]), 2)) for k in sorted(wanted)})
+    for k, recall, precision in ((0, 0.6, 0.8), (2, 0.6, 0.7), (3, 0.6, 0.7), (4, 0.6, 0.8)):
+        assert right[k] >= recall * wanted[k] and right[k] >= precision * found[k], (k, right, found, wanted)
+
+
+def test_secrets():
+    chain = pii.default_chain()
+    for text, secret in (('x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"### 4785', "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"), ("aws_secret_key: AbC123xyZ99887766QwErTy00 end", "AbC123xyZ99887766QwErTy00")):
+        a = text.index(secret)
+        assert pii.added_spans([text], [[]], chain)[0] == [(a, a + len(secret), 4)], text
+    for text in ('token = "something"', "commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "the key is important to everybody"):
+        assert pii.added_spans([text], [[]], chain)[0] == [], text
+
+
+def test_the_field_adds_to_the_documents(spark):
+    got = pii.find(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).agg({"n_added": "sum"}).first()[0]
+    assert got > 0
+
+
+def test_time_grows_with_the_length():
+    for text in ("a" * 200_000 + " dot at " + "b" * 100_000, "at " * 20_000 + "dot", "1-" * 20_000, "@" * 20_000 + "a.b", "token " * 20_000, "key=" * 20_000, "token = " + "a1" * 20_000, "1." * 20_000):
+        pii.base_spans(text)
+        pii.added_spans([text], [[]], pii.default_chain())
 
 
 def test_windows_decode_as_the_whole():
