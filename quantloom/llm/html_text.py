@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import html
 import math
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Elements of HTML by what they do to text.
-DROPPED = frozenset("script style noscript template head title svg math iframe object canvas audio video select option button textarea datalist label legend".split())
+DROPPED = frozenset("script style noscript template head title iframe select option button textarea datalist".split())
 #: What can stand in a head; anything else ends one left open.
 HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -54,7 +56,9 @@ def blocks_of(page: str) -> list[Block]:
     a line break is white space, and block elements part it. End tags that HTML lets one leave out are supplied.
     """
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]  # name, number, in an article, away from it, mark
+    # name, number, in an article, away from it, mark, and the same but the mark of the innermost block element
+    stack: list[tuple] = [("", 0, False, False, 0, ("", 0, False, False))]
+    open_: Counter[str] = Counter()
     marked: dict[int, int] = {}  # each marked element's next one outside
     parts: list[str] = []
     state = {"linked": 0, "a": 0, "number": 0, "dropped": 0}
@@ -63,14 +67,14 @@ def blocks_of(page: str) -> list[Block]:
         text = SPACE.sub(" ", "".join(parts)).strip()
         parts.clear()
         if text:
-            holder = next((e for e in reversed(stack) if e[0] in BLOCKS), stack[0])
-            name, number, article, away, _ = holder
+            name, number, article, away = stack[-1][5]
             out.append(Block(text, number, min(state["linked"], len(text)), name[:1] == "h" and name[1:].isdigit(), article, stack[-1][3] or away, name in ("li", "td", "th", "dt"), stack[-1][4]))
         state["linked"] = 0
 
     def close(upto: int) -> None:
         while len(stack) > upto:
             name = stack.pop()[0]
+            open_[name] -= 1
             state["dropped"] -= name in DROPPED
             state["a"] -= name == "a"
 
@@ -97,7 +101,7 @@ def blocks_of(page: str) -> list[Block]:
                 parts.append(" ")
             continue
         if m[1]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0) if open_[name] else 0
             if name in BLOCKS and not state["dropped"]:
                 flush()
             if k:
@@ -107,19 +111,19 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             if name in ENDS:
                 ended, fence = ENDS[name]
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(open_[n] for n in ended) else ():
                     if stack[k][0] in fence:
                         break
                     if stack[k][0] in ended:
                         close(k)
                         break
             if name in NO_P_INSIDE:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
-                if k and not any(e[0] in BLOCKS for e in stack[k + 1 :]):
+                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in BLOCKS), 0) if open_["p"] else 0
+                if k and stack[k][0] == "p":
                     close(k)
         if name in VOID:
             continue
-        _, _, article, away, mark = stack[-1]
+        _, _, article, away, mark, holder = stack[-1]
         state["number"] += 1
         words, hidden = attributes_of(m[3])
         if name not in WHOLE and not AWAY.isdisjoint(words):
@@ -129,7 +133,8 @@ def blocks_of(page: str) -> list[Block]:
         away = away or hidden or name in CHROME or name == "header" and not article
         if m[0].endswith("/>") and name not in BLOCKS:
             continue
-        stack.append((name, state["number"], article, away, mark))
+        stack.append((name, state["number"], article, away, mark, (name, state["number"], article, away) if name in BLOCKS else holder))
+        open_[name] += 1
         state["a"] += name == "a"
         state["dropped"] += name in DROPPED
         if name in RAW:
@@ -171,28 +176,63 @@ def weigh(blocks: list[Block], marked: dict[int, int]) -> None:
 
 def features(b: Block) -> list[float]:
     n = len(b.text)
-    return [1, b.article, b.away, b.linked / n, min(math.log1p(n), 7) / 7, b.heading, b.item, b.text[-1] in ".!?:;…\"'»”)"]
+    sentence = b.text[-1] in ".!?:;…\"'»”)"
+    return [1, b.article, b.away, b.linked / n, min(math.log1p(n), 7) / 7, b.heading, b.item, sentence, min(b.marks, 1.5), min(n / 200, 1), b.article and not b.away and not b.marks]
+
+
+#: The labelled table's pages: after + a text of the article, after - another one (p paragraph, s sentence, h heading, i item).
+PAGES = (
+    "<header><a>-i</a></header><nav><ul><li><a>-i</a><li><a>-i</a></ul></nav><main><article><h1>+h</h1><p>+p<p>+p<ul><li>+i<li>+s</ul><p>+s</article></main><aside><h2>-h</h2><p>-p</aside><footer>-s</footer>",
+    "<div id=menu><a>-i</a> <a>-i</a></div><div class=content><h2>+h</h2><p>+p</p><p>+p</p></div><div class=footer>-s</div>",
+    "<div class=ad>-s</div><article class='post has-sidebar'><h1>+h</h1><p>+p<div class=share><a>-i</a></div><p>+p<p>+s</article><div class=comments><h3>-h</h3><p>-p<p>-s<p>-p</div>",
+    "<body class='home has-sidebar'><div class=cookie-notice><p>-p</p></div><main><h1>+h</h1><p>+p<p>+p<blockquote>+s</blockquote></main><div class=sidebar><h3>-h</h3><ul><li><a>-i</a><li><a>-i</a></ul></div>",
+    "<article><h1>+h</h1><p>+p<form><p>-s<p>-p</form><section id=discussion><h2>+h</h2><p>+p<p>+p</section></article><footer><p>-p<p>-s</footer>",
+    "<div class='social-science article'><h1>+h</h1><p>+p<p>+p</div><div class=related><h3>-h</h3><p>-s<p>-s</div>",
+    "<div class='layout with-sidebar'><article><h1>+h</h1><p>+p<table><tr><th>+i<th>+i<tr><td>+i<td>+i</table><p>+p</article><div class=widget><p>-p</div></div>",
+    "<h1>+h</h1><p>+p<p>+s<p>+p<dl><dt>+i<dd>+s</dl><p><a>-i</a><p><a>-i</a>",
+    "<body class=ad-free><ul><li><a>-i</a><li><a>-i</a><li><a>-i</a></ul><div><h2>+h</h2>+p<br>+s<p>+p</div><p class=copyright>-s",
+    "<article class='post tag-news comments-open'><h1>+h</h1><p>+p<p>+s<p hidden>-p</article><div id=respond><h3>-h</h3><p>-s</div>",
+    "<main><article><header><h1>+h</h1><p>+s</header><p>+p<div class=newsletter><p>-s<p>-p</div><p>+p<div class=promo>-s</div><h2>+h</h2><p>+p</article></main><nav><a>-i</a></nav>",
+    "<div class=banner>-s</div><div class=page><div class=nav><a>-i</a><a>-i</a></div><div class=text><p>+p<p>+p<p>+p</div><div class=legal><p>-p</div></div>",
+    "<article><h1>+h</h1><div class=menu-item-recipe><p>+p<p>+p<ol><li>+s<li>+s<li>+i</ol></div><p>+s</article><div class=ad>-p</div>",
+    "<main id=content-menu><h1>+h</h1><p>+p<pre>+p</pre><p>+s</main><div role=complementary><p>-p<p>-s</div><footer>-i</footer>",
+)
+SIZES = {"p": (25, 90), "s": (4, 16), "h": (3, 9), "i": (1, 4)}
+
+
+def labelled_blocks(copies: int = 6, seed: int = 5, pages: tuple[str, ...] = PAGES) -> list[tuple[Block, bool]]:
+    """The labelled table: each page filled with invented words `copies` times, and of its blocks which are the article's."""
+    r, out = random.Random(seed), []
+    word = lambda: "".join(r.choice(("an", "er", "th", "on", "mi", "lo", "ka", "su", "re", "ti")) for _ in range(r.randint(1, 4)))
+    for page in pages * copies:
+        wanted: dict[str, bool] = {}
+
+        def fill(m: re.Match, wanted: dict[str, bool] = wanted) -> str:
+            text = " ".join(word() for _ in range(r.randint(*SIZES[m[2]])))
+            text += "." if m[2] in "ps" else ""
+            wanted[text] = m[1] == "+"
+            return text
+
+        blocks = blocks_of(re.sub(r"([+-])([pshi])(?![a-z])", fill, page))
+        out += [(b, all(keep for text, keep in wanted.items() if text in b.text)) for b in blocks]
+    return out
+
+
+#: No weight is larger: no single feature, class words least of all, decides alone.
+LARGEST = 6.0
 
 
 @functools.cache
 def weights() -> np.ndarray:
-    """Logistic regression over the features, fitted to a small labelled table made by rule.
+    """Logistic regression over the features of the labelled table's blocks, its weights bounded."""
+    return fit(labelled_blocks())
 
-    A block away from the article, or all links, is boilerplate. Else one in the article is content; without an article, so is
-    a long one, a sentence or a heading, and a short list item is not.
-    """
-    rows, labels = [], []
-    for article in (0, 1):
-        for away in (0, 1):
-            for linked in (0.0, 0.3, 1.0):
-                for size in (0.2, 0.5, 0.8, 1.0):
-                    for heading, item in ((0, 0), (1, 0), (0, 1)):
-                        for sentence in (0, 1):
-                            rows.append([1, article, away, linked, size, heading, item, sentence])
-                            labels.append(not away and (linked < 0.8 or article and size > 0.5) and bool(article or size >= 0.8 or heading or sentence and not item))
-    x, y, w = np.array(rows, float), np.array(labels, float), np.zeros(8)
+
+def fit(table: list[tuple[Block, bool]]) -> np.ndarray:
+    x, y = np.array([features(b) for b, _ in table], float), np.array([keep for _, keep in table], float)
+    w = np.zeros(x.shape[1])
     for _ in range(3000):
-        w += 1.5 * (x.T @ (y - 1 / (1 + np.exp(-x @ w))) / len(y) - 2e-4 * w)
+        w = np.clip(w + 1.5 * (x.T @ (y - 1 / (1 + np.exp(-x @ w))) / len(y) - 2e-4 * w), -LARGEST, LARGEST)
     return w
 
 
@@ -257,15 +297,13 @@ def min_cut(source: list[int], sink: list[int], edges: list[tuple[int, int, int]
 
 #: Smoothness between neighbours on the page, and more between blocks of one parent element; costs are in hundredths.
 NEXT, SIBLING, SCALE = 40, 60, 100
-#: Against content, in log-odds, for each mark.
-MARK = 8.0
 
 
 def main_text(page: str) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    z = np.clip(np.array([features(b) for b in blocks]) @ weights() - MARK * np.array([b.marks for b in blocks]), -12, 12)
+    z = np.clip(np.array([features(b) for b in blocks]) @ weights(), -12, 12)
     costs = np.rint(SCALE * np.logaddexp(0, np.stack([z, -z]))).astype(int).tolist()
     last: dict[int, int] = {}
     edges = []
@@ -292,7 +330,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page's main text.
 
     Blocks are the nodes. The classifier's costs of calling a block content or boilerplate are its capacities to the two
-    terminals; neighbours on the page and blocks of one parent pull to one side. The minimum cut labels all blocks at once.
+    terminals; neighbours on the page and blocks of one parent pull to one side. The minimum cut labels all blocks at once. The
+    classifier is learned from a small labelled table of blocks; that an element's class names an advert, a menu or the like is
+    one feature of many, weighed by how much of the page the element holds.
 
     A null or empty page has an empty text; null ids and urls stay; repeated pages give a row each; an empty table none.
     Other columns are not read.

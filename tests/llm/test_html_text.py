@@ -1,6 +1,12 @@
 import itertools
 import random
 
+import re
+import time
+
+import numpy as np
+
+from quantloom.llm import html_text
 from quantloom.llm.html_text import blocks_of, extract, main_text, min_cut
 
 PARA = "This is a long paragraph of the article, with enough words to be one."
@@ -64,3 +70,53 @@ def test_head_without_its_end_tag():
     for start in ("<html><head><title>T</title><meta charset=utf-8><style>p{}</style><body>", "<head><title>T</title>\n", "<head><link rel=x><script>var a='<p>';</script><div>", "<head><title>T</title></head><body>"):
         assert main_text(f"{start}<article><p>{PARA}</article>") == PARA, start
     assert [b.text for b in blocks_of("<head><title>T</title>a<meta name=x>b<p>c")] == ["ab", "c"]
+
+
+def test_text_in_unusual_elements_stays():
+    page = f"<body><article><p>{PARA}<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be a number.<p>See <svg><text>the label</text></svg>, <canvas>a drawing</canvas> and <label>this name</label>.<p>{PARA}</article>"
+    assert main_text(page) == f"{PARA}\nLet x=2 be a number.\nSee the label, a drawing and this name.\n{PARA}"
+
+
+def test_no_word_decides_alone():
+    for page in (
+        f"<body class='home has-sidebar'><article><p>{PARA}<p>{PARA}</article>",
+        f"<div class='content with-sidebar'><article><p>{PARA}<p>{PARA}</article></div>",
+        f"<body class=ad-free><article><p>{PARA}<p>{PARA}</article>",
+        f"<article class='post tag-news comments-open'><p>{PARA}<p>{PARA}</article>",
+        f"<div class='social-science article'><p>{PARA}<p>{PARA}</div>",
+    ):
+        assert main_text(page) == f"{PARA}\n{PARA}", page
+    assert np.abs(html_text.weights()).max() <= html_text.LARGEST
+
+
+def test_classifier_on_unseen_layouts():
+    """Each layout is judged by weights learned without it."""
+    hits = np.zeros((2, 2), int)
+    for k, page in enumerate(html_text.PAGES):
+        w = html_text.fit(html_text.labelled_blocks(3, pages=html_text.PAGES[:k] + html_text.PAGES[k + 1 :]))
+        for b, keep in html_text.labelled_blocks(3, 77, (page,)):
+            hits[int(keep), int(np.array(html_text.features(b)) @ w > 0)] += 1
+    recall, precision = hits[1, 1] / hits[1].sum(), hits[1, 1] / hits[:, 1].sum()
+    print(f"blocks of unseen layouts: recall {recall:.2f}, precision {precision:.2f}")
+    assert recall >= 0.9 and precision >= 0.85
+
+
+def test_precision_and_recall_on_pages(spark):
+    """Against the headings and paragraphs of the pages' only article, read by a plain search."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows)).collect()}
+    right = found = wanted = 0
+    for r in rows:
+        article = re.search(r"(?s)<article>(.*?)(</article>|<footer>)", r.html)[1]
+        want = set("".join(w for w in html_text.html.unescape(re.sub(r"<[^>]+>", " ", article)).split()) and html_text.html.unescape(re.sub(r"<[^>]+>", " ", article)).split())
+        have = got[r.page_id].split()
+        right, found, wanted = right + sum(w in want for w in have), found + len(have), wanted + len(html_text.html.unescape(re.sub(r"<[^>]+>", " ", re.sub("</?b>", "", article))).split())
+    print(f"words of pages: precision {right / found:.4f}, recall {right / wanted:.4f}")
+    assert right >= 0.999 * found and right >= 0.999 * wanted
+
+
+def test_deep_nesting_takes_linear_time():
+    for page in ("<b>" * 40_000 + "</i>" * 40_000, "<p>" + "<b>" * 20_000 + "x</p>" * 20_000, "<div>" * 20_000 + "x</div>" * 20_000, "<ul>" + "<b>" * 10_000 + "<li>x" * 10_000, "<b>" * 20_000 + "x</p>" * 20_000):
+        began = time.time()
+        blocks_of(page)
+        assert time.time() - began < 8
