@@ -7,23 +7,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .shared import stash
+from .shared import drop, stash
 
 WIDTH = 5
 #: Links: PARTS * intersection >= SHARE * union.
 SHARE, PARTS = 75, 100
-#: Largest set sizes of the bands grow by this factor. In a band the feature domain is cut into so many parts a size.
-BAND, PARTS_A_SIZE, LEAST_PARTS = 8, 4 / 7, 16
+#: Largest set sizes of the bands grow by this factor. In a band the feature domain is cut into so many parts a size, and these
+#: into groups of GROUP; the subsets of a group without one of its parts are enumerated.
+BAND, PARTS_A_SIZE, LEAST_PARTS, GROUP = 8, 6 / 7, 18, 3
 #: Shingles in this many different sets of one batch are counted; of those, so many of the most frequent are known to all tasks.
 LOCAL_SETS, KNOWN_FREQUENT = 4, 100_000
 #: Sets that share a signature: up to SMALL_GROUP are paired with each other, beyond it with HUBS of them first. So many of a
 #: set's signatures, its least, tell in which of the groups that two sets share they meet.
 SMALL_GROUP, HUBS, LEAST_SIGNS = 12, 3, 8
-#: Rows of signatures that one task sorts, about; bits of the filter of ids.
-ROWS_A_TASK, FILTER_BITS = 1_000_000, 1 << 24
+#: Members of a large group that are compared with one another in one task; shares into which its rows are cut for a join.
+CHUNK, SALTS = 1024, 16
+#: Rows of signatures that one task sorts, about, and signatures a shingle; bits of the filter of ids.
+ROWS_A_TASK, SIGNS_A_SHINGLE, FILTER_BITS = 1_000_000, 0.75, 1 << 24
 
 U = np.uint64
 TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U)
@@ -112,7 +116,7 @@ def cells(top: int) -> int:
 TOGETHER = 256
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], local_sets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, digests, sketches, seen = [], [], [], {}
         for at in range(0, batch.num_rows, TOGETHER):
@@ -125,7 +129,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64())], names=["doc_id", "n", "digest", "sketch", "shingle"])
         hashes, counts = np.unique(np.concatenate([np.zeros(0, U), *seen.values()]), return_counts=True)
-        hashes, counts = hashes[counts >= LOCAL_SETS], counts[counts >= LOCAL_SETS]
+        hashes, counts = hashes[counts >= local_sets], counts[counts >= local_sets]
         yield pa.record_batch([pa.nulls(len(hashes), pa.int64()), pa.array(counts, pa.int64()), pa.nulls(len(hashes), pa.binary()), pa.nulls(len(hashes), pa.binary()), pa.array(hashes.view(np.int64))], names=["doc_id", "n", "digest", "sketch", "shingle"])
 
 
@@ -135,47 +139,85 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """PartEnum signatures of a set of shingle hashes.
 
-    In a band the domain of shingles is cut into N parts. Sets A and B that link differ in at most d = (|A| + |B|) / 7
-    shingles, so of the N projections onto the parts at least N - d agree. A projection is a signature. Put in one order for
-    all sets, the first d + 1 projections of A and of B then share one: so few are kept. The order puts first those with many
-    shingles that are not known to be frequent, then large ones, so that what many documents hold comes last.
+    In a band the domain of shingles is cut into groups of GROUP parts. Of each group all subsets of GROUP - 1 parts are
+    enumerated; what the set holds in such a subset is a signature. Sets A and B that link differ in at most
+    d = (|A| + |B|) / 7 shingles. A part that differs spoils the GROUP - 1 subsets with it, so all but (GROUP - 1) d signatures
+    agree, and in one order for all sets the first (GROUP - 1) d + 1 of A and of B share one: so few are kept, of half as many
+    again. The order puts
+    first those with many shingles that are not known to be frequent, then large ones, so that what many documents hold comes
+    last, and subsets that hold nothing after all others.
     """
     out = []
     spread = mixed(s * TURNS[2])
     place = np.searchsorted(frequent, s)
     rare = frequent[np.minimum(place, len(frequent) - 1)] != s if len(frequent) else np.ones(len(s), bool)
     for top in bands(len(s)):
-        parts = max(LEAST_PARTS, int(top * PARTS_A_SIZE))
+        parts = -(-max(LEAST_PARTS, int(top * PARTS_A_SIZE)) // GROUP) * GROUP
         apart = (len(s) + min(len(s) * PARTS // SHARE, top)) * (PARTS - SHARE) // (PARTS + SHARE)
         part = (spread >> U(33)).astype(np.int64) % parts
         order = np.argsort(part, kind="stable")
         own = part[order]
         starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        sums = np.add.reduceat(spread[order], starts)
-        sizes = np.diff(np.concatenate((starts, [len(s)])))
-        rares = np.add.reduceat(rare[order].astype(np.int64), starts)
-        salt = (own[starts].astype(U) + U(1)) * TURNS[0] + U(top)
-        found = mixed(sums * TURNS[1] + mixed(salt))
-        keep = min(apart + 1, parts)
-        first = np.lexsort((found, -sizes, -rares))[:keep]
+        held = own[starts]
+        groups, of = np.unique(held // GROUP, return_inverse=True)
+        cells = (of, held % GROUP)
+        sums, sizes, rares = np.zeros((len(groups), GROUP), U), np.zeros((len(groups), GROUP), np.int64), np.zeros((len(groups), GROUP), np.int64)
+        sums[cells] = mixed(np.add.reduceat(spread[order], starts) + (held.astype(U) + U(1)) * TURNS[4])
+        sizes[cells] = np.diff(np.concatenate((starts, [len(s)])))
+        rares[cells] = np.add.reduceat(rare[order].astype(np.int64), starts)
+        without = (groups[:, None] * GROUP + np.arange(GROUP)).astype(U)  # a subset is named by the part it leaves out
+        found = mixed((sums.sum(1, keepdims=True) - sums) * TURNS[1] + mixed((without + U(1)) * TURNS[0] + U(top))).ravel()
+        size, rarity = (sizes.sum(1, keepdims=True) - sizes).ravel(), (rares.sum(1, keepdims=True) - rares).ravel()
+        keep = (GROUP - 1) * apart + 1  # never more than there are: a band's parts are 6 / 7 of its largest size, 2 d are 4 / 7
+        filled = np.flatnonzero(size)
+        first = filled[np.lexsort((found[filled], -size[filled], -rarity[filled]))[:keep]]
         out.append(found[first])
-        if keep > len(found):
-            empty = np.setdiff1d(np.arange(parts), own)
-            nothing = np.sort(mixed(mixed((empty.astype(U) + U(1)) * TURNS[0] + U(top))))
-            out.append(nothing[: keep - len(found)])
+        if keep > len(filled):
+            empty = np.setdiff1d(np.arange(parts), without.ravel()[filled].astype(np.int64)).astype(U)
+            nothing = np.sort(mixed(mixed((empty + U(1)) * TURNS[0] + U(top))))
+            out.append(nothing[: keep - len(filled)])
     return np.concatenate(out)
 
 
-def _signed(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.RecordBatch]:
+#: Signatures by bucket: those of some documents, with the documents and their sets' sizes, as compressed bytes.
+PACKED = "bucket int, signs binary, docs binary, ns binary"
+#: Bits of a signature that tell it from others of its bucket.
+SIGN_BITS = 40
+
+
+def _squeezed(x: np.ndarray, width: int) -> bytes:
+    """The numbers' lowest `width` bytes, all lowest ones first."""
+    return zstandard.compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(len(x), 8)[:, :width].T).tobytes(), 1)
+
+
+def _numbers(raw: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(np.int64).ravel()
+
+
+def _signed(batches: Iterator[pa.RecordBatch], frequent, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The signatures of the documents that name their class."""
     for batch in batches:
+        signs, docs, ns = [], [], []
         for at in range(0, batch.num_rows, TOGETHER):
             part = batch.slice(at, TOGETHER)
-            sets = shingle_sets(part.column(1).to_pylist())
-            found = [signatures(s, frequent.value) if len(s) else np.zeros(0, U) for s in sets]
-            ends = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.record_batch([part.column(0), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), lists], names=["doc_id", "digest", "n", "signs"])
+            for doc, of, s in zip(part.column("doc_id").to_pylist(), part.column("of").to_pylist(), shingle_sets(part.column("text").to_pylist()), strict=True):
+                if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == of:
+                    found = signatures(s, frequent.value)
+                    signs.append(found)
+                    docs.append(np.full(len(found), doc))
+                    ns.append(np.full(len(found), len(s)))
+        if not signs:
+            continue
+        sign, doc, n = np.concatenate(signs), np.concatenate(docs), np.concatenate(ns)
+        bucket = ((sign & U(0xFFFFFF)) % U(buckets)).astype(np.int64)
+        order = np.lexsort((doc, bucket))
+        sign, doc, n = (sign[order] >> U(64 - SIGN_BITS)).astype(np.int64), doc[order], n[order]
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+        rows = [(k, _squeezed(sign[i:j], SIGN_BITS // 8), _squeezed(np.diff(doc[i:j], prepend=0), 8), _squeezed(n[i:j], 4)) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["bucket", "signs", "docs", "ns"])
 
 
 # --- candidates ------------------------------------------------------------------------------------------------------
@@ -200,12 +242,18 @@ def _pairs(chunks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return found[:, 0], found[:, 1]
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(batches: Iterator[pa.RecordBatch], small_group: int) -> Iterator[pa.RecordBatch]:
     """The pairs of a task's signature groups, and the members of those too large to be paired."""
-    read = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches]
-    if not read:
+    signs, docs, ns = [], [], []
+    for batch in batches:
+        for bucket, raw, doc_raw, n_raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "signs", "docs", "ns")), strict=True):
+            signs.append(bucket << SIGN_BITS | _numbers(raw, SIGN_BITS // 8))
+            docs.append(np.cumsum(_numbers(doc_raw, 8)))
+            ns.append(_numbers(n_raw, 4))
+    if not signs:
         return
-    sign, doc, n = (np.concatenate(x) for x in zip(*read, strict=True))
+    sign, doc, n = np.concatenate(signs), np.concatenate(docs), np.concatenate(ns)
+    signs.clear(), docs.clear(), ns.clear()
     order = np.lexsort((mixed(doc.view(U)), sign))
     sign, doc, n = sign[order], doc[order], n[order]
     starts = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1])))
@@ -213,11 +261,11 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of, place = np.repeat(np.arange(len(starts)), sizes), np.arange(len(sign)) - np.repeat(starts, sizes)
     left = sizes[of] - place - 1
     chunks = []
-    for step in range(1, min(SMALL_GROUP, int(sizes.max(initial=1)))):
-        i = np.flatnonzero((left >= step) & (sizes[of] <= SMALL_GROUP))
+    for step in range(1, min(small_group, int(sizes.max(initial=1)))):
+        i = np.flatnonzero((left >= step) & (sizes[of] <= small_group))
         i = i[_near(n[i], n[i + step]) & (doc[i] != doc[i + step])]
         chunks.append((doc[i], doc[i + step]))
-    large = sizes[of] > SMALL_GROUP
+    large = sizes[of] > small_group
     for hub in range(HUBS):
         i = np.flatnonzero(large & (place > hub))
         h = starts[of[i]] + hub
@@ -228,19 +276,19 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the large groups, the pairs of members in different components whose sketches allow a link.
+    """Of pairs of chunks of large groups, the pairs of members in different components whose sketches allow a link.
 
     Two members that have some of their least signatures in common meet in the group of the first of these alone; others meet
     in every group they share.
     """
-    read = [(*(b.column(i).to_numpy() for i in range(4)), b.column(4).to_pylist(), b.column(5).to_pylist()) for b in batches]
+    read = [(*(b.column(i).to_numpy() for i in range(7)), b.column(7).to_pylist(), b.column(8).to_pylist()) for b in batches]
     if not read:
         return
-    sign, doc, n, label = (np.concatenate(x) for x in list(zip(*read, strict=True))[:4])
-    sketches, least = [x for r in read for x in r[4]], [frozenset(x) for r in read for x in r[5]]
-    order = np.lexsort((mixed(doc.view(U)), sign))
-    sign, doc, n, label = sign[order], doc[order], n[order], label[order]
-    starts = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1])))
+    sign, doc, n, label, chunk, left, right = (np.concatenate(x) for x in list(zip(*read, strict=True))[:7])
+    sketches, least = [x for r in read for x in r[7]], [frozenset(x) for r in read for x in r[8]]
+    order = np.lexsort((mixed(doc.view(U)), chunk, right, left, sign))
+    sign, doc, n, label, chunk, left, right = (x[order] for x in (sign, doc, n, label, chunk, left, right))
+    starts = np.flatnonzero(np.concatenate(([True], (sign[1:] != sign[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1]))))
     chunks = []
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(sign)], strict=True):
         if (label[a:b] == label[a]).all():
@@ -249,8 +297,11 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = [top in bands(int(x)) for x in n[a:b].tolist()]
         rows = np.stack([_cells(sketches[k], int(m), top) if i else np.zeros(cells(top) // 8, np.uint8) for k, m, i in zip(order[a:b].tolist(), n[a:b].tolist(), inside, strict=True)])
         inside, own, this = np.array(inside), [least[k] for k in order[a:b].tolist()], int(sign[a])
-        for h in range(b - a - 1):
-            i = h + 1 + np.flatnonzero((label[a + h + 1 : b] != label[a + h]) & _near(n[a + h + 1 : b], n[a + h]) & inside[h + 1 :] & inside[h])
+        across = left[a] != right[a]
+        second = int(np.searchsorted(chunk[a:b], right[a])) if across else 0
+        for h in range(second if across else b - a - 1):
+            begin = second if across else h + 1
+            i = begin + np.flatnonzero((label[a + begin : b] != label[a + h]) & _near(n[a + begin : b], n[a + h]) & inside[begin:] & inside[h])
             apart = np.bitwise_count(rows[i] ^ rows[h]).sum(1, dtype=np.int64)
             i = i[apart * (PARTS + SHARE) <= (n[a + i] + n[a + h]) * (PARTS - SHARE)]
             i = i[[not both or min(both) == this for both in (own[h] & own[k] for k in i.tolist())]] if len(i) else i
@@ -341,49 +392,62 @@ def _verified(left: DataFrame, rows: DataFrame) -> DataFrame:
 
     links = compared(left.groupBy("b").agg(F.min("a").alias("a")))
     if links.isEmpty():
-        return compared(left)
+        links = compared(left)
+        drop(ids, sets)
+        return links
     names = components(links)
     named = lambda id_, label: names.select(F.col("id").alias(id_), F.col("component").alias(label))
     apart = left.join(named("a", "_a"), "a", "left").join(named("b", "_b"), "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-    return links.unionByName(compared(stash(apart)))
+    apart = stash(apart)
+    more = compared(apart)
+    drop(ids, sets, apart)
+    return links.unionByName(more)
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, small_group: int = SMALL_GROUP, chunk_size: int = CHUNK, local_sets: int = LOCAL_SETS) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document.
 
     Equal sets are one class, named by its smallest doc_id; only class names are joined. Signatures bring together the
     classes that may link; every candidate pair is verified on its whole sets. Members of a large signature group meet a few
-    hubs first; those that are then in different components meet where their sketches allow a link, so that no link between
-    components is lost, while copies of one text are never paired with each other.
+    hubs first; those that are then in different components meet, chunk by chunk, where their sketches allow a link, so that no
+    link between components is lost, while copies of one text are never paired with each other.
 
     A null or empty text has no shingles and its own component. A row without doc_id has n_shingles and no component. Repeated
     rows give a row each. An empty table gives none. Other columns are not read. Shingles are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    seen = stash(rows.mapInArrow(_digests, "doc_id long, n long, digest binary, sketch binary, shingle long"))
+    seen = stash(rows.mapInArrow(lambda it: _digests(it, local_sets), "doc_id long, n long, digest binary, sketch binary, shingle long"))
     known = seen.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(KNOWN_FREQUENT).toPandas()
     frequent = spark.sparkContext.broadcast(np.sort(known["shingle"].to_numpy(np.int64).view(U)))
     sized = seen.where("shingle is null").select("doc_id", "n", "digest", "sketch")
     classes = sized.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class"), F.max("n").alias("n"))
     total = classes.agg(F.sum("n")).first()[0] or 0
-    signed = rows.where("doc_id is not null").mapInArrow(lambda it: _signed(it, frequent), "doc_id long, digest binary, n int, signs array<long>")
     named = classes.select(F.col("digest").alias("of"), F.col("class").alias("doc_id"))
-    signed = signed.join(named, "doc_id").where(F.col("of") == F.col("digest"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * ROWS_A_TASK))
-    met = stash(signed.select(F.explode("signs").alias("sign"), "doc_id", "n").repartition(tasks, "sign").mapInArrow(_met, CANDIDATES))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * SIGNS_A_SHINGLE) // ROWS_A_TASK)
+    buckets = 4 * tasks
+    packed = rows.join(named, "doc_id").select("doc_id", "text", "of").mapInArrow(lambda it: _signed(it, frequent, buckets), PACKED)
+    met = stash(packed.repartition(tasks, "bucket").mapInArrow(lambda it: _met(it, small_group), CANDIDATES))
     pairs, large = met.where("b is not null").select("a", "b").distinct(), met.where("b is null").select("sign", F.col("a").alias("doc_id"), "n")
-    links = _verified(_plausible(pairs, sized), rows)
+    plausible = _plausible(pairs, sized)
+    links = _verified(plausible, rows)
+    drop(plausible)
     found = components(links)
     if not large.isEmpty():
         labels = found.select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
         rest = large.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        several = rest.groupBy("sign").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("sign")
-        open_ = rest.join(several, "sign").groupBy("doc_id", "n", "label").agg(F.sort_array(F.collect_list("sign")).alias("signs"))
+        several = rest.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count(F.lit(1)) / chunk_size).cast("int").alias("chunks")).where("low <> high")
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        open_ = rest.withColumn("salt", salt).join(several.select("sign", "chunks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["sign", "salt"])
+        open_ = open_.groupBy("doc_id", "n", "label").agg(F.sort_array(F.collect_list(F.struct("sign", "chunks"))).alias("groups"))
         sketched = open_.join(sized.where("n > 0 and doc_id is not null").select("doc_id", "sketch"), "doc_id")
-        members = sketched.select(F.explode("signs").alias("sign"), "doc_id", "n", "label", "sketch", F.slice("signs", 1, LEAST_SIGNS).alias("least"))
-        more = stash(members.repartition(tasks, "sign").mapInArrow(_rest, CANDIDATES).select("a", "b").distinct())
+        members = sketched.select(F.explode("groups").alias("g"), "doc_id", "n", "label", "sketch", F.transform(F.slice("groups", 1, LEAST_SIGNS), lambda g: g["sign"]).alias("least"))
+        chunk = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("g.chunks")).cast("int")
+        members = members.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g.chunks") - 1)))
+        members = members.select(F.col("g.sign").alias("sign"), "doc_id", "n", "label", "chunk", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "sketch", "least")
+        more = stash(members.repartition(tasks, "sign", "left", "right").mapInArrow(_rest, CANDIDATES).select("a", "b").distinct())
         new = _verified(more, rows) if not more.isEmpty() else more
+        drop(met)
         if not new.isEmpty():
             links = stash(links.unionByName(new))
             found = components(links)
