@@ -18,7 +18,7 @@ WIDTH = 5
 SHARE, PARTS = 75, 100
 #: Largest set sizes of the bands grow by this factor. In a band the feature domain is cut into so many parts a size, and these
 #: into groups of GROUP; the subsets of a group without one of its parts are enumerated.
-BAND, PARTS_A_SIZE, LEAST_PARTS, GROUP = 8, 6 / 7, 18, 3
+BAND, PARTS_A_SIZE, LEAST_PARTS, GROUP = 8, 4 / 7, 16, 2
 #: Shingles in this many different sets of one batch are counted; of those, so many of the most frequent are known to all tasks.
 LOCAL_SETS, KNOWN_FREQUENT = 4, 100_000
 #: Sets that share a signature: up to SMALL_GROUP are paired with each other, beyond it with HUBS of them first. So many of a
@@ -27,7 +27,7 @@ SMALL_GROUP, HUBS, LEAST_SIGNS = 12, 3, 8
 #: Members of a large group that are compared with one another in one task; shares into which its rows are cut for a join.
 CHUNK, SALTS = 1024, 16
 #: Rows of signatures that one task sorts, about, and signatures a shingle; bits of the filter of ids.
-ROWS_A_TASK, SIGNS_A_SHINGLE, FILTER_BITS = 1_000_000, 0.75, 1 << 24
+ROWS_A_TASK, SIGNS_A_SHINGLE, FILTER_BITS = 700_000, 0.4, 1 << 24
 
 U = np.uint64
 TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U)
@@ -142,8 +142,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     In a band the domain of shingles is cut into groups of GROUP parts. Of each group all subsets of GROUP - 1 parts are
     enumerated; what the set holds in such a subset is a signature. Sets A and B that link differ in at most
     d = (|A| + |B|) / 7 shingles. A part that differs spoils the GROUP - 1 subsets with it, so all but (GROUP - 1) d signatures
-    agree, and in one order for all sets the first (GROUP - 1) d + 1 of A and of B share one: so few are kept, of half as many
-    again. The order puts
+    agree, and in one order for all sets the first (GROUP - 1) d + 1 of A and of B share one: so few are kept. The order puts
     first those with many shingles that are not known to be frequent, then large ones, so that what many documents hold comes
     last, and subsets that hold nothing after all others.
     """
@@ -168,7 +167,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         without = (groups[:, None] * GROUP + np.arange(GROUP)).astype(U)  # a subset is named by the part it leaves out
         found = mixed((sums.sum(1, keepdims=True) - sums) * TURNS[1] + mixed((without + U(1)) * TURNS[0] + U(top))).ravel()
         size, rarity = (sizes.sum(1, keepdims=True) - sizes).ravel(), (rares.sum(1, keepdims=True) - rares).ravel()
-        keep = (GROUP - 1) * apart + 1  # never more than there are: a band's parts are 6 / 7 of its largest size, 2 d are 4 / 7
+        keep = (GROUP - 1) * apart + 1  # never more than there are: a band's parts are 4 / 7 of its largest size, d is 2 / 7
         filled = np.flatnonzero(size)
         first = filled[np.lexsort((found[filled], -size[filled], -rarity[filled]))[:keep]]
         out.append(found[first])
@@ -380,7 +379,8 @@ def _verified(left: DataFrame, rows: DataFrame) -> DataFrame:
     spark = left.sparkSession
     ids = stash(left.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     if ids.isEmpty():
-        return left.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        drop(ids)
+        return spark.createDataFrame([], "u long, v long")
     bits = spark.sparkContext.broadcast(_bits(ids))
     hashed = rows.where("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
     sets = stash(hashed.mapInArrow(lambda it: _sets(it, bits), "id long, shingles binary").join(ids, "id", "left_semi"))
