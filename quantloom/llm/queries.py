@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, jaccard, packing, pii, pivots, quality, sharding, suffixes, token_counts
+from . import decontaminate, divergence, html_text, jaccard, online_packing, packing, pii, pivots, quality, sharding, spelling, suffixes, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_level_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online_packing.pack_stream(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), misspell=199))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +88,41 @@ QUERIES = {
         op8_interleaved_shards,
         op9_shingle_join,
         op10_main_text,
+        op11_level_packing,
+        op12_spelling_variants,
+        op13_source_divergence,
     )
 }
-ORACLES: dict[str, str] = {}
+
+ORACLES: dict[str, str] = {
+    "op13_source_divergence": r"""
+with docs as (
+    select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+    from documents
+),
+groups as (select distinct lang, source from docs),
+hits as (select lang, source, doc, unnest(terms) as term from docs),
+kept as (select lang, term from hits group by lang, term having count(distinct doc) >= 30),
+sizes as (select lang, count(*) as v from kept group by lang),
+counts as (select lang, source, term, count(*) as n from hits join kept using (lang, term) group by all),
+totals as (select lang, source, sum(n)::bigint as total from counts group by all),
+own as (
+    select g.lang, g.source, k.term, coalesce(c.n, 0) as n, (1 + 1000000000::hugeint * (coalesce(c.n, 0) + 5) // (coalesce(t.total, 0) + 5 * s.v))::bigint as p
+    from groups g join kept k using (lang) join sizes s using (lang) left join counts c on (c.lang, c.source, c.term) = (g.lang, g.source, k.term) left join totals t on (t.lang, t.source) = (g.lang, g.source)
+),
+whole as (
+    select c.lang, c.term, (1 + 1000000000::hugeint * (sum(c.n)::bigint + 5) // (any_value(t.total) + 5 * any_value(s.v)))::bigint as q
+    from counts c join (select lang, sum(total)::bigint as total from totals group by lang) t using (lang) join sizes s using (lang) group by c.lang, c.term
+),
+summed as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p))::bigint as value from own a join own b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, b.source as item, coalesce(s.value, 0) as value from groups a join groups b on a.lang = b.lang and a.source <> b.source left join summed s on (s.lang, s.source, s.item) = (a.lang, a.source, b.source)),
+found as (
+    select lang, source, 'pair' as part, item, value from pairs
+    union all
+    select lang, source, 'term' as part, term as item, p - q as value from own join whole using (lang, term) where n > 0 and p > q
+)
+select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+from found qualify part = 'pair' or rank <= 50
+""",
+}
