@@ -1,47 +1,138 @@
-"""Balances: clusters of rotations within a width, with the volume profile of their bars.
-
-Whether a rotation still fits depends on where its cluster began, so the greedy walk is sequential within a series. It runs
-over rotations, not bars, in pandas by series.
-"""
+"""Balances: clusters of rotations within a width, with the volume profile of their bars."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions import scans
 from ..functions.scalars import clamp, saturating, true_range
-from ..sources.tables import SERIES, indexed
-
-CLUSTERS = "instrument string, timeframe string, rotation_index long, island long, part int"
+from ..sources.stash import drop, stash
+from ..sources.tables import SERIES, placed
 
 
 def clustered(rotations: DataFrame, max_gap_bars: float = 3, max_width: float | None = None, min_rotations: int = 2, bar_seconds: float = 60) -> DataFrame:
     """Valid rotations with the cluster they belong to. A rotation starts a new one when it begins more than max_gap_bars bars
     after the last one's end or would make the cluster wider than max_width; clusters of too few rotations go.
 
-    Gaps are found by a window, so the series falls into islands without gaps; only the walk by width, which depends on where
-    the cluster began, is sequential, and it sees one island at a time.
+    Where a cluster ends depends on where it began, so for every rotation the start of the next cluster is found, had one begun
+    with it (`reached`); the chain of these jumps from a series' first rotation names the clusters (`chained`). No step holds a
+    series in one task. The rotations are written on the way, so that neither they nor what follows is computed twice.
     """
+    at = W.partitionBy(*SERIES, "_block").orderBy("_place")
+    gap = F.timestamp_diff("MICROSECOND", F.lag("end_time").over(at), F.col("start_time")) / 1e6
+    written = stash(rotations.where("valid"))
+    valid = scans.numbered(written, SERIES, "rotation_index", "_place", F.floor(F.col("rotation_index") / scans.BLOCK))
+    bounds = {"_cut": F.coalesce(gap > max_gap_bars * bar_seconds, F.lit(True)), "_low": F.least("start_price", "end_price"), "_high": F.greatest("start_price", "end_price")}
+    jumps = reached(valid, bounds, float("inf") if max_width is None else max_width)
+    drop(written)
+    found = jumps.select(*rotations.columns, "_place").join(chained(jumps), [*SERIES, "_place"]).drop("_place")
+    large = found.groupBy(*SERIES, "cluster").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rotations).drop("_n")
+    return found.join(large, [*SERIES, "cluster"], "left_semi").select(*rotations.columns, "cluster")
+
+
+#: Rotations that are looked ahead in a row; clusters that go on from there are followed by doubling.
+REACH = 256
+
+
+def looked_ahead(found: DataFrame, first: list[dict[str, Column]], behind: int) -> DataFrame:
+    """Rotations with `_ahead`, the bounds of themselves and those after them."""
+    frame = W.partitionBy(*SERIES, "_block").orderBy("_place").rowsBetween(0, REACH - 1)
+    return scans.framed(found, SERIES, "_place", [*first, {"_ahead": F.collect_list(F.struct("_cut", "_low", "_high")).over(frame)}], behind, REACH - 1)
+
 
-    def walk(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("rotation_index")
-        low, high = p[["start_price", "end_price"]].min(axis=1).tolist(), p[["start_price", "end_price"]].max(axis=1).tolist()
-        cluster, bottom, top, out = 0, low[0], high[0], []
-        for lo, hi in zip(low, high, strict=True):
-            bottom, top = min(bottom, lo), max(top, hi)
-            if max_width is not None and top - bottom > max_width:
-                cluster, bottom, top = cluster + 1, lo, hi
-            out.append(cluster)
-        return p[[*SERIES, "rotation_index"]].assign(island=p["island"], part=out)
-
-    by_index = W.partitionBy(*SERIES).orderBy("rotation_index")
-    gap = F.timestamp_diff("MICROSECOND", F.lag("end_time").over(by_index), F.col("start_time")) / 1e6
-    cut = rotations.where("valid").withColumn("_cut", F.when(gap <= max_gap_bars * bar_seconds, 0).otherwise(1))
-    narrow = cut.withColumn("island", F.sum("_cut").over(by_index)).select(*SERIES, "rotation_index", "start_price", "end_price", "island")
-    found = narrow.groupBy(*SERIES, "island").applyInPandas(walk, CLUSTERS)
-    named = found.withColumn("cluster", (F.dense_rank().over(W.partitionBy(*SERIES).orderBy("island", "part")) - 1).cast("int")).drop("island", "part")
-    size = F.count(F.lit(1)).over(W.partitionBy(*SERIES, "cluster"))
-    return rotations.join(named, [*SERIES, "rotation_index"]).withColumn("_n", size).where(F.col("_n") >= min_rotations).drop("_n")
+def fitting(ahead: str | Column, n: Column, low: Column, high: Column, width: float) -> Column:
+    """How many rotations the cluster has with those of `ahead` that still fit, and its bounds then; open: all of them do."""
+    begun = F.struct(n.cast("long").alias("n"), low.alias("low"), high.alias("high"), F.lit(True).alias("open"))
+
+    def step(s: Column, x: Column) -> Column:
+        low, high = F.least(s["low"], x["_low"]), F.greatest(s["high"], x["_high"])
+        fits = s["open"] & ~x["_cut"] & (high - low <= width)
+        return F.struct((s["n"] + fits.cast("long")).alias("n"), F.when(fits, low).otherwise(s["low"]).alias("low"), F.when(fits, high).otherwise(s["high"]).alias("high"), fits.alias("open"))
+
+    return F.aggregate(ahead, begun, step)
+
+
+def reached(found: DataFrame, bounds: dict[str, Column], width: float) -> DataFrame:
+    """Rotations with `_jump`, the place of the first one that can't be in a cluster begun here, and `_cut`; written.
+
+    A frame of REACH rotations tells most jumps. Where all of them fit, ranges of twice the length are made of two that fit, until
+    none does; then each open rotation's range is extended by the ranges of falling length.
+    """
+    near = looked_ahead(found, [bounds], 1)
+    run = fitting(F.slice("_ahead", 2, REACH - 1), F.lit(1), F.col("_low"), F.col("_high"), width)
+    out = near.select(*(n for n in near.columns if n != "_ahead"), run.alias("_run"))
+    out = stash(out.withColumn("_jump", F.col("_place") + F.col("_run.n")))
+    whole = out.where((F.col("_run.n") == REACH) & (F.col("_run.high") - F.col("_run.low") <= width))
+    if whole.isEmpty():
+        return out
+    level = lambda df, low, high: df.select(*SERIES, F.col("_place").alias("_from"), F.col("_cut").alias("_own_cut"), low.alias("_its_low"), high.alias("_its_high"))
+    longer = [level(whole, F.col("_run.low"), F.col("_run.high"))]
+    size = REACH
+    while True:
+        last = longer[-1]
+        then = last.select(*SERIES, (F.col("_from") - size).alias("_from"), F.col("_own_cut").alias("_c"), F.col("_its_low").alias("_l"), F.col("_its_high").alias("_h"))
+        low, high = F.least("_its_low", "_l"), F.greatest("_its_high", "_h")
+        twice = stash(last.join(then, [*SERIES, "_from"]).where(~F.col("_c") & (high - low <= width)).select(*SERIES, "_from", "_own_cut", low.alias("_its_low"), high.alias("_its_high")))
+        if twice.isEmpty():
+            break
+        longer.append(twice)
+        size *= 2
+    state = whole.select(*SERIES, "_place", F.col("_jump").alias("_from"), F.col("_run.low").alias("_l"), F.col("_run.high").alias("_h"))
+    for k, ranges in reversed(list(enumerate(longer))):
+        low, high = F.least("_l", "_its_low"), F.greatest("_h", "_its_high")
+        fits = F.coalesce(~F.col("_own_cut") & (high - low <= width), F.lit(False))
+        state = state.join(ranges, [*SERIES, "_from"], "left").select(*SERIES, "_place", (F.col("_from") + F.when(fits, REACH << k).otherwise(0)).alias("_from"), F.when(fits, low).otherwise(F.col("_l")).alias("_l"), F.when(fits, high).otherwise(F.col("_h")).alias("_h"))
+    rest = looked_ahead(out.select(*SERIES, "_place", "_cut", "_low", "_high"), [], 0).select(*SERIES, F.col("_place").alias("_from"), "_ahead")
+    state = state.join(rest, [*SERIES, "_from"], "left").select(*SERIES, "_place", (F.col("_from") + F.coalesce(fitting("_ahead", F.lit(0), F.col("_l"), F.col("_h"), width)["n"], F.lit(0))).alias("_from"))
+    far = state.select(*SERIES, "_place", F.col("_from").alias("_far"))
+    made = stash(out.join(far, [*SERIES, "_place"], "left").withColumn("_jump", F.coalesce("_far", "_jump")).drop("_far"))
+    drop(out, *longer[1:], twice)
+    return made
+
+
+#: Rotations of a block whose chain is followed in one row.
+CHAIN = 2048
+
+
+def chained(jumps: DataFrame, size: int = CHAIN) -> DataFrame:
+    """(place, cluster): clusters are numbered from 0 along the chain of jumps from each series' first place.
+
+    A block of places is one row. From its end back it is told for each place where a chain through it leaves the block. The chain
+    meets every cut, so a block with one passes on the same place wherever it was entered; only through runs of blocks
+    without a cut the exits are doubled, as often as the logarithm of such a run. Then each block is walked from its entry.
+    """
+    block = [*SERIES, "_block"]
+    row = F.struct("_place", "_jump", "_cut")
+    packed = jumps.select(*SERIES, F.floor(F.col("_place") / size).alias("_block"), row.alias("r")).groupBy(*block).agg(F.sort_array(F.collect_list("r")).alias("_rows"))
+    end = F.element_at("_rows", -1)["_place"]
+    back = F.aggregate(F.reverse("_rows"), F.array().cast("array<long>"), lambda a, x: F.array_prepend(a, F.when(x["_jump"] > end, x["_jump"]).otherwise(F.get(a, (x["_jump"] - x["_place"] - 1).cast("int")))))
+    cuts = F.transform("_rows", lambda x: x["_cut"].cast("int"))
+    last_cut = F.size("_rows") - F.array_position(F.reverse(cuts), 1) + 1
+    packed = stash(packed.withColumn("_exits", back).withColumn("_passed", F.when(F.array_contains(cuts, 1), F.element_at("_exits", last_cut.cast("int")))))
+    entries = packed.select(*SERIES, F.col("_passed").alias("_place")).where("_place is not null").unionByName(packed.where("_block = 0").select(*SERIES, F.lit(0).cast("long").alias("_place")))
+    used = []
+    if not packed.where("_passed is null").isEmpty():
+        exits = packed.where("_passed is null").select(*SERIES, F.explode(F.arrays_zip(F.col("_rows._place").alias("p"), "_exits")).alias("x")).select(*SERIES, F.col("x.p").alias("_place"), F.col("x._exits").alias("_to"))
+        entries, exits = stash(entries), stash(exits)
+        used = [entries, exits]
+        while not exits.isEmpty():
+            to = entries.join(exits, [*SERIES, "_place"]).select(*SERIES, F.col("_to").alias("_place"))
+            then = exits.select(*SERIES, F.col("_place").alias("_to"), F.col("_to").alias("_then"))
+            entries, exits = stash(entries.unionByName(to).distinct()), stash(exits.join(then, [*SERIES, "_to"]).select(*SERIES, "_place", F.col("_then").alias("_to")))
+            drop(*used)
+            used = [entries, exits]
+    entered = entries.groupBy(*SERIES, F.floor(F.col("_place") / size).alias("_block")).agg(F.min("_place").alias("_entry"))
+    begun = F.struct(F.coalesce("_entry", F.lit(-1)).cast("long").alias("next"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        starts = x["_place"] == s["next"]
+        k = s["k"] + starts.cast("int")
+        return F.struct(F.when(starts, x["_jump"]).otherwise(s["next"]).alias("next"), k.alias("k"), F.array_append(s["out"], k).alias("out"))
+
+    walked = packed.join(entered, block, "left").withColumn("_walk", F.aggregate("_rows", begun, step)).select(*block, "_rows._place", F.col("_walk.k").alias("_starts"), F.col("_walk.out").alias("_out"))
+    numbered = walked.withColumn("_base", scans.carried(F.col("_starts"), SERIES) - 1)
+    told = numbered.select(*SERIES, "_base", F.explode(F.arrays_zip("_place", "_out")).alias("x"))
+    return told.select(*SERIES, F.col("x._place").alias("_place"), (F.col("_base") + F.col("x._out")).cast("int").alias("cluster"))
 
 
 def filtered(members: DataFrame, min_rotations: int | None = None, min_minutes: float | None = None, min_width: float | None = None, max_width: float | None = None) -> DataFrame:
@@ -64,7 +155,7 @@ def inside(bars: DataFrame, members: DataFrame) -> DataFrame:
     """The bars of each cluster, from its first rotation's first bar to its last one's last; bars meet clusters by the blocks of
     their index range."""
     spans = members.groupBy(*KEYS).agg(F.min("start_index").alias("start_index"), F.max("end_index").alias("end_index"), F.count(F.lit(1)).alias("rotation_count"), F.count_if("valid").alias("valid_rotations"))
-    return within(indexed(bars), spans)
+    return within(placed(bars), spans)
 
 
 def of_bars() -> dict:

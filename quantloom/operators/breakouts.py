@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import squashed, true_range
-from ..sources.tables import SERIES, indexed
+from ..sources.tables import SERIES, placed
 from .balances import BLOCK, within
 from .bars import lead_atr
 
@@ -36,7 +36,7 @@ def breakouts(bars: DataFrame, ranges: DataFrame, mode: str = "strict", post_bar
     """For each range the first bar that leaves it among the post_bars + 1 after its end; ranges without one give no row. The
     range's columns in `keep` come along."""
     spans = ranges.select(*SERIES, "range_id", c("high").alias("range_high"), c("low").alias("range_low"), F.struct(F.lit(1).alias("_"), *keep).alias("_kept"), (c("end_index") + 1).alias("_first"), (c("end_index") + 1 + post_bars).alias("_last"))
-    narrow = indexed(bars).select(*SERIES, "bar_index", "time", "open", "high", "low", "close", "volume", "delta")
+    narrow = placed(bars).select(*SERIES, "bar_index", "time", "open", "high", "low", "close", "volume", "delta")
     after = within(narrow, spans, "_first", "_last").withColumn("direction", leaves(mode, c("range_high"), c("range_low"))).where("direction is not null")
     bar = F.struct("bar_index", "time", "open", "high", "low", "close", "volume", "delta", "direction")
     first = after.groupBy(*SERIES, "range_id", "range_high", "range_low").agg(F.min_by(bar, "bar_index").alias("b"), F.first("_kept").alias("_kept"))
@@ -62,7 +62,7 @@ def breakouts(bars: DataFrame, ranges: DataFrame, mode: str = "strict", post_bar
 def near_bars(events: DataFrame, bars: DataFrame, first: int, last: int, name: str, *columns: str) -> DataFrame:
     """Events with the bars from `first` to `last` places after theirs, in order, as an array. Only these bars are joined, by
     blocks of indexes; no other bar carries a frame."""
-    e, b = "event.bar_index", indexed(bars).select(*(c(k).alias(f"_{k}") for k in SERIES), F.struct("bar_index", *columns).alias("bar"), F.floor(c("bar_index") / BLOCK).alias("_block"))
+    e, b = "event.bar_index", placed(bars).select(*(c(k).alias(f"_{k}") for k in SERIES), F.struct("bar_index", *columns).alias("bar"), F.floor(c("bar_index") / BLOCK).alias("_block"))
     blocks = F.explode(F.sequence(F.floor((c(e) + first) / BLOCK), F.floor((c(e) + last) / BLOCK)))
     cut = events.select(*SERIES, "range_id", F.struct(*events.columns).alias("event")).withColumn("block", blocks)
     meets = [c(k) == c(f"_{k}") for k in SERIES] + [c("block") == c("_block"), c("bar.bar_index").between(c(e) + first, c(e) + last)]
@@ -214,7 +214,7 @@ def assembled(bars: DataFrame, found: DataFrame, mode: str = "close_only", post_
     ranges = found.withColumns({"range_id": c("balance_id"), "vpoc": c("poc_price"), "balance_range_size": c("range_size"), "pre_breakout_signal": signal})
     broken = breakouts(bars, ranges, mode, post_bars, ("vpoc", "hvn", "lvn", "midpoint", "balance_range_size", "compression_ratio", "stability_score", "equilibrium_score", "pre_breakout_signal"))
     out = confirmed(classified(follow_through(strength(broken, bars, **strong), bars, observation_bars)), bars, closes)
-    after = lead_atr(indexed(bars)).select(*SERIES, "bar_index", "atr_after")
+    after = lead_atr(placed(bars)).select(*SERIES, "bar_index", "atr_after")
     out = out.join(after, [*SERIES, "bar_index"])
     scores = [f"{n}_score" for n in WEIGHTS]
     tags = F.filter(F.array(F.lit("structural"), F.when(c("volatility_filter_pass"), "volatility_confirmed").otherwise("volatility_rejected"), F.when(c("confirmation_bar_index").isNotNull(), "confirmed")), lambda x: x.isNotNull())

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.scalars import channel_similarity, cosine_distance, rms_distance, tolerance_score
 from ..sources.tables import SERIES, indexed
 from .balances import within
-from .bars import by_time, forward_extrema, rows
+from .bars import forward_extrema, near, rolling, rows
 
 c = F.col
 TINY = 1e-12
@@ -18,8 +18,8 @@ def windows(bars: DataFrame, length: int) -> DataFrame:
 
     Price: range, body, upper and lower wick of each bar over the window's mean range. Volume and delta: over their mean.
     """
-    frame = rows(0, length - 1)
-    taken = indexed(bars).select(*SERIES, "bar_index", "time", F.collect_list(F.struct("open", "high", "low", "close", "volume", "delta")).over(frame).alias("w"), F.last("time").over(frame).alias("end_time"))
+    frame, channels = rows(0, length - 1), ("open", "high", "low", "close", "volume", "delta")
+    taken = rolling(indexed(bars).select(*SERIES, "bar_index", "time", *channels), [{"w": F.collect_list(F.struct(*channels)).over(frame), "end_time": F.last("time").over(frame)}], 0, length - 1)
     full = taken.where(F.size("w") == length)
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / length
     guarded = lambda m: F.when(F.abs(m) < TINY, TINY).otherwise(m)
@@ -87,9 +87,10 @@ def candle_scores(bars: DataFrame, template: list[dict], tick: float, percents:
         return sum((s * w for s, w in parts), F.lit(0.0)) / sum(w for _, w in parts)
 
     made = made.withColumns({f"_s{k}": score(t) for k, t in enumerate(template)})
-    total = sum((F.lead(f"_s{k}", k).over(by_time()) for k in range(len(template))), F.lit(0.0)) / len(template)
-    last = F.lead("time", len(template) - 1).over(by_time())
-    return made.select(*SERIES, c("bar_index").alias("start_index"), c("time").alias("start_time"), last.alias("end_time"), total.alias("score")).where("score is not null")
+    total = sum((F.lead(f"_s{k}", k).over(near()) for k in range(len(template))), F.lit(0.0)) / len(template)
+    last = F.lead("time", len(template) - 1).over(near())
+    made = rolling(made.select(*SERIES, "bar_index", "time", *(f"_s{k}" for k in range(len(template)))), [{"end_time": last, "score": total}], 0, len(template) - 1)
+    return made.select(*SERIES, c("bar_index").alias("start_index"), c("time").alias("start_time"), "end_time", "score").where("score is not null")
 
 
 def outcomes(found: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:

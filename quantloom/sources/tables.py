@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions.scans import numbered
 
 SERIES = ["instrument", "timeframe"]
 
@@ -43,8 +45,13 @@ def bars(spark: SparkSession, sf_dir: str, timeframe: str = "1 hour") -> DataFra
 
 
 def indexed(df: DataFrame) -> DataFrame:
-    """Bars with their place in their series, from 0."""
-    return df.withColumn("bar_index", F.row_number().over(W.partitionBy(*SERIES).orderBy("time")) - 1)
+    """Bars with their place in their series, from 0. Days are counted apart, so a series is no single task."""
+    return numbered(df, SERIES, "time", "bar_index", F.to_date("time"))
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """The same, where the bars have no place yet."""
+    return df if "bar_index" in df.columns else indexed(df)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,10 @@ def timed(ticks: DataFrame, late: str) -> DataFrame:
     return ticks.withColumn("time", F.col("time").cast(TimestampType())).withWatermark("time", late)
 
 
-def closed_bars(ticks: DataFrame, timeframe: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Bars of a stream of ticks (instrument, time, price, size, side, seq); later ticks than the watermark are dropped."""
+def closed_bars(ticks: DataFrame, timeframe: str = "1 hour", late: str = "10 minutes", watermarked: bool = False) -> DataFrame:
+    """Bars of a stream of ticks (instrument, time, price, size, side, seq); later ticks than the watermark are dropped.
+
+    With `watermarked` a column closed_at, the end of the bar, carries the watermark on to operators with timers."""
     order, kind = F.struct("time", "seq"), ticks.schema["time"].dataType
     windowed = timed(ticks, late).groupBy(F.window("time", timeframe), "instrument")
     made = windowed.agg(
@@ -23,7 +25,8 @@ def closed_bars(ticks: DataFrame, timeframe: str = "1 hour", late: str = "10 min
         F.sum("size").alias("volume"),
         F.sum(F.col("size") * F.col("side")).alias("delta"),
     )
-    return made.select("instrument", F.lit(timeframe).alias("timeframe"), F.col("window.start").cast(kind).alias("time"), "open", "high", "low", "close", "volume", "delta")
+    columns = ["instrument", F.lit(timeframe).alias("timeframe"), F.col("window.start").cast(kind).alias("time"), "open", "high", "low", "close", "volume", "delta"]
+    return made.select(*columns, F.window_time("window").alias("closed_at")) if watermarked else made.select(*columns)
 
 
 def sessions_of_activity(ticks: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
