@@ -24,14 +24,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An opening tag ends an open element of these, up to the nearest of the second set.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 NO_P_INSIDE = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
-CHROME = frozenset("nav footer aside form menu dialog fieldset search".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+CHROME = frozenset("nav footer aside menu dialog search".split())
+#: These hold a few fields or, on some pages, everything.
+FORMS = frozenset("form fieldset".split())
+#: An attribute by HTML's rules: a quote opens a value right after the equals sign only. One that is never closed opens none.
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?>\s*+=\s*+(?>"([^"]*)"|'([^']*)'|([^\s>]*+)))?""")
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(" + r"""(?>[\s/]++|[^\s/>][^\s/>=]*+(?>\s*+=\s*+(?>"[^"]*"|'[^']*'|[^\s>]*+))?)*+""" + r")(?:>|\Z)", re.S)
 NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 #: Class words of these say how the page is laid out.
 WHOLE = frozenset("html body main article".split())
 #: Words in class, id, role and aria-label that speak against what the element holds.
 AWAY = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended recommendations share sharing social newsletter subscribe subscription signup login search cookie cookies consent notice notices alert popup modal overlay paywall pagination pager tags toolbar contentinfo complementary comment comments commentlist respond reply replies disqus discussion form copyright legal disclaimer skip".split())
+#: What heads the comments of readers, with their number before or after it.
+REPLIES = frozenset("comment comments reply replies response responses kommentar kommentare antwort antworten commentaire commentaires réponse réponses comentario comentarios respuesta respuestas".split())
+HEADS_REPLIES = re.compile(r"(?:\d+\s+)?(\w+)\s*(?:\(\d+\)|:)?")
 SPACE = re.compile(r"\s+")
 RAW = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 
@@ -45,8 +51,9 @@ class Block:
     article: bool
     away: bool
     item: bool
-    mark: int = 0  # the innermost element with a word of AWAY
-    marks: float = 0  # how much the words of all such elements around it say
+    mark: int = 0  # the innermost element with a word of AWAY, form, or list of replies
+    marks: float = 0  # how much all such elements around it say
+    beside: bool = False  # outside the page's article, where it has one
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -60,20 +67,35 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple] = [("", 0, False, False, 0, ("", 0, False, False))]
     open_: Counter[str] = Counter()
     marked: dict[int, int] = {}  # each marked element's next one outside
+    wrappers: set[int] = set()  # those that may hold most of the page for all that they are
     parts: list[str] = []
-    state = {"linked": 0, "a": 0, "number": 0, "dropped": 0}
+    # replies: the element whose heading says that comments follow, that heading's rank, and the mark of what follows
+    state = {"linked": 0, "a": 0, "number": 0, "dropped": 0, "replies": None}
 
     def flush() -> None:
         text = SPACE.sub(" ", "".join(parts)).strip()
         parts.clear()
         if text:
             name, number, article, away = stack[-1][5]
-            out.append(Block(text, number, min(state["linked"], len(text)), name[:1] == "h" and name[1:].isdigit(), article, stack[-1][3] or away, name in ("li", "td", "th", "dt"), stack[-1][4]))
+            heading, mark = name[:1] == "h" and name[1:].isdigit(), stack[-1][4]
+            if heading and (not state["replies"] or name <= state["replies"][1]):
+                m = HEADS_REPLIES.fullmatch(text)
+                state["replies"] = None
+                if m and m[1].lower() in REPLIES:
+                    k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][1] < number)
+                    state["number"] += 1
+                    marked[state["number"]] = mark
+                    state["replies"] = stack[k][1], name, state["number"]
+            if state["replies"] and mark in (0, marked[state["replies"][2]]):
+                mark = state["replies"][2]
+            out.append(Block(text, number, min(state["linked"], len(text)), heading, article, stack[-1][3] or away, name in ("li", "td", "th", "dt"), mark))
         state["linked"] = 0
 
     def close(upto: int) -> None:
         while len(stack) > upto:
-            name = stack.pop()[0]
+            name, number = stack.pop()[:2]
+            if state["replies"] and state["replies"][0] == number:
+                state["replies"] = None
             open_[name] -= 1
             state["dropped"] -= name in DROPPED
             state["a"] -= name == "a"
@@ -126,8 +148,10 @@ def blocks_of(page: str) -> list[Block]:
         _, _, article, away, mark, holder = stack[-1]
         state["number"] += 1
         words, hidden = attributes_of(m[3])
-        if name not in WHOLE and not AWAY.isdisjoint(words):
+        if name in FORMS or name not in WHOLE and not AWAY.isdisjoint(words):
             marked[state["number"]], mark = mark, state["number"]
+            if name in FORMS or article:
+                wrappers.add(mark)
         if name in ("article", "main"):
             article = True
         away = away or hidden or name in CHROME or name == "header" and not article
@@ -141,7 +165,7 @@ def blocks_of(page: str) -> list[Block]:
             ended_by = RAW[name].search(page, at)
             at = ended_by.start() if ended_by else end
     flush()
-    weigh(out, marked)
+    weigh(out, marked, wrappers)
     return out
 
 
@@ -156,8 +180,12 @@ def attributes_of(text: str) -> tuple[list[str], bool]:
     return words, hidden
 
 
-def weigh(blocks: list[Block], marked: dict[int, int]) -> None:
-    """Set what the marks around each block say: a mark says 1 less its element's share of the page's text."""
+def weigh(blocks: list[Block], marked: dict[int, int], wrappers: set[int]) -> None:
+    """Set what the marks around each block say: a mark says 1 less its element's share of the page's text, a form's, or one inside
+    the article, 1 less twice the share: what holds half of the page is no form for a few fields."""
+    named = any(b.article for b in blocks)
+    for b in blocks:
+        b.beside = named and not b.article
     if not marked:
         return
     held, marks = dict.fromkeys(marked, 0), {0: 0.0}
@@ -169,7 +197,8 @@ def weigh(blocks: list[Block], marked: dict[int, int]) -> None:
             held[marked[m]] += held[m]
     whole = sum(len(b.text) for b in blocks if not b.away) or 1
     for m, outer in marked.items():
-        marks[m] = marks[outer] + 1 - held[m] / whole
+        share = held[m] / whole
+        marks[m] = marks[outer] + (max(0.0, 1 - 2 * share) if m in wrappers else 1 - share)
     for b in blocks:
         b.marks = marks[b.mark]
 
@@ -177,10 +206,11 @@ def weigh(blocks: list[Block], marked: dict[int, int]) -> None:
 def features(b: Block) -> list[float]:
     n = len(b.text)
     sentence = b.text[-1] in ".!?:;…\"'»”)"
-    return [1, b.article, b.away, b.linked / n, min(math.log1p(n), 7) / 7, b.heading, b.item, sentence, min(b.marks, 1.5), min(n / 200, 1), b.article and not b.away and not b.marks]
+    return [1, b.article, b.beside, b.away, (not b.article) * b.linked / n, b.article * b.linked / n, min(math.log1p(n), 7) / 7, b.heading, b.item, sentence, min(b.marks, 1.5), min(n / 200, 1), b.article and not b.away and not b.marks]
 
 
-#: The labelled table's pages: after + a text of the article, after - another one (p paragraph, s sentence, h heading, i item).
+#: The labelled table's pages: after + a text of the article, after - another one (p paragraph, s sentence, h heading, i item, c
+#: heading of replies).
 PAGES = (
     "<header><a>-i</a></header><nav><ul><li><a>-i</a><li><a>-i</a></ul></nav><main><article><h1>+h</h1><p>+p<p>+p<ul><li>+i<li>+s</ul><p>+s</article></main><aside><h2>-h</h2><p>-p</aside><footer>-s</footer>",
     "<div id=menu><a>-i</a> <a>-i</a></div><div class=content><h2>+h</h2><p>+p</p><p>+p</p></div><div class=footer>-s</div>",
@@ -196,6 +226,13 @@ PAGES = (
     "<div class=banner>-s</div><div class=page><div class=nav><a>-i</a><a>-i</a></div><div class=text><p>+p<p>+p<p>+p</div><div class=legal><p>-p</div></div>",
     "<article><h1>+h</h1><div class=menu-item-recipe><p>+p<p>+p<ol><li>+s<li>+s<li>+i</ol></div><p>+s</article><div class=ad>-p</div>",
     "<main id=content-menu><h1>+h</h1><p>+p<pre>+p</pre><p>+s</main><div role=complementary><p>-p<p>-s</div><footer>-i</footer>",
+    "<form id=page><div id=top><a>-i</a> <a>-i</a></div><div id=content><h1>+h</h1><p>+p<p>+s<p>+p</div><footer>-s</footer></form>",
+    "<form><main><h1>+h</h1><p>+p<fieldset><p>+p<p>+s</fieldset></main><nav><a>-i</a></nav></form>",
+    "<article><h1>+h</h1><ul><li><a>+i</a><li><a>+i</a><li><a>+i</a><li><a>+i</a><li><a>+i</a></ul></article><nav><a>-i</a><a>-i</a></nav>",
+    "<main><h1>+h</h1><p>+p<p><a>+s</a><p>+p<ol><li><a>+s</a><li><a>+i</a></ol></main><div><form>-i<fieldset>-s</fieldset></form></div>",
+    "<article><h1>+h</h1><p>+p<p>+p</article><section><h3>-c</h3><p>-p<p>-s<p>-p</section>",
+    "<article><h1>+h</h1><p>+p<p>+s</article><div><h3>-h</h3><p>-p<p>-s</div>",
+    "<div><h1>+h</h1><p>+p<p>+p<p>+s</div><div><h2>-c</h2><div><p>-s</div><div><p>-p</div></div><footer>-s</footer>",
 )
 SIZES = {"p": (25, 90), "s": (4, 16), "h": (3, 9), "i": (1, 4)}
 
@@ -208,12 +245,15 @@ def labelled_blocks(copies: int = 6, seed: int = 5, pages: tuple[str, ...] = PAG
         wanted: dict[str, bool] = {}
 
         def fill(m: re.Match, wanted: dict[str, bool] = wanted) -> str:
-            text = " ".join(word() for _ in range(r.randint(*SIZES[m[2]])))
+            if m[2] == "c":
+                text = f"{r.randint(1, 999)} {r.choice(sorted(REPLIES))}"
+            else:
+                text = " ".join(word() for _ in range(r.randint(*SIZES[m[2]])))
             text += "." if m[2] in "ps" else ""
             wanted[text] = m[1] == "+"
             return text
 
-        blocks = blocks_of(re.sub(r"([+-])([pshi])(?![a-z])", fill, page))
+        blocks = blocks_of(re.sub(r"([+-])([pshic])(?![a-z])", fill, page))
         out += [(b, all(keep for text, keep in wanted.items() if text in b.text)) for b in blocks]
     return out
 

@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+from hypothesis import given, settings, strategies as st
 
 from quantloom.llm import html_text
 from quantloom.llm.html_text import blocks_of, extract, main_text, min_cut
@@ -120,3 +121,102 @@ def test_deep_nesting_takes_linear_time():
         began = time.time()
         blocks_of(page)
         assert time.time() - began < 8
+
+
+def test_pages_within_a_form():
+    five = "".join(f"<p>{PARA} {k}" for k in range(5))
+    want = "\n".join(f"{PARA} {k}" for k in range(5))
+    nav, foot = "<nav><a href=x>Home</a> <a href=y>News</a></nav>", "<footer>All rights reserved.</footer>"
+    for inner in (f"<div id=content>{five}</div>", f"<main>{five}</main>", f"<article>{five}</article>", f"<main><fieldset>{five}</fieldset></main>", f"<fieldset><div>{five}</div></fieldset>"):
+        assert main_text(f"<body><form id=aspnetForm>{nav}{inner}{foot}</form>") == want, inner
+        assert main_text(f"<body>{nav}{inner}<form><p>Your name<fieldset><label>Mail</label> Send it now</fieldset></form>{foot}") == want, inner
+
+
+def test_links_of_an_article_stay():
+    items = "".join(f"<li><a href=/{k}>Mill number {k}</a>" for k in range(10))
+    assert main_text(f"<nav><ul><li><a href=/>Home</a></ul></nav><article><h1>Ten mills</h1><ul>{items}</ul></article><footer><a href=/>Us</a></footer>") == "Ten mills\n" + "\n".join(f"Mill number {k}" for k in range(10))
+    assert main_text(f"<article><h1>Title</h1><p>{PARA}<p><a href=x>{PARA}</a><p>{PARA}</article>") == f"Title\n{PARA}\n{PARA}\n{PARA}"
+
+
+def test_replies_without_a_class():
+    article = f"<article><h1>Title</h1><p>{PARA}<p>{PARA}</article>"
+    for head in ("3 replies", "12 Comments", "Comments (4)", "2 Kommentare", "1 réponse"):
+        page = f"<body>{article}<section><h3>{head}</h3><p>I think so too, and I said it long ago.<p>So do I, my friends and all of theirs.</section>"
+        assert main_text(page) == f"Title\n{PARA}\n{PARA}", head
+    after = f"<body><div><h1>Title</h1><p>{PARA}<h2>Responses of plants</h2><p>{PARA}</div>"
+    assert main_text(after) == f"Title\n{PARA}\nResponses of plants\n{PARA}"
+
+
+def attributes(text):
+    """A tag's attributes and where it ends, a character at a time; `text` begins after the tag's name."""
+    at, found = 0, []
+    while at < len(text) and text[at] != ">":
+        if text[at].isspace() or text[at] == "/":
+            at += 1
+            continue
+        start = at
+        at += 1
+        while at < len(text) and not text[at].isspace() and text[at] not in "/>=":
+            at += 1
+        name, value, ahead = text[start:at], "", at
+        while ahead < len(text) and text[ahead].isspace():
+            ahead += 1
+        if ahead < len(text) and text[ahead] == "=":
+            at = ahead + 1
+            while at < len(text) and text[at].isspace():
+                at += 1
+            close = text.find(text[at], at + 1) if at < len(text) and text[at] in "\"'" else -1
+            if close >= 0:
+                value, at = text[at + 1 : close], close + 1
+            else:
+                start = at
+                while at < len(text) and not text[at].isspace() and text[at] != ">":
+                    at += 1
+                value = text[start:at]
+        found.append((name, value))
+    return found, at
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(st.sampled_from("ab='\" />\n"), max_size=24))
+def test_attributes_are_those_of_a_plain_tokeniser(text):
+    found, end = attributes(text)
+    m = html_text.TAG.match("<p " + text)
+    assert m.end() == min(3 + end + 1, 3 + len(text))
+    assert [(n, "".join(v)) for n, *v in html_text.ATTRIBUTE.findall(m[3])] == found
+
+
+def test_stray_quotes_swallow_nothing():
+    for tag in ("<p title=Bob's>", "<p title=5\">", "<p it's>", "<p 'x>", '<p title="Bob>'):
+        assert main_text(f"<article>{tag}{PARA}</p><p>{PARA}</article>") == f"{PARA}\n{PARA}", tag
+    assert main_text(f"<article><p title='a > b' class=\"x>y\">{PARA}<p>{PARA}</article>") == f"{PARA}\n{PARA}"
+    began = time.time()
+    for page in ("<p a='" * 20_000, "<p " + "a" * 200_000, "<p " + "= " * 100_000, "<p a=\"" * 20_000 + "'" * 1000):
+        blocks_of(page)
+    assert time.time() - began < 8
+
+
+#: Skeletons of common publishing systems, written for this test alone: A an article's paragraph, B other text.
+OTHERS = (
+    "<div id=page class='hfeed site'><header id=masthead class=site-header><p class=site-title>B</p><nav id=site-navigation><ul><li><a>B</a></ul></nav></header><div id=content><div id=primary class=content-area><main><article class='post type-post format-standard'><header class=entry-header><h1 class=entry-title>A</h1></header><div class=entry-content><p>A<p>A<figure><img><figcaption>A</figcaption></figure><p>A</div></article><div id=comments class=comments-area><h2 class=comments-title>B</h2><ol class=comment-list><li><p>B</ol></div></main></div><aside id=secondary class=widget-area><section class=widget><h2>B</h2><ul><li><a>B</a></ul></section></aside></div><footer id=colophon class=site-footer>B</footer></div>",
+    "<form method=post id=form1><div class=header><a>B</a></div><table id=layout><tr><td class=leftnav><a>B</a><br><a>B</a></td><td class=maincol><h2>A</h2><p>A</p><p>A</p><p>A</p></td></tr></table><div class=footer>B</div></form>",
+    "<div class=region-header><ul class=menu><li><a>B</a><li><a>B</a></ul></div><div class=region-content><div class='node node-article'><h1>A</h1><div class='field field-name-body'><p>A<p>A<ul><li>A<li>A</ul><p>A</div></div></div><div class=region-sidebar-second><h2>B</h2><p>B</p></div><div class=region-footer><p>B</p></div>",
+    "<table><tr><td><a>B</a> | <a>B</a> | <a>B</a></td></tr><tr><td><h1>A</h1><p>A<p>A<p>A</td></tr><tr><td><small>B</small></td></tr></table>",
+    "<div class=wrapper><div class='navbar navbar-default'><a>B</a></div><div class=container><div class=row><div class=col-md-8><h1>A</h1><p class=lead>A</p><p>A</p><p>A</p><h2>A</h2><p>A</p></div><div class='col-md-4 sidebar'><div class=well><h4>B</h4><p>B</p></div></div></div></div></div>",
+)
+
+
+def test_precision_and_recall_on_other_skeletons():
+    r, right, found, wanted = random.Random(4), 0, 0, 0
+    for k, page in enumerate(OTHERS * 20):
+        n, keep, drop = itertools.count(), set(), set()
+
+        def fill(m):
+            text = f"t{next(n)} " + " ".join(r.choice(("river", "mill", "stone", "old", "winter", "and", "of")) for _ in range(r.randint(12, 60) if m[1] == "<p" or "lead" in m[1] else r.randint(2, 6)))  # noqa: B023
+            (keep if m[3] == "A" else drop).add(text)  # noqa: B023
+            return f"{m[1]}{m[2]}>{text}"
+
+        got = set(main_text(re.sub(r"(<[a-z0-9]+)([^>]*)>([AB])(?=<)", fill, page)).split("\n"))
+        right, found, wanted = right + len(got & keep), found + len(got), wanted + len(keep)
+    print(f"blocks of other skeletons: recall {right / wanted:.3f}, precision {right / found:.3f}")
+    assert right >= 0.95 * wanted and right >= 0.95 * found
