@@ -5,12 +5,17 @@ A range has an instrument, timeframe, range_id, high, low and the index of its l
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.scalars import squashed, true_range
+from ..functions.scalars import canonical_json, squashed, true_range
+from ..sources.event_files import EVENT_COLUMNS, SCHEMA_VERSION
 from ..sources.tables import SERIES, placed
 from .balances import BLOCK, within
-from .bars import lead_atr
+from .levels import dated_events, enriched
+
+LEVELS = ("ml_nearest_support", "ml_nearest_resistance", "ml_distance_to_level", "ml_cluster_strength", "ml_density", "ml_alignment_score")
 
 c = F.col
 
@@ -70,9 +75,26 @@ def near_bars(events: DataFrame, bars: DataFrame, first: int, last: int, name: s
     return got.select("event.*", name)
 
 
+AROUND = ("time", "open", "high", "low", "close", "volume", "delta")
+
+
+def _near(events: DataFrame, bars: DataFrame, first: int, last: int, name: str, *columns: str) -> DataFrame:
+    """The same from the bars around an event that it holds already, if it does."""
+    if "around" not in events.columns:
+        return near_bars(events, bars, first, last, name, *columns)
+    return events.withColumn(name, F.filter("around", lambda x: x["bar_index"].between(c("bar_index") + first, c("bar_index") + last)))
+
+
+def mean_range(of: Column, period: int) -> Column:
+    """Mean true range of the last `period` bars of an array, each after the bar before it; 0 for one bar."""
+    n, at = F.size(of), lambda k: F.element_at(of, k.cast("int"))
+    ranges = F.transform(F.sequence(F.greatest(n - period + 1, F.lit(2)), n), lambda k: true_range(at(k)["high"], at(k)["low"], at(k - 1)["close"]))
+    return F.when(n > 1, F.try_divide(F.aggregate(ranges, F.lit(0.0), lambda s, x: s + x), F.size(ranges))).otherwise(0.0)
+
+
 def follow_through(events: DataFrame, bars: DataFrame, observation_bars: int = 40) -> DataFrame:
     """How far, how long and how steadily closes went on after a breakout; places count from 0 at the next bar."""
-    out = near_bars(events, bars, 1, observation_bars, "ahead", "close", "volume")
+    out = _near(events, bars, 1, observation_bars, "ahead", "close", "volume")
     p = F.transform("ahead", lambda x: x["close"])
     up, boundary = c("direction") == "up", c("boundary_price")
     out = out.withColumn("_p", p).withColumns({"_top": F.array_max("_p"), "_bottom": F.array_min("_p")})
@@ -117,7 +139,7 @@ def classified(events: DataFrame, failure_retrace: float = 0.8, retest_window: i
 def confirmed(events: DataFrame, bars: DataFrame, closes: int = 2, max_bars: int = 10, delta_min: float | None = None) -> DataFrame:
     """Events with the bar at which so many closes in a row lay beyond the boundary, and with delta_min their deltas' sum too;
     confirmation_bar_index is NULL for those never confirmed. The fold over the next bars keeps run length and sum."""
-    out = near_bars(events, bars, 1, max_bars, "ahead", "close", "delta")
+    out = _near(events, bars, 1, max_bars, "ahead", "close", "delta")
     up = c("direction") == "up"
     zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("d"), F.lit(0).alias("k"), F.lit(0).alias("at"))
 
@@ -151,41 +173,47 @@ def strength(
     volume_bars: int = 30,
     atr_period: int = 14,
     cap: float = 3.0,
+    volume_cap: float | None = None,
+    vpoc_reference: float = 0.5,
+    level_tolerance: float = 0.1,
+    atr_factor: float = 1.0,
 ) -> DataFrame:
     """Momentum, delta, volume, volatility, distance and low-volume-level scores, each at most 1, their weighted sum (raw) and its
     normalised form, and whether the range passes the volatility filter.
 
+    Delta is capped at `cap` times its mean and volume at `volume_cap` times (None: the same); a distance of `vpoc_reference` ranges
+    counts whole, a level within `level_tolerance` ranges of the price is broken, and an ATR of `atr_factor` ranges counts whole.
+
     Of the range, events may have vpoc, lvn (levels), midpoint, compression_ratio and stability_score. Without vpoc or midpoint
     the range's middle counts; without lvn the sixth score is 0; without the last two every range passes. Without ATR, momentum
     stands for volatility.
     """
     has = lambda name, other: c(name) if name in events.columns else other
     w, reach = {**WEIGHTS, **weights}, max(delta_bars, volume_bars, atr_period)
-    out = near_bars(events, bars, -reach, 0, "behind", "open", "high", "low", "close", "volume", "delta")
+    out = _near(events, bars, -reach, 0, "behind", "open", "high", "low", "close", "volume", "delta")
     n = F.size("behind")
     at = lambda k: F.element_at("behind", k)
     mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))
     last = lambda name, k: F.transform(F.slice("behind", F.greatest(n - k, F.lit(1)), F.lit(k + 1)), lambda x: x[name])
-    turns = F.sequence(F.greatest(n - atr_period + 1, F.lit(2)), n)
-    ranges = F.transform(turns, lambda k: true_range(at(k.cast("int"))["high"], at(k.cast("int"))["low"], at((k - 1).cast("int"))["close"]))
     size = F.greatest(c("range_high") - c("range_low"), F.lit(1e-6))
     middle = has("midpoint", (c("range_high") + c("range_low")) / 2)
-    capped = lambda x, m: F.least(F.when(m > 0, F.try_divide(x, m)).otherwise(0.0), F.lit(cap)) / cap
-    out = out.withColumn("atr_before", F.when(n > 1, mean(ranges)).otherwise(0.0))
+    capped = lambda x, m, most: F.least(F.when(m > 0, F.try_divide(x, m)).otherwise(0.0), F.lit(most)) / max(most, 1e-6)
+    out = out.withColumn("atr_before", mean_range(c("behind"), atr_period))
+    escape = F.abs(c("breakout_price") - has("vpoc", middle)) / (vpoc_reference * size) if vpoc_reference > 0 else F.lit(0.0)
     out = out.withColumns(
         {
             "momentum_score": F.least(F.abs(c("breakout_price") - F.when(n > 1, F.try_element_at("behind", F.lit(-2))["close"]).otherwise(at(-1)["open"])) / size, F.lit(1.0)),
-            "delta_imbalance_score": capped(F.abs("initial_delta"), mean(F.transform(last("delta", delta_bars), F.abs))),
-            "volume_spike_score": capped(c("initial_volume"), mean(last("volume", volume_bars))),
-            "distance_from_vpoc_score": F.least(F.abs(c("breakout_price") - has("vpoc", middle)) / (0.5 * size), F.lit(1.0)),
+            "delta_imbalance_score": capped(F.abs("initial_delta"), mean(F.transform(last("delta", delta_bars), F.abs)), cap),
+            "volume_spike_score": capped(c("initial_volume"), mean(last("volume", volume_bars)), cap if volume_cap is None else volume_cap),
+            "distance_from_vpoc_score": F.least(escape, F.lit(1.0)),
         }
     )
     if "lvn" in events.columns:
         ahead = F.filter("lvn", lambda p: F.when(c("direction") == "up", p >= middle).otherwise(p <= middle))
-        out = out.withColumn("hvn_lvn_break_score", F.coalesce(F.exists(ahead, lambda p: F.abs(c("breakout_price") - p) <= 0.1 * size), F.lit(False)).cast("double"))
+        out = out.withColumn("hvn_lvn_break_score", F.coalesce(F.exists(ahead, lambda p: F.abs(c("breakout_price") - p) <= level_tolerance * size), F.lit(False)).cast("double"))
     else:
         out = out.withColumn("hvn_lvn_break_score", F.lit(0.0))
-    moved = F.least(c("atr_before") / size, F.lit(1.0)) if use_atr else c("momentum_score")
+    moved = F.least(c("atr_before") / size / max(atr_factor, 1e-6), F.lit(1.0)) if use_atr else c("momentum_score")
     if volatility_filter and {"compression_ratio", "stability_score"} <= set(events.columns):
         f, ratio, stable = volatility_filter, c("compression_ratio"), c("stability_score")
         passes = (ratio >= f["min_compression"]) & (ratio <= f["max_compression"]) & (stable >= f["min_stability"])
@@ -207,15 +235,21 @@ EVENT = (
 FOLLOWED = ("max_excursion", "max_excursion_bars", "close_after_n_bars", "retracement_depth", "retracement_bars", "time_to_retest_boundary", "failure_bars_from_breakout", "failure_price", "post_breakout_volatility", "post_breakout_volume_mean")
 
 
-def assembled(bars: DataFrame, found: DataFrame, mode: str = "close_only", post_bars: int = 60, observation_bars: int = 40, closes: int = 2, **strong: object) -> DataFrame:
+#: Bars after a breakout at which its second ATR is taken.
+AFTER = 5
+
+
+def assembled(bars: DataFrame, found: DataFrame, mode: str = "close_only", post_bars: int = 60, observation_bars: int = 40, closes: int = 2, confirm_bars: int = 10, **strong: object) -> DataFrame:
     """From balances (balances.detected, with equilibrium and pre_breakout_score) to whole events: the first breakout of each, its
     strength, follow-through, class and confirmation, with what is told of the balance, as nested columns in the contract's order."""
     signal = F.struct("compression_score", "lvn_proximity_score", c("volatility_score").alias("volatility_increase_score"), "delta_bias_score", "pre_total_score", "is_candidate")
     ranges = found.withColumns({"range_id": c("balance_id"), "vpoc": c("poc_price"), "balance_range_size": c("range_size"), "pre_breakout_signal": signal})
     broken = breakouts(bars, ranges, mode, post_bars, ("vpoc", "hvn", "lvn", "midpoint", "balance_range_size", "compression_ratio", "stability_score", "equilibrium_score", "pre_breakout_signal"))
-    out = confirmed(classified(follow_through(strength(broken, bars, **strong), bars, observation_bars)), bars, closes)
-    after = lead_atr(placed(bars)).select(*SERIES, "bar_index", "atr_after")
-    out = out.join(after, [*SERIES, "bar_index"])
+    period = int(strong.get("atr_period", 14))
+    reach = max(int(strong.get("delta_bars", 20)), int(strong.get("volume_bars", 30)), period)
+    broken = near_bars(broken, bars, -reach, max(observation_bars, AFTER, confirm_bars), "around", *AROUND)
+    out = confirmed(classified(follow_through(strength(broken, bars, **strong), bars, observation_bars)), bars, closes, confirm_bars)
+    out = out.withColumn("atr_after", mean_range(F.filter("around", lambda x: x["bar_index"] <= c("bar_index") + AFTER), period))
     scores = [f"{n}_score" for n in WEIGHTS]
     tags = F.filter(F.array(F.lit("structural"), F.when(c("volatility_filter_pass"), "volatility_confirmed").otherwise("volatility_rejected"), F.when(c("confirmation_bar_index").isNotNull(), "confirmed")), lambda x: x.isNotNull())
     renamed = {"range_id": "parent_balance_id", "bar_index": "breakout_bar_index", "range_high": "balance_high", "range_low": "balance_low", "midpoint": "balance_midpoint", "vpoc": "balance_vpoc", "hvn": "balance_hvn", "lvn": "balance_lvn", "equilibrium_score": "balance_equilibrium_score"}
@@ -233,16 +267,18 @@ def assembled(bars: DataFrame, found: DataFrame, mode: str = "close_only", post_
 
 def early_signs(events: DataFrame, lower: DataFrame, since: str, min_run: int = 1, penetration: float = 0.0, max_lead_minutes: float = 600) -> DataFrame:
     """The first run of min_run closes beyond the boundary on a lower timeframe, from `since` to the breakout; only the first run
-    counts, and only within the lead. The two series meet on instrument and date."""
+    counts, and only within the lead. The two series meet on instrument and date. Where the lower bars have their places, the
+    first one's comes along as early_bar_index."""
     dates = F.explode(F.sequence(F.to_date(since), F.to_date("breakout_time"))).alias("_date")
     spans = events.select("instrument", "range_id", "direction", "boundary_price", "breakout_time", c(since).alias("_since"), dates)
-    ticks = lower.select("instrument", c("time").alias("low_time"), c("close").alias("low_close"), F.to_date("time").alias("_date"))
+    place = [c("bar_index").alias("low_index")] if "bar_index" in lower.columns else []
+    ticks = lower.select("instrument", c("time").alias("low_time"), c("close").alias("low_close"), F.to_date("time").alias("_date"), *place)
     near = ticks.join(spans, ["instrument", "_date"]).where((c("low_time") >= c("_since")) & (c("low_time") < c("breakout_time")))
     beyond = F.when(c("direction") == "up", c("low_close") > c("boundary_price") + penetration).otherwise(c("low_close") < c("boundary_price") - penetration)
     w = W.partitionBy("instrument", "range_id").orderBy("low_time")
     runs = near.withColumn("_in", beyond).withColumn("_run", F.sum(F.when(c("_in"), 0).otherwise(1)).over(w)).where("_in")
-    first = runs.groupBy("instrument", "range_id", "_run", "breakout_time").agg(F.count(F.lit(1)).alias("n"), F.min("low_time").alias("early_time"), F.min_by("low_close", "low_time").alias("early_price")).where(c("n") >= min_run)
-    one = first.groupBy("instrument", "range_id", "breakout_time").agg(F.min("early_time").alias("early_time"), F.min_by("early_price", "early_time").alias("early_price"))
+    first = runs.groupBy("instrument", "range_id", "_run", "breakout_time").agg(F.count(F.lit(1)).alias("n"), F.min("low_time").alias("early_time"), F.min_by("low_close", "low_time").alias("early_price"), *(F.min("low_index").alias("early_bar_index") for _ in place)).where(c("n") >= min_run)
+    one = first.groupBy("instrument", "range_id", "breakout_time").agg(F.min("early_time").alias("early_time"), F.min_by("early_price", "early_time").alias("early_price"), *(F.min("early_bar_index").alias("early_bar_index") for _ in place))
     lead = F.timestamp_diff("SECOND", c("early_time"), c("breakout_time")) / 60
     return one.withColumn("lead_minutes", lead).where(c("lead_minutes") <= max_lead_minutes)
 
@@ -266,6 +302,9 @@ def rotation_context(events: DataFrame, rotations: DataFrame) -> DataFrame:
         F.coalesce(F.sum("volume"), F.lit(0.0)).alias("total_volume"),
         F.max_by("way", "rotation_index").alias("last_rotation_direction"),
         F.max_by("rotation_type", "rotation_index").alias("last_rotation_type"),
+        F.coalesce(F.max_by("delta", "rotation_index"), F.lit(0.0)).alias("last_rotation_delta"),
+        F.coalesce(F.max_by("volume", "rotation_index"), F.lit(0.0)).alias("last_rotation_volume"),
+        F.coalesce(F.max_by("valid", "rotation_index"), F.lit(False)).alias("last_rotation_valid"),
         F.coalesce(F.try_divide(F.sum(F.when(aligned, weight).otherwise(0.0)), F.sum(weight)), F.lit(0.0)).alias("rotation_alignment_score"),
     )
     share = lambda x: x / F.greatest(c("total_rotations"), F.lit(1))
@@ -276,3 +315,58 @@ def ranked(events: DataFrame) -> DataFrame:
     """Rank by strength within the instrument, and within its day."""
     by = F.desc("overall_strength_score")
     return events.withColumns({"global_rank": F.rank().over(W.partitionBy("instrument").orderBy(by)), "session_rank": F.rank().over(W.partitionBy("instrument", F.to_date("breakout_time")).orderBy(by))})
+
+
+#: What an event says where nothing is known, and the version of its producer.
+UNKNOWN = {"session_id": "unknown", "version": "0.2.0", "bars_observed": 0}
+
+
+def whole(
+    events: DataFrame,
+    found: DataFrame,
+    members: DataFrame,
+    lower: DataFrame | None = None,
+    session_levels: DataFrame | None = None,
+    config: dict | None = None,
+    computed: dt.datetime | None = None,
+    early: dict | None = None,
+) -> DataFrame:
+    """Events by the whole contract, its columns in its order: `assembled` events with the context of their balance's rotations, early
+    signs on a lower timeframe, ranks by strength, and the levels of their session.
+
+    `found` are the balances and `members` the rotations of their clusters; without lower bars or levels the columns are NULL, as
+    are those that no step of the chain tells. `early` has min_run, penetration, max_lead_minutes and the lower timeframe's name.
+    """
+    early = dict(early or {})
+    frame = early.pop("timeframe", None)
+    out = events.withColumns({"range_id": c("parent_balance_id"), "overall_strength_score": c("strength_components.overall_strength_score")})
+    out = ranked(out)
+    turns = members.withColumn("range_id", F.concat_ws("_", F.lit("bal"), "instrument", "cluster"))
+    told = rotation_context(out, turns)
+    out = out.join(told.select("breakout_id", F.struct(*(n for n in told.columns if n != "breakout_id")).alias("rotation_context")), "breakout_id", "left")
+    null = lambda kind: F.lit(None).cast(kind)
+    if lower is None:
+        out = out.withColumns({"early_time": null(events.schema["breakout_time"].dataType), "early_price": null("double"), "early_bar_index": null("long"), "lead_minutes": null("double")})
+    else:
+        since = found.select(c("balance_id").alias("range_id"), c("start_time").alias("_since"))
+        signs = early_signs(out.join(since, "range_id"), placed(lower), "_since", **early)
+        out = out.join(signs.select("range_id", "early_time", "early_price", "early_bar_index", "lead_minutes"), "range_id", "left")
+    if session_levels is None:
+        out = out.withColumns({n: null("double") for n in LEVELS})
+    else:
+        near = enriched(dated_events(out.select("breakout_id", "instrument", "breakout_time", "breakout_price", "direction")), session_levels)
+        out = out.join(near.select("breakout_id", *LEVELS), "breakout_id", "left")
+    signed = F.when(c("early_time").isNotNull(), F.array(F.lit("early_detected"), F.format_string("early_%.1fm", c("lead_minutes")))).otherwise(F.array().cast("array<string>"))
+    bias = F.coalesce(c("rotation_context.directional_bias"), F.lit(0.0))
+    made = {
+        "early_timeframe": F.when(c("early_time").isNotNull(), F.lit(frame)),
+        "minutes_of_anticipation": c("lead_minutes"),
+        "tags": F.concat("tags", signed, F.array(F.format_string("rot_bias=%.2f", bias))),
+        "config_snapshot": F.lit(canonical_json(config or {})),
+        "computation_timestamp": F.lit(computed).cast("timestamp") if computed else F.current_timestamp(),
+        "schema_version": F.lit(SCHEMA_VERSION),
+        **{n: F.lit(v) for n, v in UNKNOWN.items()},
+    }
+    out = out.withColumns(made)
+    absent = {"confirmation_time": events.schema["breakout_time"].dataType, "symbol": "string", "notes": "string", "post_breakout_volume_profile": "string"}
+    return out.select(*(c(n) if n in out.columns else null(absent.get(n, "double")).alias(n) for n in EVENT_COLUMNS))

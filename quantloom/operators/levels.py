@@ -186,6 +186,13 @@ def level_features(events: DataFrame, near: float = 50.0) -> DataFrame:
     return out.withColumn("ml_distance_atr", ratio(F.col("ml_distance_to_level"), F.col("atr_before"))) if "atr_before" in out.columns else out
 
 
+def dated_events(events: DataFrame, sessions: tuple = SESSIONS) -> DataFrame:
+    """Events with their date and the first session that their time lies in; 'off' outside all."""
+    minute = F.hour("breakout_time") * 60 + F.minute("breakout_time")
+    names = F.filter(F.array(*(F.when(in_session(minute, a, z), n) for n, a, z in sessions)), lambda x: x.isNotNull())
+    return events.withColumns({"date": F.to_date("breakout_time"), "session_name": F.coalesce(F.try_element_at(names, F.lit(1)), F.lit("off"))})
+
+
 def enriched(events: DataFrame, levels: DataFrame) -> DataFrame:
     """Events with the levels of their instrument, date and session, names compared in lower case; of several rows the last written
     (by `written` if there is one) counts, and an event without a match keeps NULLs."""

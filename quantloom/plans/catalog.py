@@ -243,7 +243,7 @@ register("early_detection", _early, f"WITH {CLOSE_ONLY}, {LOWER}, q AS (SELECT e
 
 def _rotation_context(s: SparkSession, d: str) -> DataFrame:
     r = rot.rotations(bars(s, d)).withColumn("range_id", F.concat_ws("_", "instrument", F.date_format("start_time", "yyyy-MM-dd")))
-    return bo.rotation_context(events(s, d), r).drop("total_delta", "total_volume", "last_rotation_direction", "last_rotation_type")
+    return bo.rotation_context(events(s, d), r).drop("total_delta", "total_volume", "last_rotation_direction", "last_rotation_type", "last_rotation_delta", "last_rotation_volume", "last_rotation_valid")
 
 
 register(
@@ -281,8 +281,7 @@ register("week_context_causal", lambda s, d: levels.weekly(bars(s, d), True), f"
 
 
 def _events_with_levels(s: SparkSession, d: str) -> DataFrame:
-    sessions = F.filter(F.array(*(F.when(levels.in_session(F.hour("breakout_time") * 60, a, z), n) for n, a, z in levels.SESSIONS)), lambda x: x.isNotNull())
-    placed = events(s, d).withColumns({"date": F.to_date("breakout_time"), "session_name": F.coalesce(F.try_element_at(sessions, F.lit(1)), F.lit("off"))})
+    placed = levels.dated_events(events(s, d))
     narrow = levels.ohlc(levels.by_session(bars(s, d)), [*DAYS, "session_name"]).select(*DAYS, F.upper("session_name").alias("session_name"), c("low").alias("session_low"), c("high").alias("session_high"), c("close").alias("session_close"))
     day = levels.ohlc(dated(s, d), DAYS).select(*DAYS, c("low").alias("day_low"), c("high").alias("day_high"))
     return levels.enriched(placed.select("range_id", "instrument", "date", "session_name", "breakout_price", "direction"), narrow.join(day, DAYS))

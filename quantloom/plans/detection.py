@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalars
 from ..operators import balances, breakouts as bo, dashboards as dash, features as feat, insights, levels, rotations as rot
-from ..sources.tables import bars, facts, table
+from ..sources.stash import stash
+from ..sources.tables import bars, facts, indexed, table
 from . import spec
 from .catalog import BARS, BYSESSION, FACTS, GAPS, ROTATIONS, TYPICAL, _rates, c, register
 
@@ -15,13 +18,22 @@ GAP_BARS, WIDTH, BIN = 240, 300.0, 20.0
 # --- balances --------------------------------------------------------------------------------------------------------
 
 
-def members(s: SparkSession, d: str) -> DataFrame:
-    return balances.clustered(rot.rotations(bars(s, d)), max_gap_bars=GAP_BARS, max_width=WIDTH)
+def series(s: SparkSession, d: str) -> DataFrame:
+    """The bars with their places, written once: all steps of the chain read them."""
+    return stash(indexed(bars(s, d)))
+
 
+def members(b: DataFrame) -> DataFrame:
+    return balances.clustered(rot.rotations(b), max_gap_bars=GAP_BARS, max_width=WIDTH)
 
-def found(s: SparkSession, d: str) -> DataFrame:
+
+def found(b: DataFrame) -> DataFrame:
     """Balances with profile, volatility and equilibrium score."""
-    return balances.equilibrium(balances.detected(bars(s, d), members(s, d), BIN, around=20.0))
+    return balances.equilibrium(balances.detected(b, members(b), BIN, around=20.0))
+
+
+def of_series(make: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: make(series(s, d))
 
 
 WALK = f"""{ROTATIONS}, lh AS (SELECT *, least(start_price, end_price) AS lo, greatest(start_price, end_price) AS hi FROM ro),
@@ -54,32 +66,32 @@ fo AS (SELECT bal.*, high - low AS size, (high + low) / 2 AS mid, ps.* EXCLUDE (
 eq AS (SELECT *, greatest(least(0.2 * greatest(1 - abs(size / greatest(profile_width, 1e-9) - 1), 0) + 0.2 * greatest(1 - abs(asymmetry) / 0.5, 0) + 0.25 * least(density / 0.4, 1) + 0.15 * greatest(1 - abs(len(hvn) / n_levels - 0.25) / 0.25, 0)
   + 0.1 * greatest(1 - abs(len(lvn) / n_levels - 0.15) / 0.15, 0) + 0.1 * CASE WHEN edge <= 0.1 THEN 1 ELSE greatest(1 - (edge - 0.1) / 0.1, 0) END, 1), 0) AS equilibrium_score FROM fo)"""
 
-register("balances", lambda s, d: balances.balances(bars(s, d), members(s, d)).drop("rotations", "timeframe", "valid_rotations", "avg_candle_range"), f"WITH RECURSIVE {WALK} SELECT instrument, cluster, start_index, end_index, start_time, end_time, high, low, bar_count, round(volume, 6) AS volume, round(delta, 6) AS delta, rotation_count, round(high - low, 6) AS range_size, round((high + low) / 2, 6) AS midpoint, 'bal_' || instrument || '_' || cluster AS balance_id FROM bal")
+register("balances", of_series(lambda b: balances.balances(b, members(b)).drop("rotations", "timeframe", "valid_rotations", "avg_candle_range")), f"WITH RECURSIVE {WALK} SELECT instrument, cluster, start_index, end_index, start_time, end_time, high, low, bar_count, round(volume, 6) AS volume, round(delta, 6) AS delta, rotation_count, round(high - low, 6) AS range_size, round((high + low) / 2, 6) AS midpoint, 'bal_' || instrument || '_' || cluster AS balance_id FROM bal")
 register(
     "cluster_filters",
-    lambda s, d: balances.filtered(members(s, d), 3, 120, 50.0, 280.0).select("instrument", "rotation_index", "cluster"),
+    of_series(lambda b: balances.filtered(members(b), 3, 120, 50.0, 280.0).select("instrument", "rotation_index", "cluster")),
     f"WITH RECURSIVE {WALK}, m AS (SELECT instrument, cluster FROM walk JOIN lh USING (instrument, rotation_index) GROUP BY ALL HAVING count(*) >= 3 AND epoch(max(lh.end_time) - min(start_time)) / 60 >= 120 AND max(lh.hi) - min(lh.lo) BETWEEN 50 AND 280) SELECT instrument, rotation_index, cluster FROM walk JOIN m USING (instrument, cluster)",
 )
 MOMENTS = "round(m3 / sqrt(m2) ** 3, 6) AS skewness, round(m4 / sqrt(m2) ** 4, 6) AS kurtosis, round(concentration, 6) AS concentration, round((above - below) / total, 6) AS asymmetry, round(density, 6) AS density_around_mid"
 register(
     "balance_profile",
-    lambda s, d: balances.profile(balances.inside(bars(s, d), members(s, d)), balances.KEYS, BIN, around=20.0).select("instrument", "cluster", "total_volume", "poc_price", "poc_volume", F.size("hvn").alias("hvn"), F.size("lvn").alias("lvn"), "skewness", "kurtosis", "concentration", "asymmetry", "density_around_mid", "volume_lower_boundary", "volume_upper_boundary", "profile_width"),
+    of_series(lambda b: balances.profile(balances.inside(b, members(b)), balances.KEYS, BIN, around=20.0).select("instrument", "cluster", "total_volume", "poc_price", "poc_volume", F.size("hvn").alias("hvn"), F.size("lvn").alias("lvn"), "skewness", "kurtosis", "concentration", "asymmetry", "density_around_mid", "volume_lower_boundary", "volume_upper_boundary", "profile_width")),
     f"WITH RECURSIVE {FOUND} SELECT instrument, cluster, round(total, 6) AS total_volume, round(poc, 6) AS poc_price, round(pocv, 6) AS poc_volume, len(hvn) AS hvn, len(lvn) AS lvn, {MOMENTS}, round(vl, 6) AS volume_lower_boundary, round(vu, 6) AS volume_upper_boundary, round(profile_width, 6) AS profile_width FROM ps",
 )
 register(
     "balance_volatility",
-    lambda s, d: balances.volatility(balances.inside(bars(s, d), members(s, d)), balances.KEYS).drop("timeframe"),
+    of_series(lambda b: balances.volatility(balances.inside(b, members(b)), balances.KEYS).drop("timeframe")),
     f"WITH RECURSIVE {FOUND} SELECT instrument, cluster, round(atr, 6) AS internal_atr, round(sd, 6) AS internal_volatility, round(rsd, 6) AS recent_volatility, round(comp, 6) AS compression_ratio, round(stab, 6) AS stability_score FROM fo",
 )
 register(
     "balance_kinds",
-    lambda s, d: balances.kinds(found(s, d), wide=1.2).select("instrument", "cluster", "is_compressed", "is_wide", "is_standard", "is_asymmetric", "is_center_heavy", "is_edge_heavy"),
+    of_series(lambda b: balances.kinds(found(b), wide=1.2).select("instrument", "cluster", "is_compressed", "is_wide", "is_standard", "is_asymmetric", "is_center_heavy", "is_edge_heavy")),
     f"WITH RECURSIVE {FOUND}, k AS (SELECT *, size / greatest(profile_width, 1e-9) AS r FROM fo) SELECT instrument, cluster, r <= 0.25 AS is_compressed, r > 0.25 AND r >= 1.2 AS is_wide, r > 0.25 AND r < 1.2 AS is_standard, abs(asymmetry) >= 0.25 AS is_asymmetric, density >= 0.35 AS is_center_heavy, edge >= 0.2 AS is_edge_heavy FROM k",
 )
-register("balance_equilibrium", lambda s, d: found(s, d).select("instrument", "cluster", "equilibrium_score"), f"WITH RECURSIVE {FOUND} SELECT instrument, cluster, round(equilibrium_score, 6) AS equilibrium_score FROM eq")
+register("balance_equilibrium", of_series(lambda b: found(b).select("instrument", "cluster", "equilibrium_score")), f"WITH RECURSIVE {FOUND} SELECT instrument, cluster, round(equilibrium_score, 6) AS equilibrium_score FROM eq")
 register(
     "pre_breakout_signals",
-    lambda s, d: balances.before_breakout(found(s, d), pickup=1.05).select("instrument", "cluster", "volatility_pickup", "boundary_volume_drop", "lvn_near_boundaries", "directional_bias", "is_pre_breakout"),
+    of_series(lambda b: balances.before_breakout(found(b), pickup=1.05).select("instrument", "cluster", "volatility_pickup", "boundary_volume_drop", "lvn_near_boundaries", "directional_bias", "is_pre_breakout")),
     f"WITH RECURSIVE {FOUND}, k AS (SELECT *, sd > 0 AND rsd > 1.05 * sd AS a, total / n_levels > 0 AND vl + vu < 0.5 * total / n_levels AS b, len(list_filter(lvn, lambda p: abs(p - low) <= 0.1 * size OR abs(p - high) <= 0.1 * size)) > 0 AS l, CASE WHEN upper > 1.2 THEN 'up' WHEN upper < 1 / 1.2 THEN 'down' ELSE 'neutral' END AS w FROM fo) "
     "SELECT instrument, cluster, a AS volatility_pickup, b AS boundary_volume_drop, l AS lvn_near_boundaries, w AS directional_bias, a::INT + b::INT + l::INT + (w <> 'neutral')::INT >= 2 AS is_pre_breakout FROM k",
 )
@@ -87,7 +99,7 @@ PRE = {"compression": 0.3, "lvn_proximity": 0.2, "volatility": 0.3, "delta_bias"
 PRE_SCORED = "pr AS (SELECT *, least(comp, 1) AS compression_score, CASE WHEN len(lvn) = 0 OR size = 0 THEN 0 ELSE 1 - least(list_min(list_transform(lvn, lambda p: abs(mid - p))) / size / 0.5, 1) END AS lvn_proximity_score, CASE WHEN size = 0 THEN 0 ELSE least(sd / (size / bar_count) / 1.0, 1) END AS volatility_increase_score, CASE WHEN total = 0 THEN 0 ELSE least(abs(delta) / total / 0.2, 1) END AS delta_bias_score FROM eq)"
 register(
     "pre_breakout_score",
-    lambda s, d: balances.pre_breakout_score(found(s, d), PRE).select("instrument", "cluster", "compression_score", "lvn_proximity_score", "volatility_score", "delta_bias_score", "pre_total_score", "is_candidate"),
+    of_series(lambda b: balances.pre_breakout_score(found(b), PRE).select("instrument", "cluster", "compression_score", "lvn_proximity_score", "volatility_score", "delta_bias_score", "pre_total_score", "is_candidate")),
     f"WITH RECURSIVE {FOUND}, {PRE_SCORED}, t AS (SELECT *, 0.3 * compression_score + 0.2 * lvn_proximity_score + 0.3 * volatility_increase_score + 0.2 * delta_bias_score AS s FROM pr) SELECT instrument, cluster, round(compression_score, 6) AS compression_score, round(lvn_proximity_score, 6) AS lvn_proximity_score, round(volatility_increase_score, 6) AS volatility_score, round(delta_bias_score, 6) AS delta_bias_score, round(s, 6) AS pre_total_score, s >= 0.5 AS is_candidate FROM t",
 )
 
@@ -97,9 +109,22 @@ register(
 SOFT = {"min_compression": 0.1, "max_compression": 1.0, "min_stability": 0.6, "soft_penalty": 0.3}
 
 
+EARLY = {"min_run": 1, "max_lead_minutes": 600.0, "timeframe": "15 minutes"}
+
+
 def chain(s: SparkSession, d: str) -> DataFrame:
-    """Whole events: the first break of each balance with all that is told of it."""
-    return bo.assembled(bars(s, d), balances.pre_breakout_score(found(s, d), PRE), volatility_filter=SOFT)
+    """Events: the first break of each balance with its strength, follow-through, class and confirmation."""
+    b = series(s, d)
+    return bo.assembled(b, balances.pre_breakout_score(found(b), PRE), volatility_filter=SOFT)
+
+
+def whole_chain(s: SparkSession, d: str) -> DataFrame:
+    """Whole events by the contract: the same, with rotations, early signs, ranks and levels."""
+    b = series(s, d)
+    m = stash(members(b))
+    made = stash(balances.pre_breakout_score(balances.equilibrium(balances.detected(b, m, BIN, around=20.0)), PRE))
+    events = bo.assembled(b, made, volatility_filter=SOFT)
+    return bo.whole(events, made, m, indexed(bars(s, d, EARLY["timeframe"])), levels.session_levels(b, bin_size=25.0), config={"mode": "close_only"}, early=EARLY)
 
 
 CHAIN = f"""{FOUND}, {PRE_SCORED},
@@ -129,6 +154,18 @@ register(
 )
 register("chain_strength", lambda s, d: chain(s, d).select("breakout_id", "strength_components.*"), f"WITH RECURSIVE {CHAIN}, t AS (SELECT *, {RAW} AS raw FROM sc) SELECT 'bo_' || range_id || '_' || bar_index AS breakout_id, {', '.join(f'round({x}, 6) AS {x}' for x in SIX)}, round(raw, 6) AS overall_strength_score, round(greatest(least(raw / 5, 1), 0), 6) AS overall_strength_normalized, passes AS volatility_filter_pass FROM t")
 
+LOWER = "lb AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY lt) - 1 AS k FROM (SELECT event_type AS instrument, time_bucket(INTERVAL 15 MINUTE, ts) AS lt, last(value ORDER BY ts, event_id) AS lc FROM events GROUP BY ALL))"
+register(
+    "whole_events",
+    lambda s, d: whole_chain(s, d).select(
+        "breakout_id", "session_id", "version", "schema_version", "bars_observed", "early_time", "early_price", "early_bar_index", "early_timeframe", "minutes_of_anticipation", "global_rank", "session_rank", c("rotation_context.total_rotations").alias("total_rotations"), c("rotation_context.up_count").alias("up_count"), c("rotation_context.last_rotation_direction").alias("last_rotation_direction"), F.size("tags").alias("n_tags"),
+    ),
+    f"WITH RECURSIVE {CHAIN}, {LOWER}, er AS (SELECT range_id, min(lt) AS early_time, arg_min(lc, lt) AS early_price, arg_min(k, lt) AS k, (epoch(any_value(breakout_time)) - epoch(min(lt))) / 60 AS lead FROM sc JOIN ib s ON s.instrument = sc.instrument AND s.bar_index = sc.start_index JOIN lb ON lb.instrument = sc.instrument AND lt >= s.time AND lt < breakout_time AND ((sc.direction = 'up' AND lc > b) OR (sc.direction = 'down' AND lc < b)) GROUP BY ALL HAVING lead <= 600), "
+    f"rc AS (SELECT instrument, cluster, count(*) AS n, count(*) FILTER (direction = 'up') AS u, arg_max(direction, rotation_index) AS way FROM walk JOIN ro USING (instrument, rotation_index) GROUP BY ALL), w AS (SELECT *, {RAW} AS raw FROM sc) "
+    "SELECT 'bo_' || range_id || '_' || bar_index AS breakout_id, 'unknown' AS session_id, '0.2.0' AS version, '1.1.0' AS schema_version, 0 AS bars_observed, early_time, round(early_price, 6) AS early_price, k AS early_bar_index, CASE WHEN early_time IS NOT NULL THEN '15 minutes' END AS early_timeframe, round(lead, 6) AS minutes_of_anticipation, "
+    "rank() OVER (PARTITION BY instrument ORDER BY raw DESC) AS global_rank, rank() OVER (PARTITION BY instrument, CAST(breakout_time AS DATE) ORDER BY raw DESC) AS session_rank, n AS total_rotations, u AS up_count, way AS last_rotation_direction, 3 + (cb IS NOT NULL)::INT + 2 * (early_time IS NOT NULL)::INT AS n_tags FROM w LEFT JOIN co USING (instrument, range_id) LEFT JOIN er USING (range_id) JOIN rc USING (instrument, cluster)",
+)
+
 # --- session levels --------------------------------------------------------------------------------------------------
 
 

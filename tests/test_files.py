@@ -11,6 +11,7 @@ from quantloom.functions import scalars
 from quantloom.operators import balances, breakouts as bo, dashboards as dash, levels
 from quantloom.plans import detection
 from quantloom.sources import bar_files, event_files as ev, exports
+from quantloom.sources.stash import stash
 from quantloom.sources.tables import bars
 
 SMALL = "/root/testdata/sf0.001"
@@ -49,16 +50,17 @@ def test_other_timeframes_and_sources(spark, bar_root):
 
 
 def test_events_round_trip(spark, tmp_path):
-    events = detection.chain(spark, SMALL)
+    events = stash(detection.whole_chain(spark, SMALL))
     path = f"{tmp_path}/out"
     exports.write_events(events, path)
     back = ev.read_csv(spark, f"{path}/events")
     assert back.count() == events.count() > 0
     assert [r.breakout_time for r in back.orderBy("breakout_time").collect()] == sorted(r.breakout_time for r in back.collect())
     ev.check_version(back)
-    ev.check_columns(back, bo.EVENT)
+    assert tuple(events.columns) == ev.EVENT_COLUMNS
+    ev.check_columns(back)
     with pytest.raises(ValueError):
-        ev.check_columns(back)
+        ev.check_columns(back.drop("rotation_context"))
     manifest = json.loads(Path(f"{path}/manifest.json").read_text())
     assert manifest["rows"] == back.count() and manifest["schema_version"] == "1.1.0"
     narrow = ev.narrowed(back)
