@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
+from ..functions import selection
 from ..functions.scalars import python_text
 from .predicates import all_of, predicate
 
@@ -24,7 +25,7 @@ def _numeric(df: DataFrame, field: str | None) -> Column:
 
 
 def aggregates(df: DataFrame, spec: dict[str, Any]) -> list[Column]:
-    """rows_total, rows_valid and result (and counts of a probability) for a metric."""
+    """rows_total, rows_valid and result (and counts of a probability) for a metric; a median's result is no aggregate."""
     metric = spec["metric"]
     total = F.count(F.lit(1)).alias("rows_total")
     if metric == "count":
@@ -32,7 +33,9 @@ def aggregates(df: DataFrame, spec: dict[str, Any]) -> list[Column]:
         return [total, n.alias("rows_valid"), n.alias("result")]
     if metric in VALUES:
         v = _numeric(df, spec.get("value_field"))
-        made = {"mean": F.avg, "median": F.median, "std": F.stddev_pop}[metric](v)
+        if metric == "median":  # of groups of any size: see `grouped`
+            return [total, F.count(v).alias("rows_valid")]
+        made = {"mean": F.avg, "std": F.stddev_pop}[metric](v)
         return [total, F.count(v).alias("rows_valid"), made.alias("result")]
     if metric in RATES:
         field, condition = spec["target_field"], spec["success_condition"]
@@ -48,8 +51,10 @@ def aggregates(df: DataFrame, spec: dict[str, Any]) -> list[Column]:
 
 def grouped(df: DataFrame, spec: dict[str, Any]) -> DataFrame:
     """Filter, then one row a group (one row in all without keys); missing keys are a group of their own."""
-    df = all_of(df, spec.get("filters") or [])
-    return df.groupBy(*(spec.get("group_by") or [])).agg(*aggregates(df, spec))
+    df, keys = all_of(df, spec.get("filters") or []), spec.get("group_by") or []
+    if spec["metric"] == "median":
+        return selection.grouped(df, keys, _numeric(df, spec.get("value_field")), {"result": 0.5}, aggregates(df, spec))
+    return df.groupBy(*keys).agg(*aggregates(df, spec))
 
 
 def distribution(df: DataFrame, field: str, group_by: list[str] = [], share: bool = False, filters: list[dict] = []) -> DataFrame:  # noqa: B006

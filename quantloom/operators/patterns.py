@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions import selection
 from ..functions.scalars import channel_similarity, cosine_distance, rms_distance, tolerance_score
 from ..sources.tables import SERIES, indexed
 from .balances import within
@@ -104,8 +105,7 @@ def outcome_stats(found: DataFrame, values: list[str]) -> DataFrame:
     """For each value a row: n, mean, median and quartiles (linear), and the ninth decile."""
     pairs = ", ".join(f"'{v}', {v}" for v in values)
     long = found.selectExpr(f"stack({len(values)}, {pairs}) as (name, value)")
-    q = lambda p: F.percentile("value", F.lit(p))
-    return long.groupBy("name").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"), q(0.9).alias("q90"))
+    return selection.grouped(long, ["name"], c("value"), {"median": 0.5, "q25": 0.25, "q75": 0.75, "q90": 0.9}, [F.count("value").alias("n"), F.avg("value").alias("mean")])
 
 
 def hit_rates(found: DataFrame, levels: list[float]) -> DataFrame:

@@ -6,6 +6,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import selection
 from ..operators import metrics
 from ..operators.predicates import all_of, predicate
 
@@ -79,5 +80,8 @@ def run(df: DataFrame, spec: dict[str, Any]) -> DataFrame:
 def study(df: DataFrame, keys: list[str], metric: str, column: str, name: str, filters: list[dict] = [], quantile: float = 0.5) -> DataFrame:  # noqa: B006
     """A calendar study: rows by key with their number n and a mean, a probability of 1, a deviation or a quantile."""
     v = F.col(column).cast("double")
-    made = {"mean": F.avg(v), "prob": F.avg((v == 1).cast("double")), "std": F.stddev_pop(v), "quantile": F.percentile(v, quantile)}[metric]
-    return all_of(df, filters).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), made.alias(name))
+    rows, n = all_of(df, filters), F.count(F.lit(1)).alias("n")
+    if metric == "quantile":
+        return selection.grouped(rows, keys, v, {name: quantile}, [n])
+    made = {"mean": F.avg(v), "prob": F.avg((v == 1).cast("double")), "std": F.stddev_pop(v)}[metric]
+    return rows.groupBy(*keys).agg(n, made.alias(name))
