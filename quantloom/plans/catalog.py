@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from ..functions import scalars
-from ..operators import bars as b, breakouts as bo, dashboards as dash, features as feat, insights, levels, patterns as pat, rotations as rot
+from ..functions import scalars, selection
+from ..operators import bars as b, breakouts as bo, dashboards as dash, features as feat, insights, levels, pattern_index, patterns as pat, rotations as rot
 from ..operators.predicates import all_of
 from ..sources import sinks
 from ..sources.bar_files import faults
@@ -177,10 +177,17 @@ register("bars_valid", lambda s, d: faults(bars(s, d)), f"WITH {BARS} SELECT cou
 register("true_range", lambda s, d: b.with_true_range(bars(s, d)).select("instrument", "time", "tr", "tr_after"), f"WITH {BARS} SELECT instrument, time, round(coalesce(tr, high - low), 6) AS tr, round(tra, 6) AS tr_after FROM tr")
 register("atr_partial", lambda s, d: b.atr_partial(bars(s, d)).select("instrument", "time", "atr"), f"WITH {BARS} SELECT instrument, time, round(coalesce(avg(tra) OVER (PARTITION BY instrument ORDER BY time ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), 0), 6) AS atr FROM tr")
 register("atr_strict", lambda s, d: b.atr_strict(bars(s, d)).select("instrument", "time", "atr"), f"WITH {BARS}, x AS (SELECT instrument, time, coalesce(tr, high - low) AS v FROM tr) SELECT instrument, time, round(CASE WHEN count(v) OVER w = 14 THEN avg(v) OVER w END, 6) AS atr FROM x WINDOW w AS (PARTITION BY instrument ORDER BY time ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)")
+register("forward_extrema_long", lambda s, d: b.forward_extrema(bars(s, d), 500).select("instrument", "time", "next_high", "next_low", "next_bars"), f"WITH {BARS} SELECT instrument, time, max(high) OVER w AS next_high, min(low) OVER w AS next_low, count(*) OVER w AS next_bars FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY time ROWS BETWEEN 1 FOLLOWING AND 500 FOLLOWING)")
 register("lead_atr", lambda s, d: b.lead_atr(bars(s, d)).select("instrument", "time", "atr_after"), f"WITH {BARS}, x AS (SELECT instrument, time, coalesce(avg(tra) OVER (PARTITION BY instrument ORDER BY time ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), 0) AS atr FROM tr) SELECT instrument, time, round(coalesce(lead(atr, 5) OVER (PARTITION BY instrument ORDER BY time), last_value(atr) OVER (PARTITION BY instrument ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS atr_after FROM x")
 register("trailing_means", lambda s, d: b.trailing_means(bars(s, d)).select("instrument", "time", "mean_abs_delta", "mean_volume"), f"WITH {BARS} SELECT instrument, time, round(avg(abs(delta)) OVER (PARTITION BY instrument ORDER BY time ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), 6) AS mean_abs_delta, round(avg(volume) OVER (PARTITION BY instrument ORDER BY time ROWS BETWEEN 30 PRECEDING AND CURRENT ROW), 6) AS mean_volume FROM bars")
 register("forward_extrema", lambda s, d: b.forward_extrema(bars(s, d), 12).select("instrument", "time", "next_high", "next_low", "next_bars"), f"WITH {BARS} SELECT instrument, time, max(high) OVER w AS next_high, min(low) OVER w AS next_low, count(*) OVER w AS next_bars FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY time ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING)")
 
+register(
+    "quantiles_selected",
+    lambda s, d: selection.grouped(facts(s, d), ["direction"], c("breakout_price"), {"q10": 0.1, "median": 0.5, "q99": 0.99}, [F.count("breakout_price").alias("n")], 1000),
+    f"WITH {FACTS} SELECT direction, count(price) AS n, round(quantile_cont(price, 0.1), 6) AS q10, round(median(price), 6) AS median, round(quantile_cont(price, 0.99), 6) AS q99 FROM f GROUP BY direction",
+)
+
 # --- rotations, balances ---------------------------------------------------------------------------------------------
 
 KIND = "CASE WHEN bar_count >= 5 THEN 'structural' WHEN bar_count >= 3 THEN 'standard' ELSE 'micro' END"
@@ -325,6 +332,25 @@ def _found(s: SparkSession, d: str) -> DataFrame:
 
 
 register("topk_matches", lambda s, d: pat.top(_found(s, d)).select("instrument", "start_time", "end_time", "score"), f"WITH {FOUND} SELECT instrument, start_time, end_time, score FROM m ORDER BY score DESC, start_time, instrument LIMIT 10")
+
+
+def _indexed_matches(s: SparkSession, d: str) -> DataFrame:
+    index = pattern_index.build(pat.windows(bars(s, d), 3), 3, 3, 64)
+    found, _ = pattern_index.search(index, WANTED, {"price": 0.7, "volume": 0.3}, {"price": 1.0, "volume": 1.0}, 10, 0.7)
+    return found.select("instrument", "start_time", "end_time", "score")
+
+
+def _refined_share(s: SparkSession, d: str) -> DataFrame:
+    """How much of all windows the search looks at, for a window of the table itself."""
+    windows = pat.windows(bars(s, d), 12)
+    index = pattern_index.build(windows, 12, 3, 64)
+    first = index.windows.orderBy("instrument", "start_index").select("price", "volume").first()
+    wanted = {n: list(first[n]) for n in ("price", "volume")} if first else WANTED
+    return pattern_index.search(index, wanted, {"price": 0.7, "volume": 0.3}, {"price": 1.0, "volume": 1.0})[1]
+
+
+register("indexed_matches", _indexed_matches, f"WITH {WINDOWS} SELECT instrument, start_time, end_time, round({E_SCORE}, 6) AS score FROM u WHERE {E_SCORE} >= 0.7 ORDER BY {E_SCORE} DESC, start_time, instrument LIMIT 10")
+register("index_refined_share", _refined_share, None)
 register("match_context", lambda s, d: pat.context(_found(s, d), bars(s, d), 2, 3).groupBy("instrument", "start_index").agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("first_time"), F.max("time").alias("last_time")), f"WITH {FOUND} SELECT m.instrument, m.start_index, count(*) AS n, min(time) AS first_time, max(time) AS last_time FROM m JOIN ib ON ib.instrument = m.instrument AND ib.bar_index BETWEEN m.start_index - 2 AND m.end_index + 3 GROUP BY ALL")
 OUT = f"{FOUND}, fw AS (SELECT instrument, bar_index AS end_index, close, max(high) OVER z AS nh, min(low) OVER z AS nl, count(*) OVER z AS n FROM ib WINDOW z AS (PARTITION BY instrument ORDER BY time ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)), o AS (SELECT nh - close AS long_mfe, close - nl AS long_mae, close - nl AS short_mfe, nh - close AS short_mae FROM m JOIN fw USING (instrument, end_index) WHERE n = 5)"
 STATS = "count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75, round(quantile_cont(value, 0.9), 6) AS q90"
