@@ -69,13 +69,15 @@ NAMED = ("DateTime", "Open", "High", "Low", "Close", "BidVolume", "AskVolume")
 
 
 def read_named_bars(spark: SparkSession, root: str, instrument: str, timeframe: str, start: datetime, end: datetime) -> DataFrame:
-    """Bars of the same files read by the names in their headers, in any order. What is no number is NULL, a missing bid or ask
+    """Bars of the same files, each read by the names in its own header, in any order. What is no number is NULL, a missing bid or ask
     is 0, and a row whose time can't be read is in no range."""
-    found = year_files(spark, root, instrument, timeframe, start, end)
-    raw = spark.read.csv(found, sep=";", header=True, encoding="UTF-8", enforceSchema=False)
-    absent = [n for n in NAMED if n not in raw.columns]
-    if absent:
-        raise ValueError(f"columns are absent: {absent}")
+    raw = None
+    for path in year_files(spark, root, instrument, timeframe, start, end):  # a file a year, each by its own header
+        one = spark.read.csv(path, sep=";", header=True, encoding="UTF-8")
+        absent = [n for n in NAMED if n not in one.columns]
+        if absent:
+            raise ValueError(f"{path} lacks columns {absent}")
+        raw = one.select(*NAMED) if raw is None else raw.unionByName(one.select(*NAMED))
     bid, ask = (F.coalesce(number(F.col(n)), F.lit(0.0)) for n in ("BidVolume", "AskVolume"))
     bars = raw.select(F.lit(instrument).alias("instrument"), F.lit(timeframe).alias("timeframe"), moment(F.col("DateTime")).alias("time"), *(number(F.col(n)).alias(n.lower()) for n in ("Open", "High", "Low", "Close")), (bid + ask).alias("volume"), (ask - bid).alias("delta"))
     return bars.where(F.col("time").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))

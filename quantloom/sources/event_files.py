@@ -22,17 +22,22 @@ FOLLOWED = ("max_excursion", "retracement_depth", "time_to_retest_boundary")
 CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST"}
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A file or a folder of CSV files with headers, columns as text; quoted fields may hold commas, quotes and line breaks.
+def read_csv(spark: SparkSession, path: str, spans_lines: bool = True) -> DataFrame:
+    """A file or a folder of CSV files with headers, columns as text; quoted fields may hold commas and quotes.
 
-    Partitions stand for the chunks of a file that is read piece by piece."""
-    return spark.read.options(**CSV).csv(path)
+    Where fields may hold line breaks (`spans_lines`) a file can't be split and is one partition; without, partitions are the
+    chunks of a file that is read piece by piece."""
+    return spark.read.options(**{**CSV, "multiLine": spans_lines}).csv(path)
 
 
 def read_levels(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of level files: dates are dates, instruments are upper case."""
-    raw = spark.read.options(**CSV, inferSchema=True).csv(path)
-    return raw.withColumns({"date": F.to_date("date"), "instrument": F.upper("instrument")})
+    """A folder of level files: dates are dates, instruments are upper case, flags and numbers are told by their names. The files
+    are read once."""
+    raw = spark.read.options(**{**CSV, "multiLine": False}).csv(path)
+    text = ("instrument", "session_name")
+    kind = lambda n: F.col(n) if n in text else F.col(n).cast("boolean") if n.startswith(("touched_", "broke_")) else F.col(n).cast("double")
+    typed = raw.select(*(kind(n).alias(n) for n in raw.columns if n != "date"), F.to_date("date").alias("date"))
+    return typed.withColumn("instrument", F.upper("instrument"))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

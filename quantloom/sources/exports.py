@@ -49,9 +49,10 @@ def write_bars(bars: DataFrame, path: str) -> None:
     _csv(bars.withColumnRenamed("time", "timestamp").orderBy("timestamp"), path)
 
 
-def write_levels(levels: DataFrame, path: str) -> None:
-    """Levels as CSV, one folder a date."""
-    flat(levels).repartition("date").write.mode("overwrite").options(header=True, escape='"').partitionBy("date").csv(path)
+def write_levels(levels: DataFrame, path: str, dates_only: bool = False) -> None:
+    """Levels as CSV, one folder a date; with `dates_only` folders of dates that the levels don't have stay as they are."""
+    mode = "dynamic" if dates_only else "static"
+    flat(levels).repartition("date").write.mode("overwrite").options(header=True, escape='"', partitionOverwriteMode=mode).partitionBy("date").csv(path)
 
 
 def write_master(df: DataFrame, path: str, by: str = "session_name") -> None:
