@@ -77,7 +77,8 @@ NUMBER = re.compile(r"(?<![A-Za-z0-9])[(+]?[0-9](?>(?:[^\w\r\n]|_)*+[0-9]){6,}(?
 AT = re.compile(r"(?<![A-Za-z0-9])at(?![A-Za-z0-9])|@", re.I)
 DOT = re.compile(r"(?<![A-Za-z0-9])dot(?![A-Za-z0-9])|\.[)\]}>]?[A-Za-z0-9]|[\s(\[{<]\.[)\]}>]?\s?[A-Za-z0-9]", re.I)
 #: An address that the field finds is taken whole, as far as it is written like this.
-ADDRESS = re.compile(r"[A-Za-z0-9_.%+-]{1,64} ?[(\[{<]? ?(?:@|(?<![A-Za-z0-9])at(?![A-Za-z0-9])) ?[)\]}>]? ?[A-Za-z0-9-]{1,63}(?: ?[(\[{<]? ?(?:\bdot\b) ?[)\]}>]? ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63})+", re.I)
+SPOKEN = r"(?:[A-Za-z0-9]{1,64} (?:dot|underscore|dash) ){0,3}"
+ADDRESS = re.compile(SPOKEN + r"[A-Za-z0-9_.%+-]{1,64} ?[(\[{<]? ?(?:@|(?<![A-Za-z0-9])at(?![A-Za-z0-9])) ?[)\]}>]? ?[A-Za-z0-9-]{1,63}(?:(?: \. [A-Za-z0-9-]{1,63})+|(?: ?[(\[{<]? ?(?:\bdot\b) ?[)\]}>]? ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63})+)", re.I)
 #: What announces a secret; its window reaches to the end of the next run that could be one.
 KEYED = re.compile(r"(?<![A-Za-z])(?:[A-Za-z]{1,20}[_-])?(?:token|key|apikey|secret|password|passwd|pwd|bearer|credential)s?(?![A-Za-z])[^A-Za-z0-9\r\n]{1,8}(?:is[^A-Za-z0-9\r\n]{1,4})?(?=[A-Za-z0-9_+/=.-]{8})", re.I)
 SECRET = re.compile(r"[A-Za-z0-9_+/=.-]{1,200}")
@@ -97,10 +98,34 @@ def shape(token: str) -> str:
     return token
 
 
-def features(tokens: list[str], gaps: list[bool], k: int) -> list[int]:
-    """Word-shape features of a token: its own and its neighbours' shapes and words, and white space before it."""
+#: Words that say what a number near them is.
+CUES = {
+    "phone": frozenset("tel tél telefon telephone téléphone teléfono phone call ring fax mobile móvil cell handy number rufnummer reach dial text whatsapp appelez llame".split()),
+    "card": frozenset("card cards visa mastercard amex credit debit karte kreditkarte carte tarjeta paid pay expires".split()),
+    "other": frozenset("order invoice serial serie isbn version id ref code build iban account ticket page pages year years total sum price row rows lat lon value values score scores section".split()),
+}
+
+
+def cues_of(text: str, a: int, b: int) -> list[str]:
+    """The kinds of cue words in and shortly around a window."""
+    words = {w.lower() for w in re.findall(r"[^\W\d_]+", text[max(0, a - 40) : b + 24])}
+    return [f"cue{k}" for k, of in CUES.items() if not words.isdisjoint(of)]
+
+
+def runs_of(text: str, a: int, b: int) -> list[tuple[int, int, list[str]]]:
+    """The window's long numbers: where, and how many digits they have and whether these pass the cards' check."""
+    out = []
+    for m in NUMBER.finditer(text, a, b):
+        digits = re.sub(r"\D", "", m[0]) if len(m[0]) <= 200 else "0" * 40
+        out.append((m.start(), m.end(), [f"n{min(len(digits), 20)}", f"luhn{14 <= len(digits) <= 19 and luhn(digits)}"]))
+    return out
+
+
+def features(tokens: list[str], gaps: list[bool], k: int, tags: list[str]) -> list[int]:
+    """Word-shape features of a token: its own and its neighbours' shapes and words, white space before it, and what is told of the
+    number that it is in."""
     get = lambda j: tokens[j] if 0 <= j < len(tokens) else "<>"
-    named = [f"b{gaps[k]}", f"w{get(k).lower()[:12]}" if not get(k).isdigit() else f"first{get(k)[0]}"]
+    named = [*tags, f"b{gaps[k]}", f"w{get(k).lower()[:12]}" if not get(k).isdigit() else f"first{get(k)[0]}"]
     for j in range(-3, 4):
         named.append(f"s{j}{shape(get(k + j))}")
         if j and get(k + j).isalpha():
@@ -164,52 +189,65 @@ def decoded(rows: list[list[list[int]]], chain: Chain) -> list[list[int]]:
     return out
 
 
-def train(rows: list[list[list[int]]], labels: list[list[int]], steps: int = 60) -> Chain:
-    """Maximum likelihood with a small quadratic penalty, by Adam on the whole table; sums over paths go forward and back."""
+def train(rows: list[list[list[int]]], labels: list[list[int]], steps: int = 45) -> Chain:
+    """Maximum likelihood with a small quadratic penalty, by Adam on the whole table. Sums over paths go forward and back in scaled
+    probabilities, over the windows that are so long alone."""
     n_labels = len(LABELS)
+    order = sorted(range(len(rows)), key=lambda k: -len(rows[k]))
+    rows, labels = [rows[k] for k in order], [labels[k] for k in order]
     sizes = np.array([len(r) for r in rows])
     n, most = len(rows), sizes.max()
     inside = np.arange(most) < sizes[:, None]
-    gold = np.zeros((n, most), np.int64)
-    gold[inside] = np.concatenate([np.array(y) for y in labels])
-    onehot = np.eye(n_labels)[gold] * inside[..., None]
+    left = inside.sum(0).tolist()  # windows that reach each place
+    gold = np.concatenate([np.array(y) for y in labels])
     flat = [f for r in rows for f in r]
-    owner = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
+    counts = np.array([len(f) for f in flat])
+    starts, owner = np.concatenate(([0], np.cumsum(counts)[:-1])), np.repeat(np.arange(len(flat)), counts)
     ids = np.fromiter((i for f in flat for i in f), np.int64, len(owner))
     used, place = np.unique(ids, return_inverse=True)
+    by_place = np.argsort(place, kind="stable")
+    own_of, firsts = owner[by_place], np.searchsorted(place[by_place], np.arange(len(used)))
+    begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     sizes_of = [len(used) * n_labels, n_labels * n_labels, n_labels]
-    x = np.zeros(sum(sizes_of))
+    x = np.zeros(sum(sizes_of), np.float32)
     m, v = np.zeros_like(x), np.zeros_like(x)
-    pair_gold = np.einsum("ita,itb->ab", onehot[:, :-1], onehot[:, 1:])
-    log_sum = lambda a, axis: (top := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - top).sum(axis))
+    pair_gold = np.zeros((n_labels, n_labels))
+    np.add.at(pair_gold, (gold[:-1], gold[1:]), 1)
+    for e in begins[1:]:
+        pair_gold[gold[e - 1], gold[e]] -= 1
+    onehot = np.eye(n_labels, dtype=np.float32)[gold]
+    first_gold = onehot[begins].sum(0)
     for step in range(1, steps + 1):
         u, moves, first = (p.reshape(s) for p, s in zip(np.split(x, np.cumsum(sizes_of)[:-1]), ((len(used), n_labels), (n_labels, n_labels), (n_labels,)), strict=True))
-        token = np.stack([np.bincount(owner, u[place, j], len(flat)) for j in range(n_labels)], 1)
-        s = np.zeros((n, most, n_labels))
-        s[inside] = token
-        ahead, behind = [first + s[:, 0]], [np.zeros((n, n_labels))]
+        token = np.add.reduceat(u[place], starts).astype(np.float64)
+        s = np.ones((n, most, n_labels))
+        s[inside] = np.exp(token - token.max(1, keepdims=True))
+        through = np.exp(moves.astype(np.float64))
+        ahead, scale = np.zeros((most, n, n_labels)), np.ones((most, n, 1))
+        ahead[0] = np.exp(first.astype(np.float64) - first.max()) * s[:, 0]
+        ahead[0] /= ahead[0].sum(1, keepdims=True)
         for t in range(1, most):
-            new = log_sum(ahead[-1][:, :, None] + moves, 1) + s[:, t]
-            ahead.append(np.where(inside[:, t, None], new, ahead[-1]))
+            k = left[t]
+            new = ahead[t - 1, :k] @ through * s[:k, t]
+            scale[t, :k] = new.sum(1, keepdims=True)
+            ahead[t, :k] = new / scale[t, :k]
+        behind, pair = np.ones((most, n, n_labels)), np.zeros((n_labels, n_labels))
         for t in range(most - 1, 0, -1):
-            new = log_sum(moves + (s[:, t] + behind[-1])[:, None, :], 2)
-            behind.append(np.where(inside[:, t, None], new, behind[-1]))
-        behind.reverse()
-        z = log_sum(ahead[-1], 1)
-        single = np.exp(np.stack(ahead, 1) + np.stack(behind, 1) - z[:, None, None]) * inside[..., None]
-        pair = np.zeros((n_labels, n_labels))
-        for t in range(1, most):
-            q = ahead[t - 1][:, :, None] + moves + (s[:, t] + behind[t])[:, None, :] - z[:, None, None]
-            pair += (np.exp(q) * inside[:, t, None, None]).sum(0)
-        gap = (single - onehot)[inside]
-        grad_u = np.stack([np.bincount(place, gap[owner, j], len(used)) for j in range(n_labels)], 1)
-        grad = np.concatenate([grad_u.ravel(), (pair - pair_gold).ravel(), (single[:, 0] - onehot[:, 0]).sum(0)]) / n + 1e-3 * x
+            k = left[t]
+            part = s[:k, t] * behind[t, :k] / scale[t, :k]
+            behind[t - 1, :k] = part @ through.T
+            pair += through * (ahead[t - 1, :k].T @ part)
+        single = (ahead * behind).transpose(1, 0, 2)
+        single = single[inside] / single[inside].sum(1, keepdims=True)
+        gap = (single - onehot).astype(np.float32)
+        grad_u = np.add.reduceat(gap[own_of], firsts)
+        grad = np.concatenate([grad_u.ravel(), (pair - pair_gold).ravel(), single[begins].sum(0) - first_gold]).astype(np.float32) / n + 1e-3 * x
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        x -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        x -= 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     u, moves, first = np.split(x, np.cumsum(sizes_of)[:-1])
     unary = np.zeros((FEATURES, n_labels))
     unary[used] = u.reshape(len(used), n_labels)
-    return Chain(unary, moves.reshape(n_labels, n_labels), first)
+    return Chain(unary, moves.reshape(n_labels, n_labels).astype(np.float64), first.astype(np.float64))
 
 
 #: The small labelled table's templates: # is a digit, @name and @host an invented word; marked parts carry the kind's label.
@@ -231,16 +269,67 @@ TEMPLATES = (
 )
 
 
-def labelled_table(copies: int = 8, seed: int = 11, templates: tuple[str, ...] = TEMPLATES) -> list[tuple[str, list[Span]]]:
-    """The labelled examples: each template filled `copies` times, with the spans of its marked parts; cards pass the check."""
+#: Forms of one kind are all combinations of such parts, each in one of the sentences; ~ is the form's separator.
+GROUPS = ("###~###~####", "(###)~###~####", "0##~###~####", "0###~######", "0##~###~##~##", "0#~##~##~##~##", "####~###~###", "00##~##~###~####", "1~###~###~####", "0##~########")
+CARDS = ("####~####~####~####", "####~######~#####", "####~#### ####~####")
+SEPARATORS = (" ", "-", ".", "/", " - ", " / ", " . ", "|", " | ", "_", ", ", "\u00a0", "\u2013", "\u00b7", " \u2013 ")
+QUOTES = "\"'"
+NAMES = ("@name", "@name.@name", "@name_@name", "@name-@name", "@name##", "@name dot @name", "@name underscore @name")
+ATS = (" at ", " [at] ", " (at) ", "(at)", "[at]", " AT ", " @ ", " {at} ", " <at> ", "@")
+DOTS = (" dot ", " [dot] ", " (dot) ", "(dot)", "[dot]", " DOT ", ".", " . ", " {dot} ")
+LEADS = ("token", "api_key", "apikey", "secret", "password", "passwd", "pwd", "access_token", "secret-key", "client_secret", "tokens", "aws_secret_key", "credential")
+SIGNS = ("=", ": ", " = ", " is ", ":", ' "', "='", '="', ': "', " '")
+CODES = ("@hex", "@code", "@upper", "@mixed")
+HOSTS = ("@host~com", "@host~@host~org", "@host~co~uk", "@host~de")
+SENTENCES = {
+    "phone": ("{}", "call {} today", "tel {} or", "tel. {}", "phone: {} please", "reach me on {} now", "fax {}", "my mobile is {}.", "ring {} at night", "telefon {} bis", "our number {} is", "dial {}", "text {} first"),
+    "card": ("card {} expires", "pay with {} now", "visa {} paid", "my credit card is {}.", "card number: {}", "karte {} bis", "charge {} today", "amex {}"),
+    "secret": ("{}", "{} end", "use {} here", "# {}", "set {} or"),
+    "email": ("{}", "write to {} please", "mail {} today", "email: {}", "contact {} for more", "or {}.", "{} is my address", "send it to {} now", "ask {}"),
+    "": ("order {} was sent", "invoice {} is due", "serial {} here", "isbn {}", "build {} of", "total {} units", "id {}", "ref. {} of", "ticket {} closed", "row {} of", "page {}"),
+}
+
+
+@functools.cache
+def forms() -> tuple[tuple[str, str], ...]:
+    """All forms as (kind, form); an address that the base pattern takes whole is none."""
+    phones = [g.replace("~", s) for g in GROUPS for s in SEPARATORS if s != ", "]
+    cards = [g.replace("~", s) for g in CARDS for s in SEPARATORS if s not in " -"]
+    mails = [n + a + h.replace("~", d) for n in NAMES for a in ATS for d in DOTS for h in HOSTS if not (a == "@" and d == ".")]
+    others = [g.replace("~", s) for g in ("## ### ## # ###", "#~##~###~####", "###~###~###~###", "########", "############", "##~##~##~##~##~##", "20##~##~##~####") for s in SEPARATORS]
+    secrets = [f"{lead}{sign}{{secret|{code}}}{sign[-1] * (sign[-1] in QUOTES)}" for lead in (*LEADS, "Authorization: Bearer") for sign in (SIGNS if lead in LEADS else (" ",)) for code in CODES]
+    return tuple((k, f) for k, of in (("phone", phones), ("card", cards), ("email", mails), ("secret", secrets), ("", others)) for f in of)
+
+
+def composed(number: int, seed: int, of: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
+    """So many templates of each kind, drawn from forms and sentences."""
+    r = random.Random(seed)
+    kinds: dict[str, list[str]] = {}
+    for kind, form in of:
+        kinds.setdefault(kind, []).append(form)
+    # braces of a form are no marks; a secret's form is marked already
+    marked = lambda kind, form: form if kind in ("", "secret") else "{" + kind + "|" + form.replace("{", "\x01").replace("}", "\x02") + "}"
+    return tuple(r.choice(SENTENCES[kind]).replace("{}", marked(kind, r.choice(held))) for kind, held in kinds.items() for _ in range(number))
+
+
+ALPHABETS = {"@hex": "0123456789abcdef", "@code": "0123456789ABCDEFGHJKLMNabcdefghijkmnopqrstuvwxyz", "@upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "@mixed": "0123456789ABCDEFGHJKLMNabcdefghijkmnopqrstuvwxyz+/_-"}
+#: Composed templates of each kind in the labelled table.
+COMPOSED = 160
+
+
+def labelled_table(copies: int = 3, seed: int = 11, templates: tuple[str, ...] = TEMPLATES, of: tuple[tuple[str, str], ...] | None = None) -> list[tuple[str, list[Span]]]:
+    """The labelled examples: each template filled `copies` times, and COMPOSED ones of each kind's forms, with the spans of their
+    marked parts; cards pass the check."""
     r, out = random.Random(seed), []
+    drawn = composed(COMPOSED, seed, forms() if of is None else of)
     name = lambda _: "".join(r.choice(("an", "er", "th", "on", "mi", "lo", "ka", "su", "re", "ti")) for _ in range(r.randint(1, 4)))
-    for template in templates * copies:
+    for template in templates * copies + drawn:
         text, spans = "", []
-        for part in re.split(r"(\{[^}]*\})", f"{name(0)} {template} {name(0)} {name(0)}"):
+        for part in re.split(r"(\{[^}]*\})", r.choice((f"{name(0)} ", f"{name(0)} {name(0)} ", "")) + template + r.choice((f" {name(0)} {name(0)}", f" {name(0)}", ""))):
             kind, _, body = part[1:-1].partition("|") if part[:1] == "{" else ("", "", part)
             body = re.sub("@name|@host", name, re.sub("#", lambda _: str(r.randint(0, 9)), body))
-            body = re.sub("@hex|@code", lambda m: "".join(r.choice("0123456789abcdef" if m[0] == "@hex" else "0123456789ABCDEFGHJKLMNabcdefghijkmnopqrstuvwxyz") for _ in range(r.choice((24, 32, 40, 40)))), body)
+            body = re.sub("@hex|@code|@upper|@mixed", lambda m: "".join(r.choice(ALPHABETS[m[0]]) for _ in range(r.choice((20, 24, 32, 40)))), body)
+            body = body.replace("\x01", "{").replace("\x02", "}")
             if kind == "card":
                 body = next(b for d in "0123456789" if luhn(re.sub(r"\D", "", b := body[:-1] + d)))
             if kind:
@@ -304,7 +393,16 @@ def rows_of(text: str, a: int, b: int) -> tuple[list[re.Match], list[list[int]]]
     around, i, j = tokens_around(text, a, b)
     words = [m[0] for m in around]
     gaps = [k == 0 or around[k - 1].end() < m.start() for k, m in enumerate(around)]
-    return around[i:j], [features(words, gaps, k) for k in range(i, j)]
+    runs, cues, tags, at = runs_of(text, a, b), None, [], 0
+    for m in around[i:j]:
+        while at < len(runs) and runs[at][1] <= m.start():
+            at += 1
+        if at < len(runs) and runs[at][0] <= m.start():
+            cues = cues_of(text, a, b) if cues is None else cues
+            tags.append([*runs[at][2], *cues, *(f"{c}{runs[at][2][0]}" for c in cues)])
+        else:
+            tags.append(["n0"])
+    return around[i:j], [features(words, gaps, k, tags[k - i]) for k in range(i, j)]
 
 
 @functools.cache
@@ -361,6 +459,8 @@ def added_spans(texts: list[str], bases: list[list[Span]], chain: Chain) -> list
                 if kind == 4:
                     while a and texts[k][a - 1].isalnum():
                         a -= 1
+                    while a < b and not SECRET.match(texts[k], a):
+                        a += 1
                     run = SECRET.match(texts[k], a)
                     b = a + len(run[0].rstrip(".")) if run else b
                 if kind == 0:

@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 from hypothesis import given, settings, strategies as st
@@ -57,14 +58,73 @@ def test_field_on_unseen_examples():
 def test_field_on_unseen_forms():
     """Each template is decoded by a field that was trained without it and its like: one in four is left out at a time."""
     right, found, wanted = Counter(), Counter(), Counter()
+    apart = lambda of, fold, held: tuple(x for k, x in enumerate(of) if (k % 4 == fold) == held)
     for fold in range(4):
-        kept = tuple(t for k, t in enumerate(pii.TEMPLATES) if k % 4 != fold)
-        chain = pii.fit(pii.labelled_table(4, 11, kept))
-        for total, part in zip((right, found, wanted), told(chain, pii.labelled_table(3, 5, tuple(t for k, t in enumerate(pii.TEMPLATES) if k % 4 == fold)))):
+        chain = pii.fit(pii.labelled_table(3, 11, apart(pii.TEMPLATES, fold, False), apart(pii.forms(), fold, False)))
+        for total, part in zip((right, found, wanted), told(chain, pii.labelled_table(2, 5, apart(pii.TEMPLATES, fold, True), apart(pii.forms(), fold, True)))):
             total.update(part)
-    print({pii.FIELD_KINDS[k]: (round(right[k] / wanted[k], 2), round(right[k] / max(1, found[k]), 2)) for k in sorted(wanted)})
-    for k, recall, precision in ((0, 0.6, 0.8), (2, 0.6, 0.7), (3, 0.6, 0.7), (4, 0.6, 0.8)):
-        assert right[k] >= recall * wanted[k] and right[k] >= precision * found[k], (k, right, found, wanted)
+    print({pii.FIELD_KINDS[k]: (round(right[k] / wanted[k], 3), round(right[k] / max(1, found[k]), 3)) for k in sorted(wanted)})
+    for k in (0, 2, 3, 4):
+        assert right[k] >= 0.9 * wanted[k] and right[k] >= 0.9 * found[k], (k, right, found, wanted)
+
+
+#: Sentences written for this test alone; <...> is what the field is to find, of the kind before the bar.
+WRITTEN = """
+0|You can reach the editor, <maria.lopez at elpais dot es>, before noon.
+0|Bug reports go to <kernel-team [at] lists [dot] debian [dot] org>.
+0|My address is <bob_smith (at) hotmail (dot) com> if you need it.
+0|Write me: <anna.k at web dot de>
+0|questions? <support [at] example.com>
+0|The author (<j.r.tolkien at pembroke dot ox dot ac dot uk>) replied.
+0|send your cv to <jobs(at)startup(dot)io> by friday
+0|mail <max underscore mueller at gmx dot net> for tickets
+2|I paid with <4111/1111/1111/1111> and it failed.
+2|The card was <5500.0000.0000.0004>, he said.
+2|visa <4012 / 8888 / 8888 / 1881> exp 12/26
+2|Amex: <3782/822463/10005>
+3|Call the office at <(212) 555-0187> after nine.
+3|Tel. <030 / 123 45 67> is the front desk.
+3|my cell is <415.555.2671>, text me
+3|Telefon: <0171/2345678>
+3|You may phone <020 7946 0958> or come by.
+3|appelez le <01 42 68 53 00> avant midi
+3|Fax <001 212 555 0199> is gone.
+3|whatsapp <0612-345-678> anytime
+-|The match ended 3-2 and 45,000 came in 1998 and 2002.
+-|Invoice 2024-000123456 was paid on 12.03.2024.
+-|We sat at the table and put a dot on it.
+-|Version 10.15.7 build 19H2026 runs on 64 machines.
+-|The population grew from 1 204 578 to 1 350 122.
+-|See pages 120-135, 140-152 and 160-171 of the book.
+-|Coordinates 48.858222, 2.294500 mark the tower.
+-|ISBN 978-0-306-40615-7 is out of print.
+-|Look at example.com for details, or at the library.
+-|At 10:15:30 the train left; at 11:45:10 it came.
+""".strip().split("\n")
+
+
+def test_field_on_written_sentences():
+    chain, right, wanted, wrong = pii.default_chain(), Counter(), Counter(), []
+    for line in WRITTEN:
+        kind, text = line.split("|")[0], line.split("|", 1)[1]
+        a, b = text.find("<"), text.find(">") - 1
+        text = text.replace("<", "").replace(">", "")
+        got = pii.added_spans([text], [pii.base_spans(text)], chain)[0]
+        if kind == "-":
+            wrong += [(text, s) for s in got]
+        else:
+            wanted[int(kind)] += 1
+            right[int(kind)] += any(s < b and a < e and k == int(kind) and abs(s - a) < 4 and abs(e - b) < 4 for s, e, k in got)
+            if not right[int(kind)] or not got:
+                print("missed", text, got)
+    print({pii.FIELD_KINDS[k]: f"{right[k]} of {wanted[k]}" for k in wanted}, wrong)
+    assert len(wrong) <= 1 and all(right[k] >= 0.75 * wanted[k] for k in wanted)
+
+
+def test_fitting_takes_seconds():
+    began = time.time()
+    pii.fit(pii.labelled_table())
+    assert time.time() - began < 10  # about one on an idle core
 
 
 def test_secrets():
@@ -83,8 +143,12 @@ def test_the_field_adds_to_the_documents(spark):
 
 def test_time_grows_with_the_length():
     for text in ("a" * 200_000 + " dot at " + "b" * 100_000, "at " * 20_000 + "dot", "1-" * 20_000, "@" * 20_000 + "a.b", "token " * 20_000, "key=" * 20_000, "token = " + "a1" * 20_000, "1." * 20_000):
-        pii.base_spans(text)
-        pii.added_spans([text], [[]], pii.default_chain())
+        took = []
+        for whole in (text, text * 4):
+            began = time.time()
+            pii.added_spans([whole], [pii.base_spans(whole)], pii.default_chain())
+            took.append(time.time() - began)
+        assert took[1] < 12 * took[0] + 2, (text[:20], took)
 
 
 def test_windows_decode_as_the_whole():
