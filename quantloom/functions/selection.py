@@ -1,6 +1,7 @@
 """Exact quantiles of groups of any size, by distributed selection.
 
-The built-in percentile holds a group's values in one buffer. Here only groups of at most LIMIT values are left to it. In larger ones each
+The built-in percentile holds a group's different values in one buffer. Here only groups with at most about LIMIT of these are left to
+it. In others each
 rank that a quantile needs is bracketed by a mergeable sketch; one counting pass tells on which side of the bracket's ends
 the rank lies, whatever the sketch's error; and again within the bracket, until so few values are left that they are sorted.
 """
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.stash import drop, stash
 
-#: Values of a group that one buffer may hold.
-LIMIT = 100_000
+#: Different values of a group that one buffer may hold.
+LIMIT = 1 << 18
 #: Parts that a sketch cuts a bracket into.
 PARTS = 1000
 
@@ -25,11 +26,13 @@ def grouped(df: DataFrame, keys: Sequence[str], value: Column, quantiles: dict[s
     """A row a group (one in all without keys): the aggregates `more`, and by name each quantile of the values that are not NULL,
     interpolated between its two neighbours; NULL without values. Missing keys are a group of their own.
 
-    Groups are counted first, so this runs a job; those with more than `limit` values are selected from in further ones.
+    Groups' different values are counted first, by a sketch, so this runs a job; groups with more than `limit` of them are selected
+    from in further ones.
     """
     rows = df.withColumns({"_key": F.struct(F.lit(0).alias("_"), *keys), "_v": value})
     by = [c("_key")[k].alias(k) for k in keys]
-    hot = stash(rows.groupBy("_key").agg(F.count("_v").alias("n")).where(c("n") > limit))
+    counts = rows.groupBy("_key").agg(F.count("_v").alias("n"), F.approx_count_distinct("_v").alias("_d"))
+    hot = stash(counts.where(c("_d") > limit).select("_key", "n"))
     if hot.isEmpty():
         drop(hot)
         return df.groupBy(*keys).agg(*more, *(F.percentile(value, p).alias(name) for name, p in quantiles.items()))

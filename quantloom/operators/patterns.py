@@ -121,7 +121,12 @@ def context(found: DataFrame, bars: DataFrame, before: int, after: int) -> DataF
 
 
 def snapped(bars: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted (instrument, at) the first bar at or after it: both are put in one order, and the next bar's time looked up."""
+    """For each wanted (instrument, at) the first bar at or after it: both are put in one order, a day at a time, and the next bar's
+    time looked up; where a day has none left, the next day with bars tells."""
     both = bars.select("instrument", c("time").alias("t"), c("time").alias("bar"), F.lit(0).alias("asked")).unionByName(wanted.select("instrument", c("at").alias("t"), F.lit(None).cast("timestamp_ntz").alias("bar"), F.lit(1).alias("asked")))
-    ahead = W.partitionBy("instrument").orderBy("t", F.desc("asked")).rowsBetween(0, W.unboundedFollowing)
-    return both.withColumn("bar", F.first("bar", ignorenulls=True).over(ahead)).where("asked = 1").select("instrument", c("t").alias("at"), c("bar").alias("snapped"))
+    both = both.withColumn("_day", F.to_date("t"))
+    ahead = W.partitionBy("instrument", "_day").orderBy("t", F.desc("asked")).rowsBetween(0, W.unboundedFollowing)
+    later = W.partitionBy("instrument").orderBy("_day").rowsBetween(1, W.unboundedFollowing)
+    days = both.groupBy("instrument", "_day").agg(F.min("bar").alias("_first")).select("instrument", "_day", F.first("_first", ignorenulls=True).over(later).alias("_then"))
+    found = both.withColumn("bar", F.first("bar", ignorenulls=True).over(ahead)).where("asked = 1").join(days, ["instrument", "_day"])
+    return found.select("instrument", c("t").alias("at"), F.coalesce("bar", "_then").alias("snapped"))

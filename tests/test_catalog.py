@@ -2,14 +2,14 @@
 
 import pytest
 
-from quantloom.plans import detection  # noqa: F401
+from quantloom.plans import detection, files  # noqa: F401
 from quantloom.plans.catalog import ORACLES, QUERIES
 
 from .plain import duck_rows, spark_rows
 
 SMALL = "/root/testdata/sf0.001"
 #: These find nothing in so few bars.
-LARGER = {"early_detection", "hit_rates", "match_context", "outcome_stats", "topk_matches"}
+LARGER = {"early_detection", "indexed_matches", "hit_rates", "match_context", "outcome_stats", "topk_matches"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
