@@ -1,5 +1,7 @@
+import math
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quantloom.llm import quality
@@ -23,3 +25,30 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert quality.scored(no_docs, model).count() == 0
     none = quality.scored(odd_docs, quality.fit(odd_docs, labels.limit(0))).select("score").distinct().collect()
     assert [r.score for r in none] == [0.5]
+
+
+def plain_score(text, model):
+    """The probability a word and an n-gram at a time."""
+    total, features, before = 0.0, 0, None
+    for word in (text or "").split():
+        w, before = (quality.AGAIN if word == before else word), word
+        buckets = [zlib.crc32(w.encode()) % quality.BUCKETS]
+        marked = f"<{w}>"
+        for n in quality.GRAMS:
+            for a in range(len(marked) - n + 1):
+                h = 0
+                for letter in marked[a : a + n]:
+                    h = (h * int(quality.MULTIPLIER) + ord(letter)) % 2**64
+                buckets.append(((h * int(quality.MIX) + n) % 2**64 >> 40) % quality.BUCKETS)
+        total += sum(model.margin[b] for b in buckets)
+        features += len(buckets)
+    return 1 / (1 + math.exp(-(total / max(1, features) + model.bias)))
+
+
+def test_scores_are_the_plain_ones(spark, odd_docs):
+    rng = np.random.default_rng(3)
+    model = quality.Model(rng.normal(0, 3, quality.BUCKETS), 0.25)
+    texts = {r.doc_id: r.text for r in odd_docs.where("doc_id <> 4").collect()} | {900: "a a a b  b\tc", 901: "ünïcode 日本語 🙂🙂 <x>"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in quality.scored(docs, model).collect():
+        assert abs(r.score - plain_score(texts[r.doc_id], model)) < 1e-9, r.doc_id
