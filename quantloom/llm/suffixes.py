@@ -95,9 +95,9 @@ def anchors(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
 # --- packed rows -----------------------------------------------------------------------------------------------------
 
 #: A block's documents (ids and text hashes), or its entries of one bucket; an entry has a place (document) and further numbers.
-FIELDS = {"place": np.uint16, "lo": np.uint32, "n": np.uint8, "key": np.uint64, "hot": np.uint8, "hi": np.uint32, "doc": np.int64}
+FIELDS = {"place": np.uint16, "lo": np.uint32, "n": np.uint8, "key": np.uint64, "hot": np.uint8, "hi": np.uint32, "doc": np.int64, "many": np.uint32, "kept": np.uint64}
 COLUMNS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("ths", pa.list_(pa.int64())), *((f, pa.binary()) for f in FIELDS), ("snippets", pa.binary())])
-PACKED = "block long, bucket int, ids array<long>, ths array<long>, place binary, lo binary, n binary, key binary, hot binary, hi binary, doc binary, snippets binary"
+PACKED = "block long, bucket int, ids array<long>, ths array<long>, place binary, lo binary, n binary, key binary, hot binary, hi binary, doc binary, many binary, kept binary, snippets binary"
 
 
 def _packed(rows: list[dict]) -> pa.RecordBatch:
@@ -149,17 +149,34 @@ def _key(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchored(batches: Iterator[pa.RecordBatch], buckets: int, sizes: Sizes) -> Iterator[pa.RecordBatch]:
+    """Each block's entries: what anchors its documents have and where.
+
+    Of an anchor that several documents of the block hold, one entry goes to the anchor's bucket and says how many there are; the
+    others are kept for the block. So a bucket gets no more entries of a hot anchor than there are blocks.
+    """
     for block, part, texts in _blocks(batches, sizes):
         lengths = np.array([len(t) for t in texts], np.int64)
         h, place, lo, n = anchors(np.frombuffer(b"".join(texts), np.uint8), lengths)
         bucket, key = _key(h, buckets)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((place, key))
+        k, p = key[order], place[order]
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(k)), bool), k[1:] != k[:-1])))
+        held = np.diff(np.append(starts, len(k)))
+        shared = p[starts] != p[starts + held - 1]
+        many, stays = np.ones(len(k), np.int64), np.zeros(len(k), bool)
+        many[order[starts[shared]]] = held[shared]
+        stays[order] = np.repeat(shared, held)
+        stays[order[starts]] = False
         rows = [{"block": block, "bucket": block % buckets, "ids": part.column("doc_id").to_pylist(), "ths": part.column("th").to_pylist()}]
-        yield _packed(rows + _entries(block, bucket[order], buckets, place=place[order], lo=lo[order], n=n[order], key=key[order]))
+        if stays.any():
+            rows.append({"block": block, "bucket": block % buckets, **{f: _planes(x[stays], FIELDS[f]) for f, x in (("place", place), ("lo", lo), ("n", n), ("kept", key))}})
+        going = np.flatnonzero(~stays)
+        going = going[np.argsort(bucket[going], kind="stable")]
+        yield _packed(rows + _entries(block, bucket[going], buckets, place=place[going], lo=lo[going], n=n[going], key=key[going], many=many[going]))
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], dict[int, list[dict]]]]:
-    """A task's rows: those of documents and those settled already, and the others by bucket."""
+    """A task's rows: those of documents, those kept for their block and those settled already, and the others by bucket."""
     documents, buckets = [], {}
     for batch in batches:
         for r in batch.to_pylist():
@@ -188,27 +205,35 @@ def _repeated(batches: Iterator[pa.RecordBatch], limits: Sizes) -> Iterator[pa.R
     for documents, buckets in _by_bucket(batches):
         yield _packed(documents)
         for rows in buckets.values():
-            of, place, lo, n, key = _gathered(rows, "place", "lo", "n", "key")
+            of, place, lo, n, key, many = _gathered(rows, "place", "lo", "n", "key", "many")
             doc = of.astype(np.int64) << 16 | place
             order = np.lexsort((doc, key))
             k, d = key[order], doc[order]
             starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             sizes = np.diff(np.append(starts, len(k)))
-            several = np.repeat(d[starts] != d[starts + sizes - 1], sizes)
+            whole = np.add.reduceat(many[order].astype(np.int64), starts)
+            several = np.repeat((d[starts] != d[starts + sizes - 1]) | (whole > sizes), sizes)
             hot = np.zeros(len(k), np.uint8)
-            hot[order] = np.repeat(sizes > limits.hot, sizes)
+            hot[order] = np.repeat(whole > limits.hot, sizes)
             keep = np.sort(order[several])
             yield _packed(_split(rows, of[keep], place=place[keep], lo=lo[keep], n=n[keep], key=key[keep], hot=hot[keep]))
 
 
 def _to_documents(rows: pa.Table, fields: tuple[str, ...]) -> pa.Table:
-    """A block's entries by document."""
+    """A block's entries by document; those that were kept for it are as hot as the one of their anchor that was sent."""
     rows = rows.to_pylist()
     documents = next(r for r in rows if r["ids"] is not None)
-    entries = [r for r in rows if r["ids"] is None]
+    kept = [r for r in rows if r["kept"] is not None]
+    entries = [r for r in rows if r["ids"] is None and r["kept"] is None]
     out: dict[str, list] = {f: [] for f in ("id", "th", *fields)}
     if entries:
         _, place, *numbers = _gathered(entries, "place", *fields)
+        if kept:
+            _, at, lo, n, key = _gathered(kept, "place", "lo", "n", "kept")
+            sent, hot = numbers[2], numbers[3]
+            by_key = np.argsort(sent, kind="stable")
+            more = (lo, n, key, hot[by_key[np.searchsorted(sent[by_key], key)]])
+            place, numbers = np.concatenate((place, at)), [np.concatenate(x) for x in zip(numbers, more, strict=True)]
         order = np.lexsort((numbers[0], place))
         place, numbers = place[order], [x[order] for x in numbers]
         starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))

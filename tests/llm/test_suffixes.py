@@ -78,3 +78,21 @@ def test_kept_bytes(spark, no_docs):
     frame = spark.createDataFrame([(1, "a" * 60), (2, "é" + "a" * 60 + "b")], "doc_id long, text string")
     assert {r.doc_id: bytes(r.kept) for r in suffixes.deduplicate(frame, keep_bytes=True).collect()} == {1: b"a" * 60, 2: "éb".encode()}
     assert suffixes.deduplicate(no_docs).count() == 0
+
+
+def test_a_hot_anchor_is_one_entry_a_block(spark):
+    """A line of every document: its anchors' bucket gets an entry of each block, whatever its number of documents."""
+    r = random.Random(8)
+    line = "this work is licensed to everybody under the terms of the public licence of the land, all rights reserved"
+    rows = [(k, "".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 120))) + line + str(k)) for k in range(1200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes = suffixes.Sizes(block=100, hot=50)
+    named = frame.selectExpr("doc_id", "text", "xxhash64(text, false) as th")
+    sent = named.mapInArrow(lambda it: suffixes._anchored(it, 8, sizes), suffixes.PACKED).where("key is not null").select("block", "key").collect()
+    held = {}
+    for x in sent:
+        for k in suffixes._numbers(bytes(x.key), np.uint64).tolist():
+            held.setdefault(k, []).append(x.block)
+    blocks = {x.block for x in sent}
+    assert max(map(len, held.values())) == len(blocks) < 20
+    assert sorted((tuple(x) for x in suffixes.deduplicate(frame, sizes=sizes).collect()), key=str) == brute(rows)
