@@ -15,6 +15,18 @@ from quantloom.llm.shared import stash
 LEAST_QUALITY = 0.3
 
 
+#: Documents that go to a Python worker together. Whole texts are long: Spark's default of 10,000 rows is tens of MB a batch, on both
+#: sides, in every worker of an executor.
+DOCUMENTS_PER_BATCH = 1000
+PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of a batch to DOCUMENTS_PER_BATCH; a lower setting stays."""
+    if not 0 < int(spark.conf.get(PER_BATCH)) <= DOCUMENTS_PER_BATCH:
+        spark.conf.set(PER_BATCH, DOCUMENTS_PER_BATCH)
+
+
 def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of docs; where there is n_chars it follows the text."""
     if "n_chars" in docs.columns:
@@ -28,6 +40,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text scores the model's bias and stays or goes by it; repeated rows are judged alike; null ids are scored too,
     but teach nothing. Columns of any names stay. An empty table gives none.
     """
+    _in_small_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     judged = quality.scored(docs.select(F.struct("*").alias("row"), "text"), model)
     return judged.where(F.col("score") >= LEAST_QUALITY).select("row.*")
@@ -39,6 +52,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows without a doc_id are in no group and stay; rows that share the smallest doc_id, repeated ones too, all stay, for doc_id
     names a document. Texts that are null or without words are like no other. An empty table gives none.
     """
+    _in_small_batches(spark)
     others = jaccard.groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
@@ -48,11 +62,13 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null and empty texts have no passages and stay as they are; so do null ids and repeated rows, each judged alone.
     """
+    _in_small_batches(spark)
     return _as_documents(decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind. No row goes; null and empty texts, null ids and repeated rows stay."""
+    _in_small_batches(spark)
     return _as_documents(pii.redact(docs), docs)
 
 
@@ -62,6 +78,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is the one piece of id 0; null ids are kept; repeated rows are packed as often as they occur; an empty
     table gives none.
     """
+    _in_small_batches(spark)
     return packing.pack_documents(docs)
 
 
