@@ -158,7 +158,7 @@ def _anchored(batches: Iterator[pa.RecordBatch], buckets: int, sizes: Sizes) ->
         lengths = np.array([len(t) for t in texts], np.int64)
         h, place, lo, n = anchors(np.frombuffer(b"".join(texts), np.uint8), lengths)
         bucket, key = _key(h, buckets)
-        order = np.lexsort((place, key))
+        order = np.argsort(key, kind="stable")  # places rise already
         k, p = key[order], place[order]
         starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(k)), bool), k[1:] != k[:-1])))
         held = np.diff(np.append(starts, len(k)))
