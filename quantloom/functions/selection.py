@@ -27,7 +27,7 @@ def grouped(df: DataFrame, keys: Sequence[str], value: Column, quantiles: dict[s
     interpolated between its two neighbours; NULL without values. Missing keys are a group of their own.
 
     Groups' different values are counted first, by a sketch, so this runs a job; groups with more than `limit` of them are selected
-    from in further ones.
+    from in further ones. In others one buffer of values serves all quantiles.
     """
     rows = df.withColumns({"_key": F.struct(F.lit(0).alias("_"), *keys), "_v": value})
     by = [c("_key")[k].alias(k) for k in keys]
@@ -35,13 +35,14 @@ def grouped(df: DataFrame, keys: Sequence[str], value: Column, quantiles: dict[s
     hot = stash(counts.where(c("_d") > limit).select("_key", "n", c("_lo").cast("double"), c("_hi").cast("double")))
     if hot.isEmpty():
         drop(hot)
-        return df.groupBy(*keys).agg(*more, *(F.percentile(value, p).alias(name) for name, p in quantiles.items()))
+        out = df.groupBy(*keys).agg(*more, F.percentile(value, list(quantiles.values())).alias("_few"))
+        return out.withColumns({name: F.get("_few", F.lit(k)) for k, name in enumerate(quantiles)}).drop("_few")
     few = rows.join(hot.select("_key", F.lit(True).alias("_hot")), "_key", "left")
-    own = few.groupBy("_key").agg(*more, *(F.percentile(F.when(c("_hot").isNull(), c("_v")), p).alias(f"_few_{name}") for name, p in quantiles.items()))
+    own = few.groupBy("_key").agg(*more, F.percentile(F.when(c("_hot").isNull(), c("_v")), list(quantiles.values())).alias("_few"))
     found = selected(rows.select("_key", c("_v").cast("double")).where("_v is not null"), hot, quantiles, limit)
     out = own.join(found, "_key", "left")
-    names = [n for n in own.columns if n != "_key" and not n.startswith("_few_")]
-    return out.select(*by, *names, *(F.coalesce(c(name), c(f"_few_{name}")).alias(name) for name in quantiles))
+    names = [n for n in own.columns if n not in ("_key", "_few")]
+    return out.select(*by, *names, *(F.coalesce(c(name), F.get("_few", F.lit(k))).alias(name) for k, name in enumerate(quantiles)))
 
 
 def octave(x: Column) -> Column:

@@ -1,6 +1,7 @@
 """Quantiles by selection are the built-in ones, for hot groups, ties, few values and none."""
 
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,14 +59,24 @@ def test_no_task_reads_more_than_counts_of_parts(spark):
     assert most_read(spark, lambda: grouped(df, ["a"], F.col("v"), asked, limit=1000), near(want)) <= maps * keys * 2 * len(asked) * (PARTS + 1)
 
 
-def most_read(spark, query, want):
-    """Of all stages of a query with the rows `want`, the most rows that a task reads from shuffles."""
-    spark.sparkContext.setJobGroup("most_read", "most_read")
+def test_one_buffer_serves_all_quantiles(spark):
+    df = spark.range(0, 40_000, 1, 4).select((F.col("id") % 2).alias("a"), (F.pmod(F.col("id") * 7919, F.lit(40_000)) / 7).alias("v"))
+    read = {}
+    for asked in ({"q25": 0.25}, ASKED):
+        want = near(df.groupBy("a").agg(*(F.percentile("v", p).alias(k) for k, p in asked.items())))
+        read[len(asked)] = most_read(spark, lambda: grouped(df, ["a"], F.col("v"), asked), want, "localBytesRead")  # noqa: B023
+    assert read[len(ASKED)] <= 1.5 * read[1]
+
+
+def most_read(spark, query, want, what="recordsRead"):
+    """Of all stages of a query with the rows `want`, the most rows that a task reads from shuffles, or their bytes."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "most_read")
     try:
         assert near(query()) == want
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     store, seen = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext.statusTracker()
-    stages = {s for j in seen.getJobIdsForGroup("most_read") for s in seen.getJobInfo(j).stageIds if seen.getStageInfo(s).numCompletedTasks}
+    stages = {s for j in seen.getJobIdsForGroup(group) for s in seen.getJobInfo(j).stageIds if seen.getStageInfo(s).numCompletedTasks}
     tasks = [store.taskList(s, 0, 1000) for s in stages]
-    return max(t.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for t in tasks for i in range(t.size()))
+    return max(getattr(t.apply(i).taskMetrics().get().shuffleReadMetrics(), what)() for t in tasks for i in range(t.size()))
